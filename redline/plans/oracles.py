@@ -157,3 +157,87 @@ FROM ident GROUP BY lang""")
 ORACLES["eval_identity"] = with_base(
     "ev AS (SELECT pair_id, lang, incorrect AS prediction, correct AS reference FROM sampled), "
     + _report_lcs("ev"))
+
+
+# ---------------------------------------------------------------- alignment, edits, vocab
+
+def align_ctes(src: str, a: str, b: str, prefix: str = "al") -> tuple[str, str]:
+    """CTEs adding ``src_tok``, ``tgt_tok``, ``al`` (list of {s, t}, 0-based) and
+    ``labels`` to relation ``src``. Full DP table after common-suffix trimming,
+    then the backtrace as a ``list_reduce`` over a {i, j, al} state."""
+    p = prefix
+    row = ("list_reduce(range(1, len(b2) + 1), lambda cur, j: list_append(cur, greatest("
+           "tbl[-1][j + 1], cur[j], CASE WHEN x = b2[j] THEN tbl[-1][j] + 1 ELSE 0 END)), [0])")
+    table = (f"list_reduce(a2, lambda tbl, x: list_append(tbl, {row}), "
+             "[list_transform(range(0, len(b2) + 1), lambda z: 0)])")
+    step = ("CASE WHEN st.i = 0 OR st.j = 0 THEN st "
+            "WHEN a2[st.i] = b2[st.j] THEN {'i': st.i - 1, 'j': st.j - 1, "
+            "'al': list_append(st.al, {'s': st.i - 1, 't': st.j - 1})} "
+            "WHEN tbl[st.i][st.j + 1] >= tbl[st.i + 1][st.j] THEN {'i': st.i - 1, 'j': st.j, 'al': st.al} "
+            "ELSE {'i': st.i, 'j': st.j - 1, 'al': st.al} END")
+    init = "{'i': len(a2), 'j': len(b2), 'al': CAST([] AS STRUCT(s INTEGER, t INTEGER)[])}"
+    gap = ("CASE WHEN x.t > 0 THEN '$REPLACE_' || tgt_tok[x.t] ELSE '$DELETE' END")
+    prev_s = "CASE WHEN k = 1 THEN -1 ELSE al[k - 1].s END"
+    prev_t = "CASE WHEN k = 1 THEN -1 ELSE al[k - 1].t END"
+    own = f"CASE WHEN x.t > ({prev_t}) + 1 THEN '$INSERT_' || tgt_tok[({prev_t}) + 2] ELSE '$KEEP' END"
+    piece = (f"list_concat(list_transform(range(x.s - ({prev_s}) - 1), lambda q: {gap}), [{own}])")
+    last_s = "CASE WHEN len(al) = 0 THEN -1 ELSE al[-1].s END"
+    text = f"""
+{p}1 AS (SELECT *, {a} AS src_tok, {b} AS tgt_tok FROM {src}),
+{p}2 AS (SELECT *, least(len(src_tok), len(tgt_tok)) AS mn FROM {p}1),
+{p}3 AS (SELECT *, coalesce(list_position(list_transform(range(0, mn), lambda i: src_tok[len(src_tok) - i] = tgt_tok[len(tgt_tok) - i]), false) - 1, mn) AS cs FROM {p}2),
+{p}4 AS (SELECT *, src_tok[1:len(src_tok) - cs] AS a2, tgt_tok[1:len(tgt_tok) - cs] AS b2 FROM {p}3),
+{p}5 AS (SELECT *, {table} AS tbl FROM {p}4),
+{p}6 AS (SELECT *, list_reduce(range(1, len(a2) + len(b2) + 1), lambda st, stp: {step}, {init}) AS bt FROM {p}5),
+{p}7 AS (SELECT * EXCLUDE (mn, a2, b2, tbl, bt, cs),
+         list_concat(list_reverse(bt.al), list_transform(range(0, cs), lambda q:
+           {{'s': CAST(len(src_tok) - cs + q AS INTEGER), 't': CAST(len(tgt_tok) - cs + q AS INTEGER)}})) AS al
+         FROM {p}6),
+{p}8 AS (SELECT *, list_concat(flatten(list_transform(al, lambda x, k: {piece})),
+                               list_transform(range(len(src_tok) - 1 - ({last_s})), lambda q: '$DELETE')) AS labels
+         FROM {p}7)"""
+    return text, f"{p}8"
+
+
+def _apply(src: str, labels: str) -> str:
+    return (f"array_to_string(flatten(list_transform(range(1, len({src}) + 1), lambda i: CASE "
+            f"WHEN {labels}[i] = '$KEEP' THEN [{src}[i]] "
+            f"WHEN {labels}[i] = '$DELETE' THEN CAST([] AS VARCHAR[]) "
+            f"WHEN starts_with({labels}[i], '$REPLACE_') THEN [substr({labels}[i], 10)] "
+            f"WHEN starts_with({labels}[i], '$INSERT_') THEN [substr({labels}[i], 9), {src}[i]] "
+            f"ELSE [{src}[i]] END)), ' ')")
+
+
+_al_cte, _al_last = align_ctes("clean", _tok("incorrect"), _tok("correct"))
+_al_train, _al_train_last = align_ctes("(SELECT * FROM splitted WHERE split = 'train')",
+                                       _tok("incorrect"), _tok("correct"), prefix="tr")
+EDITS_TRAIN = f"""{_al_train.strip()},
+edits AS (SELECT pair_id, lang, unnest(range(0, len(src_tok))) AS pos, unnest(src_tok) AS token,
+                 unnest(labels) AS label FROM {_al_train_last}),
+lc AS (SELECT label, count(*) AS freq, min({'p': pair_id, 'q': pos}).p AS first_pair,
+              min({'p': pair_id, 'q': pos}).q AS first_pos FROM edits GROUP BY label),
+top AS (SELECT * FROM lc ORDER BY freq DESC, first_pair, first_pos LIMIT 5000),
+vocab AS (
+  SELECT '$KEEP' AS label, 0 AS label_id, coalesce((SELECT freq FROM lc WHERE label = '$KEEP'), 0) AS freq
+  UNION ALL SELECT '$DELETE', 1, coalesce((SELECT freq FROM lc WHERE label = '$DELETE'), 0)
+  UNION ALL SELECT label, CAST(row_number() OVER (ORDER BY freq DESC, first_pair, first_pos) + 1 AS INTEGER), freq
+  FROM top WHERE label NOT IN ('$KEEP', '$DELETE'))"""
+
+ORACLES["align_pairs"] = with_base(f"""{_al_cte.strip()}
+SELECT pair_id, array_to_string(list_transform(al, lambda x: x.s || ':' || x.t), ' ') AS alignment,
+       len(al) AS n_matches FROM {_al_last}""")
+ORACLES["edit_table"] = with_base(f"""{_al_cte.strip()}
+SELECT pair_id, lang, unnest(range(0, len(src_tok))) AS pos, unnest(src_tok) AS token,
+       unnest(labels) AS label FROM {_al_last}""")
+ORACLES["apply_gold_edits"] = with_base(f"""{_al_cte.strip()}
+SELECT pair_id, {_apply('src_tok', 'labels')} AS applied FROM {_al_last}""")
+ORACLES["roundtrip_audit"] = with_base(f"""{_al_cte.strip()}
+SELECT lang, transformation, count(*) AS n_pairs,
+       CAST(sum(CAST({_apply('src_tok', 'labels')} = array_to_string(tgt_tok, ' ') AS BIGINT)) AS BIGINT) AS n_roundtrip,
+       sum(CAST({_apply('src_tok', 'labels')} = array_to_string(tgt_tok, ' ') AS BIGINT)) / count(*) AS share
+FROM {_al_last} GROUP BY lang, transformation""")
+ORACLES["label_counts"] = with_base(f"{EDITS_TRAIN} SELECT label, freq, first_pair, first_pos FROM lc")
+ORACLES["label_vocab"] = with_base(f"{EDITS_TRAIN} SELECT label, CAST(label_id AS INTEGER) AS label_id, freq FROM vocab")
+ORACLES["label_ids"] = with_base(f"""{EDITS_TRAIN}
+SELECT e.pair_id, e.pos, CAST(coalesce(v.label_id, 0) AS INTEGER) AS label_id
+FROM edits e LEFT JOIN vocab v USING (label)""")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redline.functions.text import norm_text, py_strip, tokens
-from redline.operators import corpus, metrics, scoring, split
+from redline.operators import corpus, edits, metrics, scoring, split, vocab
 from redline.operators.align import lcs_length
 from redline.sources import fixtures
 
@@ -123,6 +123,50 @@ def q_eval_identity(spark, sf_dir):
     return metrics.f05_lcs(identity_eval_rows(spark, sf_dir), total_row=True)
 
 
+def labelled_corpus(spark, sf_dir):
+    return edits.with_labels(clean_corpus(spark, sf_dir))
+
+
+def train_edits(spark, sf_dir):
+    train = split_corpus(spark, sf_dir).where(F.col("split") == "train")
+    return edits.edit_table(edits.with_labels(train))
+
+
+def q_align_pairs(spark, sf_dir):
+    x = labelled_corpus(spark, sf_dir)
+    return x.select("pair_id", edits.alignment_text("alignment").alias("alignment"),
+                    F.size("alignment").cast("bigint").alias("n_matches"))
+
+
+def q_edit_table(spark, sf_dir):
+    return edits.edit_table(labelled_corpus(spark, sf_dir)).select(
+        "pair_id", "lang", F.col("pos").cast("bigint").alias("pos"), "token", "label")
+
+
+def q_apply_gold_edits(spark, sf_dir):
+    x = labelled_corpus(spark, sf_dir)
+    return x.select("pair_id", edits.apply_labels("src_tok", "labels").alias("applied"))
+
+
+def q_roundtrip_audit(spark, sf_dir):
+    return edits.roundtrip(labelled_corpus(spark, sf_dir))
+
+
+def q_label_counts(spark, sf_dir):
+    return vocab.label_counts(train_edits(spark, sf_dir)).withColumn(
+        "first_pos", F.col("first_pos").cast("bigint"))
+
+
+def q_label_vocab(spark, sf_dir):
+    return vocab.label_vocab(vocab.label_counts(train_edits(spark, sf_dir)))
+
+
+def q_label_ids(spark, sf_dir):
+    e = train_edits(spark, sf_dir)
+    v = vocab.label_vocab(vocab.label_counts(e))
+    return vocab.label_ids(e, v).select("pair_id", F.col("pos").cast("bigint").alias("pos"), "label_id")
+
+
 QUERIES = {
     "gec_pairs": q_gec_pairs,
     "corpus_clean": q_corpus_clean,
@@ -138,4 +182,11 @@ QUERIES = {
     "f05_set_by_lang": q_f05_set_by_lang,
     "exact_match_by_lang": q_exact_match_by_lang,
     "eval_identity": q_eval_identity,
+    "align_pairs": q_align_pairs,
+    "edit_table": q_edit_table,
+    "apply_gold_edits": q_apply_gold_edits,
+    "roundtrip_audit": q_roundtrip_audit,
+    "label_counts": q_label_counts,
+    "label_vocab": q_label_vocab,
+    "label_ids": q_label_ids,
 }
