@@ -214,8 +214,8 @@ _al_train, _al_train_last = align_ctes("(SELECT * FROM splitted WHERE split = 't
 EDITS_TRAIN = f"""{_al_train.strip()},
 edits AS (SELECT pair_id, lang, unnest(range(0, len(src_tok))) AS pos, unnest(src_tok) AS token,
                  unnest(labels) AS label FROM {_al_train_last}),
-lc AS (SELECT label, count(*) AS freq, min({'p': pair_id, 'q': pos}).p AS first_pair,
-              min({'p': pair_id, 'q': pos}).q AS first_pos FROM edits GROUP BY label),
+lc AS (SELECT label, count(*) AS freq, min({{'p': pair_id, 'q': pos}}).p AS first_pair,
+              min({{'p': pair_id, 'q': pos}}).q AS first_pos FROM edits GROUP BY label),
 top AS (SELECT * FROM lc ORDER BY freq DESC, first_pair, first_pos LIMIT 5000),
 vocab AS (
   SELECT '$KEEP' AS label, 0 AS label_id, coalesce((SELECT freq FROM lc WHERE label = '$KEEP'), 0) AS freq
