@@ -241,3 +241,101 @@ ORACLES["label_vocab"] = with_base(f"{EDITS_TRAIN} SELECT label, CAST(label_id A
 ORACLES["label_ids"] = with_base(f"""{EDITS_TRAIN}
 SELECT e.pair_id, e.pos, CAST(coalesce(v.label_id, 0) AS INTEGER) AS label_id
 FROM edits e LEFT JOIN vocab v USING (label)""")
+
+
+# ---------------------------------------------------------------- tagger
+
+def _ctx_rows(rel: str, tok: str, with_labels: bool) -> str:
+    lab = ", unnest(labels) AS label" if with_labels else ""
+    return (f"SELECT pair_id, lang, pos, CASE WHEN pos = 0 THEN '<s>' ELSE {tok}[pos] END AS prev, word, "
+            f"coalesce({tok}[pos + 2], '</s>') AS next{', label' if with_labels else ''} FROM ("
+            f"SELECT pair_id, lang, {tok}, unnest(range(0, len({tok}))) AS pos, unnest({tok}) AS word{lab} FROM {rel})")
+
+
+TAGGER_FIT = f"""{EDITS_TRAIN},
+tctx AS (SELECT c.*, CAST(coalesce(v.label_id, 0) AS INTEGER) AS label_id
+         FROM ({_ctx_rows(_al_train_last, 'src_tok', True)}) c LEFT JOIN vocab v USING (label)),
+c_tri AS (SELECT lang, prev, word, next, label_id, count(*) AS n FROM tctx GROUP BY ALL),
+c_bi AS (SELECT lang, prev, word, label_id, count(*) AS n FROM tctx GROUP BY ALL),
+c_uni AS (SELECT lang, word, label_id, count(*) AS n FROM tctx GROUP BY ALL),
+m_tri AS (SELECT lang, prev, word, next, first(label_id ORDER BY n DESC, label_id) AS tri_id, sum(n) AS tri_n FROM c_tri GROUP BY ALL),
+m_bi AS (SELECT lang, prev, word, first(label_id ORDER BY n DESC, label_id) AS bi_id, sum(n) AS bi_n FROM c_bi GROUP BY ALL),
+m_uni AS (SELECT lang, word, first(label_id ORDER BY n DESC, label_id) AS uni_id, sum(n) AS uni_n FROM c_uni GROUP BY ALL)"""
+
+
+def _pass(k: int, src: str) -> str:
+    """One correction pass over relation ``src`` (pair_id, lang, txt, used, done)."""
+    return f"""
+p{k}t AS (SELECT *, {_tok('txt')} AS tk FROM {src}),
+p{k}w AS ({_ctx_rows(f'p{k}t', 'tk', False)}),
+p{k}l AS (SELECT w.pair_id, w.pos, coalesce(v.label, '$KEEP') AS label
+          FROM p{k}w w LEFT JOIN m_tri t USING (lang, prev, word, next)
+          LEFT JOIN m_bi b USING (lang, prev, word) LEFT JOIN m_uni u USING (lang, word)
+          LEFT JOIN vocab v ON v.label_id = coalesce(t.tri_id, b.bi_id, u.uni_id, 0)),
+p{k}g AS (SELECT pair_id, list(label ORDER BY pos) AS labels FROM p{k}l GROUP BY pair_id),
+p{k}a AS (SELECT t.pair_id, t.lang, t.txt, t.used, t.done,
+                 {_apply('t.tk', "coalesce(g.labels, CAST([] AS VARCHAR[]))")} AS nxt
+          FROM p{k}t t LEFT JOIN p{k}g g USING (pair_id)),
+p{k} AS (SELECT pair_id, lang,
+                CASE WHEN done OR nxt = txt THEN txt ELSE nxt END AS txt,
+                CASE WHEN done THEN used ELSE {k} END AS used,
+                done OR nxt = txt AS done FROM p{k}a)"""
+
+
+def correct_ctes(src: str, passes: int = 3) -> str:
+    out = [_pass(1, src)]
+    for k in range(2, passes + 1):
+        out.append(_pass(k, f"p{k - 1}"))
+    return ",".join(out)
+
+
+TAG_INPUT = ("tin AS (SELECT pair_id, lang, incorrect AS txt, 0 AS used, false AS done "
+             "FROM splitted WHERE split = 'test')")
+ORACLES["tagger_fit"] = with_base(f"""{TAGGER_FIT}
+SELECT 'tri' AS level, lang, prev, word, next, tri_id AS label_id, tri_n AS n_ctx FROM m_tri
+UNION ALL SELECT 'bi', lang, prev, word, NULL, bi_id, bi_n FROM m_bi
+UNION ALL SELECT 'uni', lang, NULL, word, NULL, uni_id, uni_n FROM m_uni""")
+ORACLES["tagger_tag"] = with_base(f"""{TAGGER_FIT}, {TAG_INPUT}, {_pass(1, 'tin')}
+SELECT t.pair_id, array_to_string(coalesce(g.labels, CAST([] AS VARCHAR[])), ' ') AS labels
+FROM p1t t LEFT JOIN p1g g USING (pair_id)""")
+ORACLES["correct_iter"] = with_base(f"""{TAGGER_FIT}, {TAG_INPUT}, {correct_ctes('tin', 3)}
+SELECT pair_id, txt AS corrected, used AS passes_used FROM p3""")
+_EV_IN = ("tin AS (SELECT pair_id, lang, incorrect AS txt, 0 AS used, false AS done FROM sampled)")
+ORACLES["eval_tagger"] = with_base(f"""{TAGGER_FIT}, {_EV_IN}, {correct_ctes('tin', 3)},
+ev AS (SELECT s.pair_id, s.lang, p3.txt AS prediction, s.correct AS reference
+       FROM sampled s JOIN p3 USING (pair_id)), {_report_lcs('ev')}""")
+_SYS = f"""{TAGGER_FIT}, {_EV_IN}, {correct_ctes('tin', 3)},
+both_sys AS (SELECT 'identity' AS system, lang, incorrect AS prediction, correct AS reference FROM sampled
+             UNION ALL
+             SELECT 'tagger', s.lang, p3.txt, s.correct FROM sampled s JOIN p3 USING (pair_id)),
+rows AS (SELECT system, lang, {_tok('lower(prediction)')} AS p, {_tok('lower(reference)')} AS r FROM both_sys),
+c AS (SELECT system, lang, len(list_intersect(p, r)) AS tp,
+             len(list_filter(list_distinct(p), lambda x: NOT list_contains(r, x))) AS fp,
+             len(list_filter(list_distinct(r), lambda x: NOT list_contains(p, x))) AS fn FROM rows),
+g AS (SELECT system, lang, count(*) AS n_rows, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp,
+             CAST(sum(fn) AS BIGINT) AS fn FROM c GROUP BY system, lang)
+SELECT system, lang, n_rows, tp, fp, fn, tp / (tp + fp + 1e-8) AS precision, tp / (tp + fn + 1e-8) AS recall,
+       1.25 * (tp / (tp + fp + 1e-8)) * (tp / (tp + fn + 1e-8))
+         / (0.25 * (tp / (tp + fp + 1e-8)) + tp / (tp + fn + 1e-8) + 1e-8) AS f05
+FROM g"""
+ORACLES["system_compare"] = with_base(_SYS)
+
+_al_val, _al_val_last = align_ctes("(SELECT * FROM splitted WHERE split = 'val')",
+                                   _tok("incorrect"), _tok("correct"), prefix="va")
+ORACLES["val_loss"] = with_base(f"""{TAGGER_FIT}, {_al_val.strip()},
+vctx AS (SELECT c.*, CAST(coalesce(v.label_id, 0) AS INTEGER) AS label_id
+         FROM ({_ctx_rows(_al_val_last, 'src_tok', True)}) c LEFT JOIN vocab v USING (label)),
+nv AS (SELECT count(*) AS v FROM vocab),
+j AS (SELECT x.pair_id, t.tri_n, b.bi_n, u.uni_n, gt.n AS tri_g, gb.n AS bi_g, gu.n AS uni_g
+      FROM vctx x LEFT JOIN m_tri t USING (lang, prev, word, next) LEFT JOIN m_bi b USING (lang, prev, word)
+      LEFT JOIN m_uni u USING (lang, word)
+      LEFT JOIN c_tri gt USING (lang, prev, word, next, label_id)
+      LEFT JOIN c_bi gb USING (lang, prev, word, label_id) LEFT JOIN c_uni gu USING (lang, word, label_id)),
+nll AS (SELECT pair_id, -ln((CASE WHEN tri_n IS NOT NULL THEN coalesce(tri_g, 0)
+                                  WHEN bi_n IS NOT NULL THEN coalesce(bi_g, 0)
+                                  WHEN uni_n IS NOT NULL THEN coalesce(uni_g, 0) ELSE 0 END + 1)
+                             / (coalesce(tri_n, bi_n, uni_n, 0) + (SELECT v FROM nv))) AS nll FROM j),
+vb AS (SELECT pair_id, (row_number() OVER (ORDER BY pair_id) - 1) // 32 AS batch
+       FROM splitted WHERE split = 'val'),
+pb AS (SELECT batch, avg(nll) AS batch_loss, count(*) AS n FROM nll JOIN vb USING (pair_id) GROUP BY batch)
+SELECT avg(batch_loss) AS val_loss, count(*) AS n_batches, CAST(sum(n) AS BIGINT) AS n_tokens FROM pb""")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redline.functions.text import norm_text, py_strip, tokens
-from redline.operators import corpus, edits, metrics, scoring, split, vocab
+from redline.operators import corpus, edits, metrics, scoring, split, tagger, vocab
 from redline.operators.align import lcs_length
 from redline.sources import fixtures
 
@@ -167,6 +167,71 @@ def q_label_ids(spark, sf_dir):
     return vocab.label_ids(e, v).select("pair_id", F.col("pos").cast("bigint").alias("pos"), "label_id")
 
 
+def fitted_tagger(spark, sf_dir):
+    train = split_corpus(spark, sf_dir).where(F.col("split") == "train")
+    labelled = edits.with_labels(train)
+    v = vocab.label_vocab(vocab.label_counts(edits.edit_table(labelled)))
+    return tagger.fit(labelled, v)
+
+
+def q_tagger_fit(spark, sf_dir):
+    m = fitted_tagger(spark, sf_dir)
+    tri = m.tri.select(F.lit("tri").alias("level"), "lang", "prev", "word", "next",
+                       F.col("tri_id").alias("label_id"), F.col("tri_n").alias("n_ctx"))
+    bi = m.bi.select(F.lit("bi").alias("level"), "lang", "prev", "word", F.lit(None).cast("string").alias("next"),
+                     F.col("bi_id").alias("label_id"), F.col("bi_n").alias("n_ctx"))
+    uni = m.uni.select(F.lit("uni").alias("level"), "lang", F.lit(None).cast("string").alias("prev"), "word",
+                       F.lit(None).cast("string").alias("next"), F.col("uni_id").alias("label_id"),
+                       F.col("uni_n").alias("n_ctx"))
+    return tri.unionByName(bi).unionByName(uni)
+
+
+def _test_text(spark, sf_dir):
+    test = split_corpus(spark, sf_dir).where(F.col("split") == "test")
+    return test.select("pair_id", "lang", F.col("incorrect").alias("text"))
+
+
+def q_tagger_tag(spark, sf_dir):
+    m = fitted_tagger(spark, sf_dir)
+    t = tagger.tag(_test_text(spark, sf_dir), m)
+    return t.select("pair_id", F.array_join("labels", " ").alias("labels"))
+
+
+def q_correct_iter(spark, sf_dir):
+    m = fitted_tagger(spark, sf_dir)
+    out = tagger.correct(_test_text(spark, sf_dir), m, max_passes=3)
+    return out.select("pair_id", "corrected", "passes_used")
+
+
+def tagger_eval_rows(spark, sf_dir):
+    test = split_corpus(spark, sf_dir).where(F.col("split") == "test")
+    sampled = split.sample_per_group(test, EVAL_SAMPLE)
+    m = fitted_tagger(spark, sf_dir)
+    fixed = tagger.correct(sampled.select("pair_id", "lang", F.col("incorrect").alias("text")), m)
+    refs = sampled.select("pair_id", F.col("correct").alias("reference"))
+    return metrics.pair_predictions(fixed.select("pair_id", "lang", F.col("corrected").alias("prediction")), refs)
+
+
+def q_eval_tagger(spark, sf_dir):
+    return metrics.f05_lcs(tagger_eval_rows(spark, sf_dir), total_row=True)
+
+
+def q_system_compare(spark, sf_dir):
+    """Set-based F0.5 per (system, language): identity vs tagger."""
+    ident = identity_eval_rows(spark, sf_dir).select(
+        F.lit("identity").alias("system"), "lang", "prediction", "reference")
+    tag_rows = tagger_eval_rows(spark, sf_dir).select(
+        F.lit("tagger").alias("system"), "lang", "prediction", "reference")
+    return metrics.f05_set(ident.unionByName(tag_rows), group_cols=("system", "lang"))
+
+
+def q_val_loss(spark, sf_dir):
+    m = fitted_tagger(spark, sf_dir)
+    val = split_corpus(spark, sf_dir).where(F.col("split") == "val")
+    batches = split.minibatches(val.select("pair_id"), 32, shuffle=False).select("pair_id", "batch")
+    return tagger.validation_nll(edits.with_labels(val), m, batches)
+
+
 QUERIES = {
     "gec_pairs": q_gec_pairs,
     "corpus_clean": q_corpus_clean,
@@ -189,4 +254,10 @@ QUERIES = {
     "label_counts": q_label_counts,
     "label_vocab": q_label_vocab,
     "label_ids": q_label_ids,
+    "tagger_fit": q_tagger_fit,
+    "tagger_tag": q_tagger_tag,
+    "correct_iter": q_correct_iter,
+    "eval_tagger": q_eval_tagger,
+    "system_compare": q_system_compare,
+    "val_loss": q_val_loss,
 }
