@@ -339,3 +339,149 @@ vb AS (SELECT pair_id, (row_number() OVER (ORDER BY pair_id) - 1) // 32 AS batch
        FROM splitted WHERE split = 'val'),
 pb AS (SELECT batch, avg(nll) AS batch_loss, count(*) AS n FROM nll JOIN vb USING (pair_id) GROUP BY batch)
 SELECT avg(batch_loss) AS val_loss, count(*) AS n_batches, CAST(sum(n) AS BIGINT) AS n_tokens FROM pb""")
+
+
+# ---------------------------------------------------------------- prompts, encoding, candidates, runs
+
+_SYS_EN = ("You are a grammatical error correction assistant. "
+           "Correct all grammatical errors in the given sentence. "
+           "Output ONLY the corrected sentence — no explanation, no extra text.")
+_SYS_ES = ("Eres un asistente de corrección gramatical. "
+           "Corrige todos los errores gramaticales en la oración dada. "
+           "Devuelve ÚNICAMENTE la oración corregida — sin explicaciones ni texto adicional.")
+NL = "chr(10)"
+
+
+def _zs(s: str) -> str:
+    return f"('Sentence: ' || {s} || {NL} || 'Corrected:')"
+
+
+def _wrap(msg: str, lang: str) -> str:
+    return (f"('<s>[INST] ' || CASE WHEN {lang} = 'en' THEN '{_SYS_EN}' ELSE '{_SYS_ES}' END "
+            f"|| {NL} || {NL} || {msg} || ' [/INST]')")
+
+
+RANKED = f"""
+rk AS (SELECT *, row_number() OVER (ORDER BY {_h(42, 'pair_id')}, pair_id) - 1 AS idx,
+              count(*) OVER () AS n FROM noop),
+rs AS (SELECT *, CASE WHEN idx < floor(0.75 * n) THEN 'train' ELSE 'test' END AS split FROM rk),
+pick AS (SELECT * FROM rs WHERE split = 'train' AND lang = 'en'
+         AND len({_tok('source')}) > 5 AND len({_tok('source')}) < 25 ORDER BY idx LIMIT 3),
+blk AS (SELECT coalesce(string_agg('Sentence: ' || source || {NL} || 'Corrected: ' || target,
+                                   {NL} || {NL} ORDER BY idx), '') AS block FROM pick),
+ptest AS (SELECT * FROM rs WHERE split = 'test' AND lang IN ('en', 'es'))"""
+
+ORACLES["few_shot_pick"] = with_base(f"{RANKED} SELECT pair_id, source, target FROM pick")
+ORACLES["zero_shot_prompts"] = with_base(f"{RANKED} SELECT pair_id, lang, {_wrap(_zs('source'), 'lang')} AS prompt FROM ptest")
+ORACLES["few_shot_prompts"] = with_base(f"""{RANKED}
+SELECT pair_id, lang, {_wrap(f"CASE WHEN lang = 'es' THEN {_zs('source')} ELSE (SELECT block FROM blk) || {NL} || {NL} || 'Sentence: ' || source || {NL} || 'Corrected:' END", 'lang')} AS prompt
+FROM ptest""")
+
+_prefixes = ["Corrected:", "Corrected sentence:", "Answer:", "Corregida:", "Oración corregida:"]
+_steps = []
+for _i, _p in enumerate(_prefixes):
+    _steps.append(f"rc{_i + 1} AS (SELECT pair_id, source, had_error, CASE WHEN starts_with(lower(t), lower('{_p}')) "
+                  f"THEN {_strip(f'substr(t, {len(_p) + 1})')} ELSE t END AS t FROM rc{_i})")
+ORACLES["reply_clean"] = with_base(f"""{RANKED},
+rp AS (SELECT pair_id, source, target, {_wrap(_zs('source'), 'lang')} AS prompt,
+              CASE {_h(7, 'pair_id')} % 6 WHEN 0 THEN 'Corrected: ' || target
+                   WHEN 1 THEN 'Answer: Corrected: ' || target WHEN 2 THEN '  '
+                   WHEN 3 THEN 'corregida:  ' || target || ' '
+                   WHEN 4 THEN 'Corrected: Answer: ' || target ELSE NULL END AS reply FROM ptest),
+rc0 AS (SELECT pair_id, source, reply IS NULL AS had_error,
+               {_strip(f"substr(prompt || ' ' || reply, length(prompt) + 1)")} AS t FROM rp),
+{", ".join(_steps)}
+SELECT pair_id, coalesce(nullif(t, ''), source) AS prediction, had_error FROM rc5""")
+
+TRAIN_TOK = f"""
+ttok AS (SELECT pair_id, lang, {_tok('incorrect')} AS src_tok, {_tok('correct')} AS tgt_tok
+         FROM splitted WHERE split = 'train'),
+tv0 AS (SELECT token, count(*) AS freq FROM (SELECT unnest(src_tok) AS token FROM ttok
+                                             UNION ALL SELECT unnest(tgt_tok) FROM ttok) GROUP BY token),
+tvocab AS (SELECT token, CAST(row_number() OVER (ORDER BY {_h(42, 'token')}, token) - 1 + 4 AS INTEGER) AS token_id, freq
+           FROM tv0)"""
+
+
+def _ids(col: str, name: str) -> str:
+    return f"""{name} AS (SELECT pair_id, list(coalesce(v.token_id, 3) ORDER BY pos) AS ids FROM (
+      SELECT pair_id, unnest(range(0, len({col}))) AS pos, unnest({col}) AS token FROM ttok) w
+      LEFT JOIN tvocab v USING (token) GROUP BY pair_id)"""
+
+
+def _frame(ids: str) -> str:
+    seq = f"list_concat([0], coalesce({ids}, [])[1:126], [2])"
+    return f"list_concat({seq}, list_transform(range(128 - len({seq})), lambda q: 1))"
+
+
+def _ints(expr: str) -> str:
+    return f"array_to_string(list_transform({expr}, lambda x: CAST(x AS VARCHAR)), ' ')"
+
+
+ORACLES["token_vocab"] = with_base(f"{TRAIN_TOK} SELECT token, token_id, freq FROM tvocab")
+ORACLES["encode_seq2seq"] = with_base(f"""{TRAIN_TOK}, {_ids('src_tok', 'sid')}, {_ids('tgt_tok', 'tid')},
+fr AS (SELECT t.pair_id, {_frame('s.ids')} AS src, {_frame('g.ids')} AS tgt
+       FROM ttok t LEFT JOIN sid s USING (pair_id) LEFT JOIN tid g USING (pair_id))
+SELECT pair_id, {_ints('src')} AS input_ids,
+       {_ints('list_transform(src, lambda x: CASE WHEN x = 1 THEN 0 ELSE 1 END)')} AS attention_mask,
+       {_ints('tgt[1:127]')} AS tgt_input,
+       {_ints('list_transform(tgt[2:128], lambda x: CASE WHEN x = 1 THEN -100 ELSE x END)')} AS tgt_output
+FROM fr""")
+ORACLES["encode_tags"] = with_base(f"""{EDITS_TRAIN},
+lid AS (SELECT e.pair_id, list(CAST(coalesce(v.label_id, 0) AS INTEGER) ORDER BY e.pos) AS lids
+        FROM edits e LEFT JOIN vocab v USING (label) GROUP BY e.pair_id),
+x AS (SELECT a.pair_id, len(a.src_tok) AS n, l.lids FROM {_al_train_last} a LEFT JOIN lid l USING (pair_id)),
+w AS (SELECT pair_id, lids, list_concat([NULL], list_transform(range(0, least(n, 126)), lambda i: CAST(i AS INTEGER)),
+                                    [NULL]) AS w0 FROM x),
+w2 AS (SELECT pair_id, lids, list_concat(w0, list_transform(range(128 - len(w0)), lambda q: CAST(NULL AS INTEGER))) AS wids FROM w)
+SELECT pair_id, {_ints("list_transform(wids, lambda wd, i: CASE WHEN wd IS NULL THEN -100 WHEN i > 1 AND wids[i - 1] = wd THEN -100 ELSE coalesce(lids[wd + 1], -100) END)")} AS labels
+FROM w2""")
+ORACLES["argmax_labels"] = with_base(f"""{EDITS_TRAIN},
+am AS (SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS label_id FROM embeddings)
+SELECT vec_id, label_id, coalesce(v.label, '$KEEP') AS label FROM am LEFT JOIN vocab v USING (label_id)""")
+CANDS = """
+cands AS (SELECT sent_id, CAST(rank AS INTEGER) AS rank, CAST(score AS DOUBLE) AS score,
+                 CAST(2 + (sent_id + rank) % 7 AS INTEGER) AS n_tokens,
+                 (sent_id + rank) % 3 <> 0 AND sent_id % 5 <> 0 AS finished, 'cand-' || CAST(rank AS VARCHAR) AS text
+          FROM (SELECT vec_id AS sent_id, unnest(range(0, len(embedding))) AS rank, unnest(embedding) AS score
+                FROM embeddings))"""
+ORACLES["nbest_select"] = with_base(f"""{CANDS},
+g AS (SELECT sent_id, bool_or(finished) AS any_finished,
+             first({{'text': text, 'rank': rank}} ORDER BY score / n_tokens DESC, rank) FILTER (WHERE finished) AS fin,
+             first({{'text': text, 'rank': rank}} ORDER BY score DESC, rank) AS raw FROM cands GROUP BY sent_id)
+SELECT sent_id, CASE WHEN any_finished THEN fin.text ELSE raw.text END AS text,
+       CASE WHEN any_finished THEN fin.rank ELSE raw.rank END AS rank, any_finished FROM g""")
+ORACLES["top_candidates"] = with_base(f"""{CANDS}
+SELECT sent_id, rank, pos FROM (SELECT sent_id, rank, CAST(row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, rank) AS INTEGER) AS pos
+                                FROM cands) WHERE pos <= 4""")
+ORACLES["minibatches"] = with_base(f"""
+r AS (SELECT pair_id, row_number() OVER (ORDER BY {_h(42, "'0|' || CAST(pair_id AS VARCHAR)")}, pair_id) - 1 AS batch_pos
+      FROM splitted WHERE split = 'train')
+SELECT pair_id, CAST(floor(batch_pos / 32) AS BIGINT) AS batch, batch_pos FROM r""")
+RUNS = """
+rt AS (SELECT user_id AS run_id, CAST(dayofmonth(ts) AS INTEGER) AS epoch,
+              sum(CAST(round(value * 100) AS BIGINT)) / count(*) / 100.0 AS val_loss
+       FROM events GROUP BY ALL)"""
+ORACLES["best_run"] = with_base(f"""{RUNS},
+sv AS (SELECT *, min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bb FROM rt)
+SELECT run_id, first(epoch ORDER BY val_loss, epoch) AS best_epoch, min(val_loss) AS best_val_loss,
+       CAST(sum(CASE WHEN bb IS NULL OR val_loss < bb THEN 1 ELSE 0 END) AS BIGINT) AS n_saves, count(*) AS n_epochs
+FROM sv GROUP BY run_id""")
+_DEFAULTS = [("batch_size", "32"), ("encoder_name", "xlm-roberta-base"), ("epochs", "20"), ("lr", "2e-05"),
+             ("max_len", "128"), ("top_k_labels", "5000")]
+_dvals = " UNION ALL ".join(f"SELECT '{k}' AS key, '{v}' AS dv" for k, v in _DEFAULTS)
+ORACLES["run_config"] = with_base(f"""
+d AS ({_dvals}),
+sk AS (SELECT event_id, unnest(json_keys(props)) AS key, props FROM events)
+SELECT e.event_id, d.key, coalesce(json_extract_string(e.props, '$."' || d.key || '"'), d.dv) AS value
+FROM events e, d
+UNION ALL
+SELECT event_id, key, json_extract_string(props, '$."' || key || '"') FROM sk WHERE key NOT IN (SELECT key FROM d)""")
+_na = ", ".join("''" if t == "" else f"'{t}'" for t in
+                ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                 "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"))
+ORACLES["csv_roundtrip"] = with_base(f"""
+x AS (SELECT pair_id, CASE WHEN incorrect IN ({_na}) THEN NULL ELSE incorrect END AS incorrect,
+             CASE WHEN correct IN ({_na}) THEN NULL ELSE correct END AS correct,
+             CASE WHEN transformation IN ({_na}) THEN NULL ELSE transformation END AS transformation,
+             CASE WHEN lang IN ({_na}) THEN NULL ELSE lang END AS lang FROM clean)
+SELECT * FROM x WHERE incorrect IS NOT NULL AND correct IS NOT NULL""")

@@ -11,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.functions.text import norm_text, py_strip, tokens
-from redline.operators import corpus, edits, metrics, scoring, split, tagger, vocab
+from redline.functions import prompts
+from redline.functions.text import norm_text, py_strip, seeded_hash, tokens
+from redline.operators import corpus, edits, encode, metrics, runs, scoring, split, tagger, vocab
 from redline.operators.align import lcs_length
+from redline.plans.session import checkpoint_dir
 from redline.sources import fixtures
+from redline.sources import pairs as pair_io
 
 EVAL_SAMPLE = 200
 
@@ -232,6 +235,161 @@ def q_val_loss(spark, sf_dir):
     return tagger.validation_nll(edits.with_labels(val), m, batches)
 
 
+# ---------------------------------------------------------------- prompts and replies
+
+def ranked_noop(spark, sf_dir):
+    return split.ratio_split(noop_corpus(spark, sf_dir))
+
+
+def q_few_shot_pick(spark, sf_dir):
+    return split.few_shot_pick(ranked_noop(spark, sf_dir)).select("pair_id", "source", "target")
+
+
+def _prompt_rows(spark, sf_dir):
+    r = ranked_noop(spark, sf_dir)
+    test = r.where((F.col("split") == "test") & F.col("lang").isin("en", "es"))
+    return test, prompts.example_block(split.few_shot_pick(r))
+
+
+def q_zero_shot_prompts(spark, sf_dir):
+    test, _ = _prompt_rows(spark, sf_dir)
+    return test.select("pair_id", "lang", prompts.chat_wrap(prompts.zero_shot("source"), "lang").alias("prompt"))
+
+
+def q_few_shot_prompts(spark, sf_dir):
+    test, block = _prompt_rows(spark, sf_dir)
+    msg = prompts.few_shot("source", "lang", block)
+    return test.select("pair_id", "lang", prompts.chat_wrap(msg, "lang").alias("prompt"))
+
+
+def q_reply_clean(spark, sf_dir):
+    """F9-F11 on replies synthesised from the targets: each prompt's generated
+    text is the prompt plus a reply that carries one of the known prefixes, is
+    blank, or is missing (a failed generation)."""
+    test, _ = _prompt_rows(spark, sf_dir)
+    prompt = prompts.chat_wrap(prompts.zero_shot("source"), "lang")
+    h = seeded_hash(7, "pair_id") % 6
+    t = F.col("target")
+    reply = (F.when(h == 0, F.concat(F.lit("Corrected: "), t))
+             .when(h == 1, F.concat(F.lit("Answer: Corrected: "), t))
+             .when(h == 2, F.lit("  "))
+             .when(h == 3, F.concat(F.lit("corregida:  "), t, F.lit(" ")))
+             .when(h == 4, F.concat(F.lit("Corrected: Answer: "), t)))
+    x = test.select("pair_id", "source", prompt.alias("prompt"), reply.alias("reply"))
+    generated = F.concat(F.col("prompt"), F.lit(" "), F.col("reply"))
+    return x.select("pair_id", prompts.clean_reply(prompts.cut_prompt(generated, F.col("prompt")),
+                                                   F.col("source")).alias("prediction"),
+                    F.col("reply").isNull().alias("had_error"))
+
+
+# ---------------------------------------------------------------- encoding
+
+def _train_tok(spark, sf_dir):
+    train = split_corpus(spark, sf_dir).where(F.col("split") == "train")
+    return train.select("pair_id", "lang", tokens("incorrect").alias("src_tok"),
+                        tokens("correct").alias("tgt_tok"))
+
+
+def _ints(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+
+
+def q_token_vocab(spark, sf_dir):
+    t = _train_tok(spark, sf_dir)
+    texts = t.select(F.col("src_tok").alias("tok")).unionByName(t.select(F.col("tgt_tok").alias("tok")))
+    return encode.token_vocab(texts)
+
+
+def q_encode_seq2seq(spark, sf_dir):
+    t = _train_tok(spark, sf_dir)
+    texts = t.select(F.col("src_tok").alias("tok")).unionByName(t.select(F.col("tgt_tok").alias("tok")))
+    v = encode.token_vocab(texts)
+    x = encode.token_ids(encode.token_ids(t, v, "src_tok", "src_ids"), v, "tgt_tok", "tgt_ids")
+    src = encode.frame(F.col("src_ids"))
+    tgt = encode.frame(F.col("tgt_ids"))
+    tgt_in, tgt_out = encode.shift(tgt)
+    return x.select("pair_id", _ints(src).alias("input_ids"), _ints(encode.attention_mask(src)).alias("attention_mask"),
+                    _ints(tgt_in).alias("tgt_input"), _ints(tgt_out).alias("tgt_output"))
+
+
+def q_encode_tags(spark, sf_dir):
+    train = split_corpus(spark, sf_dir).where(F.col("split") == "train")
+    labelled = edits.with_labels(train)
+    e = edits.edit_table(labelled)
+    v = vocab.label_vocab(vocab.label_counts(e))
+    ids = vocab.label_ids(e, v).groupBy("pair_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "label_id"))).alias("_p"))
+    ids = ids.select("pair_id", F.transform("_p", lambda x: x.getField("label_id")).alias("lids"))
+    x = labelled.select("pair_id", F.size("src_tok").alias("n")).join(ids, "pair_id", "left")
+    wids = encode.word_ids(F.col("n"))
+    return x.select("pair_id", _ints(encode.tag_labels(wids, F.coalesce("lids", F.array().cast("array<int>"))))
+                    .alias("labels"))
+
+
+def q_argmax_labels(spark, sf_dir):
+    emb = fixtures.read_table(spark, sf_dir, "embeddings")
+    train = split_corpus(spark, sf_dir).where(F.col("split") == "train")
+    v = vocab.label_vocab(vocab.label_counts(edits.edit_table(edits.with_labels(train))))
+    ids = emb.select("vec_id", encode.argmax(F.col("embedding")).alias("label_id"))
+    return vocab.id_labels(ids, v).select("vec_id", "label_id", "label")
+
+
+def _candidates(spark, sf_dir):
+    """Hypotheses per sentence derived from ``embeddings``: one per vector
+    element (rank = position, score = value); token counts and finished flags
+    follow from the ids; every fifth sentence has no finished hypothesis."""
+    emb = fixtures.read_table(spark, sf_dir, "embeddings")
+    x = emb.select(F.col("vec_id").alias("sent_id"), F.posexplode("embedding").alias("rank", "score"))
+    return x.select("sent_id", F.col("rank").cast("int").alias("rank"), F.col("score").cast("double").alias("score"),
+                    (2 + (F.col("sent_id") + F.col("rank")) % 7).cast("int").alias("n_tokens"),
+                    (((F.col("sent_id") + F.col("rank")) % 3 != 0) & (F.col("sent_id") % 5 != 0)).alias("finished"),
+                    F.concat(F.lit("cand-"), F.col("rank").cast("string")).alias("text"))
+
+
+def q_nbest_select(spark, sf_dir):
+    return scoring.nbest_select(_candidates(spark, sf_dir)).select("sent_id", "text", "rank", "any_finished")
+
+
+def q_top_candidates(spark, sf_dir):
+    return scoring.top_candidates(_candidates(spark, sf_dir), 4).select("sent_id", "rank", "pos")
+
+
+def q_minibatches(spark, sf_dir):
+    train = split_corpus(spark, sf_dir).where(F.col("split") == "train").select("pair_id")
+    return split.minibatches(train, 32, seed=42, epoch=0).select("pair_id", "batch", "batch_pos")
+
+
+# ---------------------------------------------------------------- runs
+
+def run_table(spark, sf_dir):
+    """Run records derived from ``events``: run = user, epoch = day of month,
+    losses = exact integer sums of cents over the day's events."""
+    ev = fixtures.read_table(spark, sf_dir, "events")
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    return ev.groupBy(F.col("user_id").alias("run_id"), F.dayofmonth("ts").alias("epoch")).agg(
+        (F.sum(cents) / F.count(F.lit(1)) / 100.0).alias("val_loss"))
+
+
+def q_best_run(spark, sf_dir):
+    return runs.best_checkpoint(run_table(spark, sf_dir))
+
+
+def q_run_config(spark, sf_dir):
+    ev = fixtures.read_table(spark, sf_dir, "events")
+    stored = F.from_json("props", "map<string,string>")
+    return ev.select("event_id", F.explode(runs.merged_config(stored)).alias("key", "value"))
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    """S4 then S3: write the clean corpus as CSV (split folders) into the shared
+    checkpoint folder and read it back with pandas NA semantics."""
+    import uuid
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-roundtrip-{uuid.uuid4().hex}"
+    pair_io.write_splits(split_corpus(spark, sf_dir), path, fmt="csv")
+    back = pair_io.read_pairs_csv(spark, path)
+    return back.select("pair_id", "incorrect", "correct", "transformation", "lang")
+
+
 QUERIES = {
     "gec_pairs": q_gec_pairs,
     "corpus_clean": q_corpus_clean,
@@ -260,4 +418,18 @@ QUERIES = {
     "eval_tagger": q_eval_tagger,
     "system_compare": q_system_compare,
     "val_loss": q_val_loss,
+    "few_shot_pick": q_few_shot_pick,
+    "zero_shot_prompts": q_zero_shot_prompts,
+    "few_shot_prompts": q_few_shot_prompts,
+    "reply_clean": q_reply_clean,
+    "token_vocab": q_token_vocab,
+    "encode_seq2seq": q_encode_seq2seq,
+    "encode_tags": q_encode_tags,
+    "argmax_labels": q_argmax_labels,
+    "nbest_select": q_nbest_select,
+    "top_candidates": q_top_candidates,
+    "minibatches": q_minibatches,
+    "best_run": q_best_run,
+    "run_config": q_run_config,
+    "csv_roundtrip": q_csv_roundtrip,
 }
