@@ -11,10 +11,10 @@ for every tie. Every sentence with at least one word is kept, however long.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.functions.text import DUCK_WS, WS, md5_int
+from redline.functions.text import DUCK_WS, WS
 
 # Corruption kinds, indexed by md5 % 6.
 KINDS = ["drop", "dup", "rotate", "replace", "prefix", "none"]
@@ -29,44 +29,72 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-repartition on ``key`` only when the scan yields fewer partitions than
+    the cluster has cores (a few small files); a large scan is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
+
+
+def _sentence_items(text) -> Column:
+    """Per document: ``array<struct<pos, s, b, m>>`` (1-based position, sentence,
+    tokens, md5). Built inside the row so that later filters see generated
+    columns and cannot re-inline the regex / md5 work below the explode."""
+    lines = F.split(F.regexp_replace(text, "([.!?])[ \\n]+", "$1\n"), "\n", -1)
+    return F.transform(lines, lambda x, i: F.struct(
+        (i + 1).alias("pos"), x.alias("s"),
+        F.filter(F.split(x, WS, -1), lambda w: w != "").alias("b"),
+        F.md5(x).alias("m")))
+
+
 def sentences(documents: DataFrame) -> DataFrame:
-    """One row per sentence: ``doc_id, lang, pos (1-based), s, b (tokens)``."""
-    lines = F.split(F.regexp_replace("text", "([.!?])[ \\n]+", "$1\n"), "\n", -1)
-    s = documents.select("doc_id", "lang", F.posexplode(lines).alias("pos0", "s"))
-    return s.select(
-        "doc_id", "lang", (F.col("pos0") + 1).alias("pos"), "s",
-        F.filter(F.split("s", WS, -1), lambda x: x != "").alias("b"))
+    """One row per sentence: ``doc_id, lang, pos (1-based), s, b (tokens), m (md5)``."""
+    return documents.select("doc_id", "lang", F.inline(_sentence_items(F.col("text"))))
 
 
-def gec_pairs_from(documents: DataFrame) -> DataFrame:
-    s = sentences(documents).where(F.size("b") >= 1)
-    h1, h2 = md5_int("s", 1), md5_int("s", 9)
-    t = s.select("*", h1.alias("h1"), (h2 % F.size("b") + 1).alias("k"))
-    b, k, h = F.col("b"), F.col("k"), F.col("h1")
+def _hex8(m: Column, start: int) -> Column:
+    return F.conv(F.substring(m, start, 8), 16, 10).cast("bigint")
+
+
+def _pair_item(x: Column) -> Column:
+    """Corrupt one sentence struct (with ``h`` and ``k`` already set)."""
+    b, k, h, s = x.getField("b"), x.getField("k"), x.getField("h"), x.getField("s")
     joined = lambda arr: F.array_join(arr, " ")
     incorrect = (
         F.when(h % 97 == 0, F.lit(None).cast("string"))
         .when(h % 89 == 0, F.lit("  "))
-        .when(h % 6 == 0, joined(F.filter(b, lambda x, i: i + 1 != k)))
+        .when(h % 6 == 0, joined(F.filter(b, lambda w, i: i + 1 != k)))
         .when(h % 6 == 1, joined(F.concat(F.array(b[0]), b)))
         .when(h % 6 == 2, joined(F.concat(F.slice(b, 2, F.size(b)), F.array(b[0]))))
         .when(h % 6 == 3, joined(F.transform(
-            b, lambda x, i: F.when(i + 1 == k, F.concat(x, F.lit("x"))).otherwise(x))))
-        .when(h % 6 == 4, F.concat(F.lit(PREFIX), F.col("s")))
-        .otherwise(F.col("s")))
-    kinds = F.array(*[F.lit(x) for x in KINDS])
+            b, lambda w, i: F.when(i + 1 == k, F.concat(w, F.lit("x"))).otherwise(w))))
+        .when(h % 6 == 4, F.concat(F.lit(PREFIX), s))
+        .otherwise(s))
+    kinds = F.array(*[F.lit(v) for v in KINDS])
     transformation = F.when(h % 83 == 0, F.lit(None).cast("string")).otherwise(
         F.element_at(kinds, (h % 6 + 1).cast("int")))
-    return t.select(
+    return F.struct(x.getField("pos").alias("pos"), s.alias("correct"),
+                    incorrect.alias("incorrect"), transformation.alias("transformation"))
+
+
+def gec_pairs_from(documents: DataFrame) -> DataFrame:
+    items = F.filter(_sentence_items(F.col("text")), lambda x: F.size(x.getField("b")) >= 1)
+    items = F.transform(items, lambda x: F.struct(
+        x.getField("pos").alias("pos"), x.getField("s").alias("s"), x.getField("b").alias("b"),
+        _hex8(x.getField("m"), 1).alias("h"),
+        (_hex8(x.getField("m"), 9) % F.size(x.getField("b")) + 1).alias("k")))
+    items = F.transform(items, _pair_item)
+    rows = documents.select("doc_id", "lang", F.inline(items))
+    return rows.select(
         (F.col("doc_id") * 100000 + F.col("pos")).alias("pair_id"),
-        F.col("s").alias("correct"),
-        incorrect.alias("incorrect"),
-        transformation.alias("transformation"),
-        "lang")
+        "correct", "incorrect", "transformation", "lang")
 
 
 def gec_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gec_pairs_from(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return gec_pairs_from(spread(docs, "doc_id"))
 
 
 def raw_english(pairs: DataFrame) -> DataFrame:
