@@ -69,17 +69,48 @@ def contexts(df: DataFrame, tok_col: str = "src_tok", extra=("labels",),
                     visible.alias("visible"))
 
 
-def fit(labelled_train: DataFrame, vocab: DataFrame) -> TaggerModel:
-    """M2: per-context argmax tables from the training edits."""
+def fit(labelled_train: DataFrame, vocab: DataFrame, materialize: bool = True) -> TaggerModel:
+    """M2: per-context argmax tables from the training edits.
+
+    All three levels come from one grouping-sets aggregation (one shuffle)
+    and one argmax aggregation (one more); the result is one model table with a
+    ``level`` column. Like an ML ``fit`` this is eager when ``materialize``:
+    the table is written once, partitioned by level, to the shared checkpoint
+    folder, and each level is read back by partition pruning, so the tagging
+    passes never re-run the training-set alignment.
+    """
     ctx = label_ids(contexts(labelled_train), vocab)
-    out, counts = {}, {}
+    counts = _level_counts(ctx)
+    # argmax: highest count, ties by lowest id, packed into one long so the
+    # aggregation stays a codegen'd HashAggregate (ids < 2**24, counts < 2**39)
+    packed = F.col("n") * F.lit(1 << 24) + (F.lit((1 << 24) - 1) - F.col("label_id"))
+    best = counts.groupBy("level", "lang", "prev", "word", "next").agg(
+        F.max(packed).alias("_best"), F.sum("n").alias("n_ctx"))
+    best = best.select("level", "lang", "prev", "word", "next",
+                       (F.lit((1 << 24) - 1) - F.col("_best").bitwiseAND(F.lit((1 << 24) - 1)))
+                       .cast("int").alias("label_id"), "n_ctx")
+    if materialize:
+        best = cut_lineage(best, "tagger", partition_by=("level",))
+        vocab = cut_lineage(vocab, "label-vocab")
+    tables = {}
     for name, keys in LEVELS.items():
-        c = ctx.groupBy("lang", *keys, "label_id").agg(F.count(F.lit(1)).alias("n"))
-        out[name] = c.groupBy("lang", *keys).agg(
-            F.max_by("label_id", F.struct(F.col("n"), -F.col("label_id"))).alias(f"{name}_id"),
-            F.sum("n").alias(f"{name}_n"))
-        counts[name] = c
-    return TaggerModel(out["tri"], out["bi"], out["uni"], vocab, counts)
+        t = best.where(F.col("level") == name)
+        tables[name] = t.select("lang", *keys, F.col("label_id").alias(f"{name}_id"),
+                                F.col("n_ctx").alias(f"{name}_n"))
+    per_level = {name: counts.where(F.col("level") == name).select("lang", *keys, "label_id", "n")
+                 for name, keys in LEVELS.items()}
+    return TaggerModel(tables["tri"], tables["bi"], tables["uni"], vocab, per_level)
+
+
+def _level_counts(ctx: DataFrame) -> DataFrame:
+    """``level, lang, prev, word, next, label_id, n`` for the three context
+    levels in one Expand + partial/final aggregation (GROUPING SETS)."""
+    sets = [["lang", *keys, "label_id"] for keys in LEVELS.values()]
+    g = ctx.groupingSets(sets, "lang", "prev", "word", "next", "label_id").agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_gid"))
+    # grouping_id bits (lang, prev, word, next, label_id): tri = 0, bi = 2 (next), uni = 6 (prev, next)
+    level = (F.when(F.col("_gid") == 0, "tri").when(F.col("_gid") == 2, "bi").otherwise("uni"))
+    return g.select(level.alias("level"), "lang", "prev", "word", "next", "label_id", "n")
 
 
 def tag_words(words: DataFrame, model: TaggerModel) -> DataFrame:

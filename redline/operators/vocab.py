@@ -21,11 +21,13 @@ FIXED = (KEEP, DELETE)
 
 def label_counts(edits: DataFrame) -> DataFrame:
     """A3: ``label, freq, first_pair, first_pos`` (first occurrence in pair order)."""
-    g = edits.groupBy("label").agg(
-        F.count(F.lit(1)).alias("freq"),
-        F.min(F.struct("pair_id", "pos")).alias("first"))
-    return g.select("label", "freq", F.col("first.pair_id").alias("first_pair"),
-                    F.col("first.pos").alias("first_pos"))
+    # Two hash aggregations instead of a sort-based min(struct): per (label,
+    # pair) the count and first position, then per label the first pair.
+    per_pair = edits.groupBy("label", "pair_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+    return per_pair.groupBy("label").agg(
+        F.sum("n").alias("freq"), F.min("pair_id").alias("first_pair"),
+        F.min_by("pos", "pair_id").alias("first_pos"))
 
 
 def label_vocab(edits_or_counts: DataFrame, top_k: int = TOP_K) -> DataFrame:

@@ -15,7 +15,7 @@ from redline.functions import prompts
 from redline.functions.text import norm_text, py_strip, seeded_hash, tokens
 from redline.operators import corpus, edits, encode, metrics, runs, scoring, split, tagger, vocab
 from redline.operators.align import lcs_length
-from redline.plans.session import checkpoint_dir
+from redline.plans.session import checkpoint_dir, cut_lineage
 from redline.sources import fixtures
 from redline.sources import pairs as pair_io
 
@@ -171,8 +171,11 @@ def q_label_ids(spark, sf_dir):
 
 
 def fitted_tagger(spark, sf_dir):
+    """Fit on the training split. The labelled training set (alignment UDF
+    output) is materialised once; vocabulary and tables are built from it."""
     train = split_corpus(spark, sf_dir).where(F.col("split") == "train")
-    labelled = edits.with_labels(train)
+    labelled = cut_lineage(edits.with_labels(train).select(
+        "pair_id", "lang", "src_tok", "labels"))
     v = vocab.label_vocab(vocab.label_counts(edits.edit_table(labelled)))
     return tagger.fit(labelled, v)
 

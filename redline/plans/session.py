@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,7 +56,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never localCheckpoint): survives executor loss."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "table", partition_by=()) -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder and
+    read it back (never localCheckpoint). One computation, one write; the
+    stored table survives executor loss, and the read carries file statistics
+    for AQE and broadcast decisions."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").partitionBy(*partition_by).parquet(path)
+    return spark.read.parquet(path)
