@@ -31,14 +31,23 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same 29 characters as a plain string, for ``trim(str, chars)``.
+WS_CHARS = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                                     *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+
 def tokens(c) -> Column:
-    """``s.split()``: split on runs of Python blanks, no empty tokens (F1)."""
-    return F.filter(F.split(_c(c), WS, -1), lambda x: x != "")
+    """``s.split()``: split on runs of Python blanks, no empty tokens (F1).
+    Trimmed first, so the split yields no empty piece except for a blank
+    string (-> empty array); no lambda, stays in generated code."""
+    t = F.trim(_c(c), F.lit(WS_CHARS))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WS, -1))
 
 
 def py_strip(c) -> Column:
-    """``s.strip()`` (F2)."""
-    return F.regexp_replace(_c(c), f"^{WS}|{WS}\\z", "")
+    """``s.strip()`` (F2): trim the Python blank characters from both ends
+    (a character-set trim, no regular expression)."""
+    return F.trim(_c(c), F.lit(WS_CHARS))
 
 
 def norm_text(c) -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.functions.text import DUCK_WS, WS
+from redline.functions.text import DUCK_WS, tokens
 
 # Corruption kinds, indexed by md5 % 6.
 KINDS = ["drop", "dup", "rotate", "replace", "prefix", "none"]
@@ -45,7 +45,7 @@ def _sentence_items(text) -> Column:
     lines = F.split(F.regexp_replace(text, "([.!?])[ \\n]+", "$1\n"), "\n", -1)
     return F.transform(lines, lambda x, i: F.struct(
         (i + 1).alias("pos"), x.alias("s"),
-        F.filter(F.split(x, WS, -1), lambda w: w != "").alias("b"),
+        tokens(x).alias("b"),
         F.md5(x).alias("m")))
 
 
