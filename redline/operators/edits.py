@@ -54,21 +54,26 @@ def edit_labels(src, tgt, al) -> Column:
     return F.concat(body, tail)
 
 
-def apply_labels(src, labels) -> Column:
-    """E5 + E7: apply one label per source word and join with one space.
+def apply_one(w: Column, lab: Column) -> Column:
+    """The output tokens of one word under one label.
     KEEP -> word; DELETE -> nothing; REPLACE -> payload; INSERT -> payload, word;
     anything else (or no label) -> word."""
-    src, labels = _c(src), _c(labels)
+    return (F.when(lab == KEEP, F.array(w))
+            .when(lab == DELETE, F.array().cast("array<string>"))
+            .when(F.startswith(lab, F.lit(REPLACE)), F.array(F.substring(lab, len(REPLACE) + 1, 1 << 30)))
+            .when(F.startswith(lab, F.lit(INSERT)),
+                  F.array(F.substring(lab, len(INSERT) + 1, 1 << 30), w))
+            .otherwise(F.array(w)))
+
 
-    def one(w, lab):
-        return (F.when(lab == KEEP, F.array(w))
-                .when(lab == DELETE, F.array().cast("array<string>"))
-                .when(F.startswith(lab, F.lit(REPLACE)), F.array(F.substring(lab, len(REPLACE) + 1, 1 << 30)))
-                .when(F.startswith(lab, F.lit(INSERT)),
-                      F.array(F.substring(lab, len(INSERT) + 1, 1 << 30), w))
-                .otherwise(F.array(w)))
+def apply_tokens(src, labels) -> Column:
+    """E5 as tokens: one label per source word, the output token array."""
+    return F.flatten(F.zip_with(_c(src), _c(labels), apply_one))
 
-    return F.array_join(F.flatten(F.zip_with(src, labels, one)), " ")
+
+def apply_labels(src, labels) -> Column:
+    """E5: apply one label per source word and join with one space."""
+    return F.array_join(apply_tokens(src, labels), " ")
 
 
 def apply_to_text(text, labels) -> Column:

@@ -33,17 +33,31 @@ def token_vocab(texts: DataFrame, tok_col: str = "tok") -> DataFrame:
     return r.select("token", (F.col("_idx") + N_SPECIAL).cast("int").alias("token_id"), "freq")
 
 
-def token_ids(df: DataFrame, vocab: DataFrame, tok_col: str, out_col: str,
+def token_ids(df: DataFrame, vocab: DataFrame, columns: dict[str, str],
               key: str = "pair_id") -> DataFrame:
-    """Replace an ``array<string>`` column by ``array<int>`` ids (unknown ->
-    ``UNK_ID``), keeping word order."""
-    words = df.select(key, F.posexplode(tok_col).alias("pos", "token"))
+    """Map ``array<string>`` columns to ``array<int>`` ids (unknown ->
+    ``UNK_ID``), keeping word order: ``columns`` maps input -> output name.
+
+    All columns go through one explode, one join with the vocabulary and one
+    regroup per ``key``; ``inline_outer`` keeps rows with empty arrays, so the
+    result needs no join back. Returns ``key`` plus the output columns."""
+    names = list(columns)
+
+    def tag_with(j):
+        return lambda x, i: F.struct(F.lit(j).alias("col"), i.alias("pos"), x.alias("token"))
+
+    def of_col(j):
+        return lambda x: x.getField("col") == j
+
+    items = F.concat(*[F.transform(F.col(c), tag_with(j)) for j, c in enumerate(names)])
+    words = df.select(key, F.inline_outer(items))
     ids = words.join(vocab.select("token", "token_id"), "token", "left").select(
-        key, "pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id"))
-    per = ids.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("_p"))
-    per = per.select(key, F.transform("_p", lambda x: x.getField("id")).alias(out_col))
-    return df.join(per, key, "left").withColumn(
-        out_col, F.coalesce(out_col, F.array().cast("array<int>")))
+        key, "col", "pos", "token", F.coalesce("token_id", F.lit(UNK_ID)).alias("id"))
+    per = ids.groupBy(key).agg(F.sort_array(F.collect_list(F.when(
+        F.col("token").isNotNull(), F.struct("col", "pos", "id")))).alias("_p"))
+    outs = [F.transform(F.filter("_p", of_col(j)),
+                        lambda x: x.getField("id")).alias(columns[c]) for j, c in enumerate(names)]
+    return per.select(key, *outs)
 
 
 def frame(ids, max_len: int = MAX_LEN) -> Column:

@@ -51,7 +51,9 @@ def _bucket_rank(x: DataFrame, order: list[str]) -> DataFrame:
     offsets = counts.select(
         "_bkt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
         F.sum("_cnt").over(whole).alias("_n"))
-    return (ranked.join(F.broadcast(offsets), "_bkt")
+    # left join: an inner join would add an inferred IsNotNull filter on one
+    # side only, and the two copies of ``ranked`` would no longer share a shuffle
+    return (ranked.join(F.broadcast(offsets), "_bkt", "left")
             .withColumn("_idx", F.col("_off") + F.col("_rn") - 1)
             .drop("_bkt", "_off", "_rn"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redline.functions.text import tokens
-from redline.operators.edits import apply_labels
+from redline.operators.edits import apply_labels, apply_one
 from redline.operators.vocab import id_labels, label_ids
 from redline.plans.session import cut_lineage
 
@@ -79,6 +79,8 @@ def fit(labelled_train: DataFrame, vocab: DataFrame, materialize: bool = True) -
     folder, and each level is read back by partition pruning, so the tagging
     passes never re-run the training-set alignment.
     """
+    if materialize:
+        vocab = cut_lineage(vocab, "label-vocab")
     ctx = label_ids(contexts(labelled_train), vocab)
     counts = _level_counts(ctx)
     # argmax: highest count, ties by lowest id, packed into one long so the
@@ -91,7 +93,6 @@ def fit(labelled_train: DataFrame, vocab: DataFrame, materialize: bool = True) -
                        .cast("int").alias("label_id"), "n_ctx")
     if materialize:
         best = cut_lineage(best, "tagger", partition_by=("level",))
-        vocab = cut_lineage(vocab, "label-vocab")
     tables = {}
     for name, keys in LEVELS.items():
         t = best.where(F.col("level") == name)
@@ -150,21 +151,52 @@ def correct(sentences: DataFrame, model: TaggerModel, text_col: str = "text",
     """Up to ``max_passes`` passes (at least 1). A sentence stops at the
     first pass that changes nothing; since a pass is deterministic, running it
     again after that is a no-op, so the passes are unrolled in one plan and
-    ``passes_used`` records where each sentence stopped."""
+    ``passes_used`` records where each sentence stopped.
+
+    Between passes a sentence is only its token array plus scalar state
+    (``lang``, ``passes_used``, done flag, whether the raw text was already
+    normalised): each pass explodes the tokens, tags them, and regroups per
+    sentence, which yields the next tokens directly. The original columns are
+    joined back once at the end, not once per pass.
+    """
     n = max(1, int(max_passes))
-    cur = sentences.withColumn("_text", F.col(text_col)).withColumn(
-        "passes_used", F.lit(0)).withColumn("_done", F.lit(False))
+    state = sentences.select(
+        "pair_id", "lang", tokens(text_col).alias("_tok"),
+        (F.col(text_col) == F.array_join(tokens(text_col), " ")).alias("_norm"),
+        F.lit(0).alias("passes_used"), F.lit(False).alias("_done"))
     for k in range(1, n + 1):
-        step = correct_once(cur, model, "_text", max_words)
-        stop = F.col("_done") | (F.col("next_text") == F.col("_text"))
-        cur = step.select(
-            *[c for c in step.columns if c not in ("_text", "passes_used", "_done", "next_text")],
-            F.when(stop, F.col("_text")).otherwise(F.col("next_text")).alias("_text"),
-            F.when(F.col("_done"), F.col("passes_used")).otherwise(F.lit(k)).alias("passes_used"),
-            stop.alias("_done"))
+        state = _pass(state, model, k, max_words)
         if checkpoint_passes and k < n:
-            cur = cut_lineage(cur)
-    return cur.withColumnRenamed("_text", "corrected").drop("_done")
+            state = cut_lineage(state, "correct-pass")
+    out = state.select("pair_id", F.array_join("_tok", " ").alias("corrected"), "passes_used")
+    rest = [c for c in sentences.columns if c not in ("pair_id", "corrected", "passes_used")]
+    if set(rest) <= {"lang"}:
+        return state.select("pair_id", "lang", F.array_join("_tok", " ").alias("corrected"), "passes_used")
+    return sentences.join(out, "pair_id", "left")
+
+
+def _pass(state: DataFrame, model: TaggerModel, k: int, max_words: int | None) -> DataFrame:
+    z = state.select("pair_id", "lang", "_norm", "passes_used", "_done", F.col("_tok").alias("_t"),
+                     F.posexplode_outer("_tok").alias("pos", "word"))
+    prev = F.coalesce(F.get(F.col("_t"), F.col("pos") - 1), F.lit(BOS))
+    nxt = F.coalesce(F.get(F.col("_t"), F.col("pos") + 1), F.lit(EOS))
+    visible = F.lit(True) if max_words is None else (F.col("pos") < max_words)
+    words = z.select("pair_id", "lang", "_norm", "passes_used", "_done", "pos",
+                     prev.alias("prev"), "word", nxt.alias("next"), visible.alias("visible"))
+    tagged = tag_words(words, model)
+    g = tagged.groupBy("pair_id").agg(
+        F.first("lang").alias("lang"), F.first("_norm").alias("_norm"),
+        F.first("passes_used").alias("passes_used"), F.first("_done").alias("_done"),
+        F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(),
+                                           F.struct("pos", "word", "label")))).alias("_w"))
+    old = F.transform("_w", lambda x: x.getField("word"))
+    new = F.flatten(F.transform("_w", lambda x: apply_one(x.getField("word"), x.getField("label"))))
+    same = F.col("_norm") & (F.array_join(new, " ") == F.array_join(old, " "))
+    stop = F.col("_done") | same
+    return g.select(
+        "pair_id", "lang", new.alias("_tok"), F.lit(True).alias("_norm"),
+        F.when(F.col("_done"), F.col("passes_used")).otherwise(F.lit(k)).alias("passes_used"),
+        stop.alias("_done"))
 
 
 def validation_nll(labelled_val: DataFrame, model: TaggerModel, batches: DataFrame) -> DataFrame:

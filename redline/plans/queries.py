@@ -299,15 +299,15 @@ def _ints(c):
 
 def q_token_vocab(spark, sf_dir):
     t = _train_tok(spark, sf_dir)
-    texts = t.select(F.col("src_tok").alias("tok")).unionByName(t.select(F.col("tgt_tok").alias("tok")))
+    texts = t.select(F.concat("src_tok", "tgt_tok").alias("tok"))
     return encode.token_vocab(texts)
 
 
 def q_encode_seq2seq(spark, sf_dir):
     t = _train_tok(spark, sf_dir)
-    texts = t.select(F.col("src_tok").alias("tok")).unionByName(t.select(F.col("tgt_tok").alias("tok")))
+    texts = t.select(F.concat("src_tok", "tgt_tok").alias("tok"))
     v = encode.token_vocab(texts)
-    x = encode.token_ids(encode.token_ids(t, v, "src_tok", "src_ids"), v, "tgt_tok", "tgt_ids")
+    x = encode.token_ids(t, v, {"src_tok": "src_ids", "tgt_tok": "tgt_ids"})
     src = encode.frame(F.col("src_ids"))
     tgt = encode.frame(F.col("tgt_ids"))
     tgt_in, tgt_out = encode.shift(tgt)
