@@ -29,6 +29,7 @@ from redline.operators.vocab import id_labels, label_ids
 from redline.plans.session import cut_lineage
 
 BOS, EOS = "<s>", "</s>"
+NANO = 1_000_000_000
 LEVELS = {
     "tri": ("prev", "word", "next"),
     "bi": ("prev", "word"),
@@ -220,8 +221,13 @@ def validation_nll(labelled_val: DataFrame, model: TaggerModel, batches: DataFra
                .when(F.col("bi_n").isNotNull(), F.coalesce("bi_g", F.lit(0)))
                .when(F.col("uni_n").isNotNull(), F.coalesce("uni_g", F.lit(0))).otherwise(F.lit(0)))
     nll = -F.log((level_g + 1) / (level_n + F.lit(v)))
-    rows = x.where("visible").select("pair_id", nll.alias("nll")).join(batches, "pair_id")
-    per_batch = rows.groupBy("batch").agg(F.avg("nll").alias("batch_loss"), F.count(F.lit(1)).alias("n"))
-    return per_batch.agg(F.avg("batch_loss").alias("val_loss"),
+    # Losses are summed as integers in nano-units (floor is exact on a double),
+    # so the result does not depend on how rows are spread over partitions:
+    # a float sum would change in its last digits from run to run.
+    rows = x.where("visible").select("pair_id", F.floor(nll * NANO).cast("bigint").alias("nll_q"))
+    rows = rows.join(batches, "pair_id")
+    per_batch = rows.groupBy("batch").agg(F.sum("nll_q").alias("s"), F.count(F.lit(1)).alias("n"))
+    per_batch = per_batch.select(F.floor(F.col("s") / F.col("n")).cast("bigint").alias("batch_q"), "n")
+    return per_batch.agg((F.sum("batch_q") / F.count(F.lit(1)) / NANO).alias("val_loss"),
                          F.count(F.lit(1)).alias("n_batches"),
                          F.sum("n").alias("n_tokens"))

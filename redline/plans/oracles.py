@@ -337,8 +337,9 @@ nll AS (SELECT pair_id, -ln((CASE WHEN tri_n IS NOT NULL THEN coalesce(tri_g, 0)
                              / (coalesce(tri_n, bi_n, uni_n, 0) + (SELECT v FROM nv))) AS nll FROM j),
 vb AS (SELECT pair_id, (row_number() OVER (ORDER BY pair_id) - 1) // 32 AS batch
        FROM splitted WHERE split = 'val'),
-pb AS (SELECT batch, avg(nll) AS batch_loss, count(*) AS n FROM nll JOIN vb USING (pair_id) GROUP BY batch)
-SELECT avg(batch_loss) AS val_loss, count(*) AS n_batches, CAST(sum(n) AS BIGINT) AS n_tokens FROM pb""")
+pb AS (SELECT batch, CAST(floor(sum(CAST(floor(nll * 1000000000) AS BIGINT)) / count(*)) AS BIGINT) AS batch_q,
+              count(*) AS n FROM nll JOIN vb USING (pair_id) GROUP BY batch)
+SELECT sum(batch_q) / count(*) / 1000000000 AS val_loss, count(*) AS n_batches, CAST(sum(n) AS BIGINT) AS n_tokens FROM pb""")
 
 
 # ---------------------------------------------------------------- prompts, encoding, candidates, runs
