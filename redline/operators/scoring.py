@@ -62,21 +62,19 @@ def apply_corrector(df: DataFrame, factory: Callable[[], Callable], input_col: s
 def nbest_select(cands: DataFrame, group: str = "sent_id") -> DataFrame:
     """Choose one hypothesis per sentence. Finished hypotheses compete on
     ``score / n_tokens``; if none is finished, the raw score decides. The first
-    maximum (lowest ``rank``) wins. One partial+final aggregation per sentence.
+    maximum (lowest ``rank``) wins.
+
+    One ordering expresses both cases: finished first, then the finished
+    length-normalised score or the unfinished raw score, then rank. ``row_number
+    = 1`` is planned as a partial WindowGroupLimit before the shuffle, so each
+    task ships at most one candidate per sentence.
 
     Input columns: ``group, rank, score, n_tokens, finished, text``.
     """
-    norm = F.col("score") / F.col("n_tokens")
-    g = cands.groupBy(group).agg(
-        F.max(F.col("finished").cast("int")).alias("_any_fin"),
-        F.max_by(F.struct("text", "rank", "score", "n_tokens"),
-                 F.struct(F.when(F.col("finished"), norm), (-F.col("rank")))).alias("_fin"),
-        F.max_by(F.struct("text", "rank", "score", "n_tokens"),
-                 F.struct(F.col("score"), (-F.col("rank")))).alias("_raw"))
-    best = F.when(F.col("_any_fin") == 1, F.col("_fin")).otherwise(F.col("_raw"))
-    return g.select(group, best.getField("text").alias("text"),
-                    best.getField("rank").alias("rank"),
-                    F.col("_any_fin").cast("boolean").alias("any_finished"))
+    key = F.when(F.col("finished"), F.col("score") / F.col("n_tokens")).otherwise(F.col("score"))
+    w = Window.partitionBy(group).orderBy(F.desc("finished"), key.desc(), F.asc("rank"))
+    best = cands.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+    return best.select(group, "text", "rank", F.col("finished").alias("any_finished"))
 
 
 def top_candidates(cands: DataFrame, b: int, group: str = "sent_id") -> DataFrame:

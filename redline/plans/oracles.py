@@ -486,3 +486,10 @@ x AS (SELECT pair_id, CASE WHEN incorrect IN ({_na}) THEN NULL ELSE incorrect EN
              CASE WHEN transformation IN ({_na}) THEN NULL ELSE transformation END AS transformation,
              CASE WHEN lang IN ({_na}) THEN NULL ELSE lang END AS lang FROM clean)
 SELECT * FROM x WHERE incorrect IS NOT NULL AND correct IS NOT NULL""")
+
+ORACLES["preview"] = with_base("x AS (SELECT 1) SELECT pair_id, incorrect, correct FROM clean ORDER BY pair_id LIMIT 5")
+ORACLES["distinct_langs"] = with_base("x AS (SELECT 1) SELECT DISTINCT lang FROM raw_multi WHERE lang IS NOT NULL")
+ORACLES["report_rounded"] = f"""
+SELECT *, round(precision, 4) AS precision_r4, round(recall, 4) AS recall_r4, round(f05, 4) AS f05_r4,
+       round(exact_match, 4) AS exact_match_r4
+FROM ({with_base(f"{IDENTITY_ALL}, {_report_lcs('ident')}")}) rep"""

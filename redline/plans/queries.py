@@ -393,6 +393,21 @@ def q_csv_roundtrip(spark, sf_dir):
     return back.select("pair_id", "incorrect", "correct", "transformation", "lang")
 
 
+def q_preview(spark, sf_dir):
+    """The first five pairs in ``pair_id`` order (a top-n, no full sort)."""
+    return corpus.preview(clean_corpus(spark, sf_dir))
+
+
+def q_distinct_langs(spark, sf_dir):
+    """Languages present in the multilingual set."""
+    return corpus.distinct_langs(fixtures.raw_multilingual(pairs(spark, sf_dir)))
+
+
+def q_report_rounded(spark, sf_dir):
+    """F12 + A8: the LCS report with 4-place copies next to the exact values."""
+    return metrics.round4(metrics.f05_lcs(_identity_all(spark, sf_dir), total_row=True))
+
+
 QUERIES = {
     "gec_pairs": q_gec_pairs,
     "corpus_clean": q_corpus_clean,
@@ -435,4 +450,7 @@ QUERIES = {
     "best_run": q_best_run,
     "run_config": q_run_config,
     "csv_roundtrip": q_csv_roundtrip,
+    "preview": q_preview,
+    "distinct_langs": q_distinct_langs,
+    "report_rounded": q_report_rounded,
 }

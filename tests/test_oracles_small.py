@@ -16,7 +16,8 @@ FAST = ["gec_pairs", "corpus_clean", "corpus_noop_filtered", "lang_counts", "spl
         "apply_gold_edits", "roundtrip_audit", "label_counts", "label_vocab", "label_ids",
         "tagger_tag", "correct_iter", "val_loss", "few_shot_prompts", "reply_clean", "token_vocab",
         "encode_seq2seq", "encode_tags", "argmax_labels", "nbest_select", "top_candidates",
-        "minibatches", "best_run", "run_config", "csv_roundtrip"]
+        "minibatches", "best_run", "run_config", "csv_roundtrip", "preview", "distinct_langs",
+        "report_rounded"]
 
 
 def _norm(v):
