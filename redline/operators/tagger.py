@@ -157,8 +157,10 @@ def correct(sentences: DataFrame, model: TaggerModel, text_col: str = "text",
     Between passes a sentence is only its token array plus scalar state
     (``lang``, ``passes_used``, done flag, whether the raw text was already
     normalised): each pass explodes the tokens, tags them, and regroups per
-    sentence, which yields the next tokens directly. The original columns are
-    joined back once at the end, not once per pass.
+    sentence, which yields the next tokens directly.
+
+    Returns ``pair_id, lang, corrected, passes_used``; any other input columns
+    (besides ``text_col``) are joined back once at the end, not once per pass.
     """
     n = max(1, int(max_passes))
     state = sentences.select(
@@ -170,8 +172,8 @@ def correct(sentences: DataFrame, model: TaggerModel, text_col: str = "text",
         if checkpoint_passes and k < n:
             state = cut_lineage(state, "correct-pass")
     out = state.select("pair_id", F.array_join("_tok", " ").alias("corrected"), "passes_used")
-    rest = [c for c in sentences.columns if c not in ("pair_id", "corrected", "passes_used")]
-    if set(rest) <= {"lang"}:
+    rest = [c for c in sentences.columns if c not in ("pair_id", "lang", text_col, "corrected", "passes_used")]
+    if not rest:
         return state.select("pair_id", "lang", F.array_join("_tok", " ").alias("corrected"), "passes_used")
     return sentences.join(out, "pair_id", "left")
 

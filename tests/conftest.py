@@ -20,6 +20,8 @@ def spark():
          .config("spark.checkpoint.dir", ckpt)
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    from redline.plans.session import ship_package
+    ship_package(s)
     yield s
     s.stop()
 
