@@ -18,6 +18,8 @@ used only as a cross-check in tests.
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,7 +66,48 @@ def lcs_len(a, b) -> int:
     return common + len(b) - v.bit_count()
 
 
-def lcs_align(src, tgt) -> list[tuple[int, int]]:
+class _Rows:
+    """DP rows ``V_0..V_m`` as bit vectors. Small tables keep every row; above
+    ``full_table_bits`` only every ``k``-th row (k = ceil(sqrt(m))) is kept and
+    one segment at a time is recomputed from it during the backtrace, which
+    walks rows downwards: memory O(sqrt(m) * n) bits, about twice the forward
+    work, same result."""
+
+    def __init__(self, src, tgt, full_table_bits: int):
+        self.src, self.masks = src, _masks(tgt)
+        self.full = (1 << len(tgt)) - 1
+        m = len(src)
+        self.k = 1 if m * len(tgt) <= full_table_bits else max(1, math.isqrt(m - 1) + 1)
+        self.ck: list[int] = []
+        self.seg, self.cache = -1, []
+        v = self.full
+        for i in range(m + 1):
+            if i % self.k == 0:
+                self.ck.append(v)
+            if i < m:
+                v = self._step(v, src[i])
+
+    def _step(self, v: int, tok) -> int:
+        u = v & self.masks.get(tok, 0)
+        return ((v + u) | (v - u)) & self.full if u else v
+
+    def get(self, i: int) -> int:
+        s, r = divmod(i, self.k)
+        if r == 0:
+            return self.ck[s]
+        if s != self.seg:
+            v, cache = self.ck[s], []
+            for t in range(s * self.k, min(s * self.k + self.k, len(self.src) + 1) - 1):
+                v = self._step(v, self.src[t])
+                cache.append(v)
+            self.seg, self.cache = s, cache
+        return self.cache[r - 1]
+
+
+FULL_TABLE_BITS = 1 << 26  # 8 MB of DP bits per pair before rows are recomputed
+
+
+def lcs_align(src, tgt, full_table_bits: int = FULL_TABLE_BITS) -> list[tuple[int, int]]:
     """Matched ``(src_idx, tgt_idx)`` pairs, 0-based, increasing in both."""
     m, n = len(src), len(tgt)
     out: list[tuple[int, int]] = []
@@ -73,18 +116,10 @@ def lcs_align(src, tgt) -> list[tuple[int, int]]:
         n -= 1
         out.append((m, n))
     if m > 0 and n > 0:
-        masks = _masks(tgt[:n])
-        full = (1 << n) - 1
-        rows = [full]
-        v = full
-        for tok in src[:m]:
-            u = v & masks.get(tok, 0)
-            if u:
-                v = ((v + u) | (v - u)) & full
-            rows.append(v)
+        rows = _Rows(src[:m], tgt[:n], full_table_bits)
 
         def dp(i: int, j: int) -> int:
-            return j - (rows[i] & ((1 << j) - 1)).bit_count()
+            return j - (rows.get(i) & ((1 << j) - 1)).bit_count()
 
         i, j = m, n
         while i > 0 and j > 0:

@@ -58,19 +58,32 @@ def _bucket_rank(x: DataFrame, order: list[str]) -> DataFrame:
             .drop("_bkt", "_off", "_rn"))
 
 
+BUCKET_BITS_CONF = "redline.rank.bucketBits"
+
+
+def _bucket_bits(df: DataFrame, bucket_bits: int | None) -> int:
+    """Explicit value, else the session setting, else 16 (65,536 buckets: about
+    1.5M rows per bucket at 1e11 rows; raise to 20 for larger tables)."""
+    if bucket_bits is None:
+        bucket_bits = int(df.sparkSession.conf.get(BUCKET_BITS_CONF, "16"))
+    return max(1, min(int(bucket_bits), 24))
+
+
 def global_rank(df: DataFrame, seed: int = SEED, key: str = "pair_id",
-                tie: str = "pair_id", bucket_bits: int = 16) -> DataFrame:
+                tie: str = "pair_id", bucket_bits: int | None = None) -> DataFrame:
     """Adds ``_h`` (order key), ``_idx`` (0-based rank in ``(_h, tie)`` order)
     and ``_n`` (row count)."""
+    bucket_bits = _bucket_bits(df, bucket_bits)
     x = df.withColumn("_h", seeded_hash(seed, key))
     x = x.withColumn("_bkt", F.shiftright("_h", 32 - bucket_bits))
     return _bucket_rank(x, ["_h", tie])
 
 
-def rank_by(df: DataFrame, col: str = "pair_id", n_buckets: int = 1 << 16) -> DataFrame:
+def rank_by(df: DataFrame, col: str = "pair_id", n_buckets: int | None = None) -> DataFrame:
     """Rank in ascending order of a unique integer column. Buckets are equal
     value ranges between min and max (two lazy scalar subqueries); since the
     values are unique, no bucket holds more than ``range / n_buckets`` rows."""
+    n_buckets = n_buckets or (1 << _bucket_bits(df, None))
     bounds = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
     lo = bounds.select("lo").scalar()
     width = bounds.select(F.floor((F.col("hi") - F.col("lo")) / n_buckets) + 1).scalar()

@@ -35,6 +35,7 @@ def test_lcs_and_alignment_match_plain_dp(a, b):
     length, al = dp_align(a, b)
     assert lcs_len(a, b) == length
     assert lcs_align(a, b) == al
+    assert lcs_align(a, b, full_table_bits=0) == al   # checkpointed rows, same result
     assert all(a[s] == b[t] for s, t in al)
     assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(al, al[1:]))
 
@@ -44,6 +45,7 @@ def test_long_sentences_are_whole():
     b = a[1:] + a[:1]  # a rotation: LCS is everything but one word
     assert lcs_len(a, b) == 2999
     assert len(lcs_align(a, b)) == 2999
+    assert lcs_align(a, b, full_table_bits=0) == lcs_align(a, b)
 
 
 def test_udf_equals_native(spark):
