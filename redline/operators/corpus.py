@@ -26,8 +26,11 @@ def require_column(df: DataFrame, name: str, why: str) -> None:
 def project_raw(raw: DataFrame, lang: str | None = None, keep=("pair_id",)) -> DataFrame:
     """T1 + T2/T8: ``modified -> incorrect``, ``sentence -> correct``; a constant
     language when asked for or when the set has no ``lang`` column."""
-    lang_col = F.lit(lang) if lang is not None or "lang" not in raw.columns else F.col("lang")
-    if lang is None and "lang" not in raw.columns:
+    if lang is not None:
+        lang_col = F.lit(lang)
+    elif "lang" in raw.columns:
+        lang_col = F.col("lang")
+    else:
         lang_col = F.lit("en")
     extra = [c for c in keep if c in raw.columns]
     return raw.select(*extra, F.col("modified").alias("incorrect"),
