@@ -18,8 +18,9 @@ is cut after every pass in the shared checkpoint folder.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +45,30 @@ class TaggerModel:
     uni: DataFrame
     vocab: DataFrame
     counts: dict  # level -> (lang, context..., label_id, n)
+    _partitioned: "TaggerModel | None" = field(default=None, repr=False, compare=False)
 
     def tables(self) -> dict[str, DataFrame]:
         return {"tri": self.tri, "bi": self.bi, "uni": self.uni}
 
+    def partitioned(self) -> "TaggerModel":
+        """The same model with each table hash-partitioned on its join keys
+        and persisted (memory and disk), for repeated tagging passes: the
+        passes then shuffle only the words, never the model again. A lost
+        block is rebuilt from the stored table. Memoised per model."""
+        if self._partitioned is None:
+            parts = int(self.tri.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            keep = {name: t.repartition(parts, "lang", *LEVELS[name]).persist(StorageLevel.MEMORY_AND_DISK)
+                    for name, t in self.tables().items()}
+            self._partitioned = TaggerModel(keep["tri"], keep["bi"], keep["uni"], self.vocab, self.counts)
+        return self._partitioned
+
+    def release(self) -> None:
+        """Drop the persisted partitioned copy (after the corrections are written)."""
+        if self._partitioned is not None:
+            for t in self._partitioned.tables().values():
+                t.unpersist()
+            self._partitioned = None
+
 
 def contexts(df: DataFrame, tok_col: str = "src_tok", extra=("labels",),
              max_words: int | None = None) -> DataFrame:
@@ -163,6 +184,8 @@ def correct(sentences: DataFrame, model: TaggerModel, text_col: str = "text",
     (besides ``text_col``) are joined back once at the end, not once per pass.
     """
     n = max(1, int(max_passes))
+    if n > 1:
+        model = model.partitioned()
     state = sentences.select(
         "pair_id", "lang", tokens(text_col).alias("_tok"),
         (F.col(text_col) == F.array_join(tokens(text_col), " ")).alias("_norm"),
