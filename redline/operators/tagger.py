@@ -2,18 +2,20 @@
 
 Stands in for the neural tag classifier with the same interface (word ->
 label): ``P(label | prev, word, next)`` with back-off to ``(prev, word)``,
-``(word)`` and finally ``$KEEP``. Fitting is two hash aggregations per context
-level (counts, then the argmax: highest count, ties by lowest ``label_id``);
-both aggregate map-side, so a hot context ships one partial row per task.
-Every table carries ``lang``: one model per language.
+``(word)`` and finally ``$KEEP``. Fitting counts all three context levels in
+one grouping-sets aggregation and takes the argmax (highest count, ties by
+lowest ``label_id``) in a second one; both aggregate map-side, so a hot
+context ships one partial row per task. Every table carries ``lang``: one
+model per language.
 
 Tagging explodes the words with their neighbours (read from the token array by
 position, no window), left-joins the three context tables (sort-merge at scale,
 broadcast when Spark's size estimate is under the threshold; AQE splits skewed
 join partitions), maps ids back to labels through the bounded vocabulary
 (broadcast), and regroups per sentence in position order. ``correct`` unrolls
-``max_passes`` such passes in one plan; with ``checkpoint_passes`` the lineage
-is cut after every pass in the shared checkpoint folder.
+``max_passes`` such passes in one plan over a hash-partitioned, persisted copy
+of the model, so a pass shuffles only the words; with ``checkpoint_passes``
+the lineage is cut after every pass in the shared checkpoint folder.
 """
 
 from __future__ import annotations
