@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redline.operators.edits import DELETE, KEEP
+from redline.plans.session import cut_lineage
 
 TOP_K = 5000
 FIXED = (KEEP, DELETE)
@@ -30,7 +31,7 @@ def label_counts(edits: DataFrame) -> DataFrame:
         F.min_by("pos", "pair_id").alias("first_pos"))
 
 
-def label_vocab(edits_or_counts: DataFrame, top_k: int = TOP_K) -> DataFrame:
+def label_vocab(edits_or_counts: DataFrame, top_k: int = TOP_K, materialize: bool = True) -> DataFrame:
     """A4 + W5 + W6 + T10: ``label, label_id, freq``.
 
     The top-K cut is taken with KEEP/DELETE included; they are then removed and
@@ -38,16 +39,26 @@ def label_vocab(edits_or_counts: DataFrame, top_k: int = TOP_K) -> DataFrame:
     seen) order, as ``Counter.most_common`` orders ties by first insertion.
     """
     counts = edits_or_counts if "freq" in edits_or_counts.columns else label_counts(edits_or_counts)
+    if materialize:
+        # one row per distinct label, read by the top-K and the fixed-label
+        # branches: stored once so the edits (and their alignment) are not
+        # computed twice
+        counts = cut_lineage(counts, "label-counts")
     top = counts.orderBy(F.desc("freq"), "first_pair", "first_pos").limit(top_k)
     rest = top.where(~F.col("label").isin(*FIXED))
     # The ranked table holds at most top_k rows: a window without partition is bounded.
     w = Window.orderBy(F.desc("freq"), "first_pair", "first_pos")
     ranked = rest.select("label", (F.row_number().over(w) + 1).alias("label_id"), "freq")
-    fixed_freq = counts.where(F.col("label").isin(*FIXED)).select("label", "freq")
-    fixed = (edits_or_counts.sparkSession.createDataFrame(
-        [(KEEP, 0), (DELETE, 1)], "label string, label_id int")
-        .join(F.broadcast(fixed_freq), "label", "left")
-        .select("label", "label_id", F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq")))
+    # KEEP / DELETE frequencies from a one-row conditional aggregate over the
+    # same counts: nothing can be pushed below it, so this branch shares the
+    # counts' shuffle instead of re-reading (and re-aligning) the edits
+    ff = counts.agg(F.max(F.when(F.col("label") == KEEP, F.col("freq"))).alias("k"),
+                    F.max(F.when(F.col("label") == DELETE, F.col("freq"))).alias("d"))
+    fixed = ff.select(F.inline(F.array(
+        F.struct(F.lit(KEEP).alias("label"), F.lit(0).alias("label_id"),
+                 F.coalesce("k", F.lit(0)).cast("bigint").alias("freq")),
+        F.struct(F.lit(DELETE).alias("label"), F.lit(1).alias("label_id"),
+                 F.coalesce("d", F.lit(0)).cast("bigint").alias("freq")))))
     return fixed.unionByName(ranked.select("label", F.col("label_id").cast("int"), "freq"))
 
 

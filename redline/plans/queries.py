@@ -130,9 +130,14 @@ def labelled_corpus(spark, sf_dir):
     return edits.with_labels(clean_corpus(spark, sf_dir))
 
 
-def train_edits(spark, sf_dir):
+def train_edits(spark, sf_dir, materialize: bool = False):
+    """Edit table of the training split. With ``materialize`` the labelled set
+    is written once to the shared folder, for queries that read it twice."""
     train = split_corpus(spark, sf_dir).where(F.col("split") == "train")
-    return edits.edit_table(edits.with_labels(train))
+    labelled = edits.with_labels(train).select("pair_id", "lang", "src_tok", "labels")
+    if materialize:
+        labelled = cut_lineage(labelled, "labelled-train")
+    return edits.edit_table(labelled)
 
 
 def q_align_pairs(spark, sf_dir):
@@ -165,7 +170,7 @@ def q_label_vocab(spark, sf_dir):
 
 
 def q_label_ids(spark, sf_dir):
-    e = train_edits(spark, sf_dir)
+    e = train_edits(spark, sf_dir, materialize=True)
     v = vocab.label_vocab(vocab.label_counts(e))
     return vocab.label_ids(e, v).select("pair_id", F.col("pos").cast("bigint").alias("pos"), "label_id")
 
@@ -316,17 +321,15 @@ def q_encode_seq2seq(spark, sf_dir):
 
 
 def q_encode_tags(spark, sf_dir):
-    train = split_corpus(spark, sf_dir).where(F.col("split") == "train")
-    labelled = edits.with_labels(train)
-    e = edits.edit_table(labelled)
+    """label ids per word (J2), then the fixed-length tag rows. Every clean
+    pair has at least one word, so the word count is the length of its id list."""
+    e = train_edits(spark, sf_dir, materialize=True)
     v = vocab.label_vocab(vocab.label_counts(e))
     ids = vocab.label_ids(e, v).groupBy("pair_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "label_id"))).alias("_p"))
     ids = ids.select("pair_id", F.transform("_p", lambda x: x.getField("label_id")).alias("lids"))
-    x = labelled.select("pair_id", F.size("src_tok").alias("n")).join(ids, "pair_id", "left")
-    wids = encode.word_ids(F.col("n"))
-    return x.select("pair_id", _ints(encode.tag_labels(wids, F.coalesce("lids", F.array().cast("array<int>"))))
-                    .alias("labels"))
+    wids = encode.word_ids(F.size("lids"))
+    return ids.select("pair_id", _ints(encode.tag_labels(wids, F.col("lids"))).alias("labels"))
 
 
 def q_argmax_labels(spark, sf_dir):
