@@ -40,7 +40,7 @@ def label_and_fit_job(train: DataFrame, vocab_path: str | None = None, lang: str
                            "labelled-train")
     v = pair_io.load_vocab(train.sparkSession, vocab_path, lang, top_k) if vocab_path else None
     if v is None:
-        v = vocab.label_vocab(vocab.label_counts(edits.edit_table(labelled)), top_k)
+        v = vocab.label_vocab(vocab.label_counts(edits.edit_table(labelled)), top_k, materialize=False)
         if vocab_path:
             pair_io.save_vocab(v, vocab_path, lang, top_k)
     return tagger.fit(labelled, v)

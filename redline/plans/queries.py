@@ -181,7 +181,8 @@ def fitted_tagger(spark, sf_dir):
     train = split_corpus(spark, sf_dir).where(F.col("split") == "train")
     labelled = cut_lineage(edits.with_labels(train).select(
         "pair_id", "lang", "src_tok", "labels"))
-    v = vocab.label_vocab(vocab.label_counts(edits.edit_table(labelled)))
+    # labelled is stored already; fit stores the vocabulary itself
+    v = vocab.label_vocab(vocab.label_counts(edits.edit_table(labelled)), materialize=False)
     return tagger.fit(labelled, v)
 
 
