@@ -68,24 +68,32 @@ def frame(ids, max_len: int = MAX_LEN) -> Column:
     return F.concat(seq, F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - F.size(seq)))
 
 
-def attention_mask(framed) -> Column:
-    return F.transform(framed, lambda x: F.when(x == PAD_ID, 0).otherwise(1))
+def _content_len(framed, max_len: int) -> Column:
+    """Length of ``<s> ids </s>`` in a framed row: the first ``PAD_ID`` (content
+    ids start at ``N_SPECIAL``, so padding is the only ``PAD_ID``)."""
+    p = F.array_position(framed, F.lit(PAD_ID))
+    return F.when(p == 0, F.lit(max_len)).otherwise(p - 1).cast("int")
+
+
+def attention_mask(framed, max_len: int = MAX_LEN) -> Column:
+    """1 for the framed sequence, 0 for padding (array functions, no lambda)."""
+    n = _content_len(framed, max_len)
+    return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_len) - n))
 
 
 def shift(framed, max_len: int = MAX_LEN) -> tuple[Column, Column]:
     """decoder input = all but last; output = all but first, pad -> -100."""
+    n = _content_len(framed, max_len)
     tgt_in = F.slice(framed, 1, max_len - 1)
-    tgt_out = F.transform(F.slice(framed, 2, max_len - 1),
-                          lambda x: F.when(x == PAD_ID, IGNORE).otherwise(x))
+    tgt_out = F.concat(F.slice(framed, 2, n - 1), F.array_repeat(F.lit(IGNORE), F.lit(max_len) - n))
     return tgt_in, tgt_out
 
 
 def word_ids(n_words, max_len: int = MAX_LEN) -> Column:
     """Word index per position for the whitespace tokenizer (null for specials
     and padding): one token per word."""
-    kept = F.least(n_words, F.lit(max_len - 2))
-    body = F.transform(F.sequence(F.lit(0), kept - 1), lambda i: i.cast("int"))
-    body = F.when(kept > 0, body).otherwise(F.array().cast("array<int>"))
+    kept = F.least(n_words, F.lit(max_len - 2)).cast("int")
+    body = F.when(kept > 0, F.sequence(F.lit(0), kept - 1)).otherwise(F.array().cast("array<int>"))
     seq = F.concat(F.array(F.lit(None).cast("int")), body, F.array(F.lit(None).cast("int")))
     return F.concat(seq, F.array_repeat(F.lit(None).cast("int"), F.lit(max_len) - F.size(seq)))
 

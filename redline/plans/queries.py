@@ -300,7 +300,7 @@ def _train_tok(spark, sf_dir):
 
 
 def _ints(c):
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    return F.array_join(c.cast("array<string>"), " ")
 
 
 def q_token_vocab(spark, sf_dir):
