@@ -62,11 +62,22 @@ BUCKET_BITS_CONF = "redline.rank.bucketBits"
 
 
 def _bucket_bits(df: DataFrame, bucket_bits: int | None) -> int:
-    """Explicit value, else the session setting, else 16 (65,536 buckets: about
-    1.5M rows per bucket at 1e11 rows; raise to 20 for larger tables)."""
+    """Explicit value, else the session setting, else sized from the data:
+    about 1 MB per bucket by Catalyst's size estimate, never fewer buckets than
+    4x the cluster's parallelism, between 2^4 and 2^20. Few buckets cost
+    nothing per bucket; the bounds keep every bucket window small (an unknown
+    size estimate is huge and gives the maximum)."""
     if bucket_bits is None:
-        bucket_bits = int(df.sparkSession.conf.get(BUCKET_BITS_CONF, "16"))
-    return max(1, min(int(bucket_bits), 24))
+        conf = df.sparkSession.conf.get(BUCKET_BITS_CONF, None)
+        if conf is not None:
+            bucket_bits = int(conf)
+        else:
+            size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            cores = df.sparkSession.sparkContext.defaultParallelism
+            by_size = math.ceil(math.log2(max(size, 1) / (1 << 20))) if size > (1 << 20) else 0
+            by_cores = math.ceil(math.log2(4 * max(cores, 1)))
+            bucket_bits = max(by_size, by_cores)
+    return max(4, min(int(bucket_bits), 20))
 
 
 def global_rank(df: DataFrame, seed: int = SEED, key: str = "pair_id",
