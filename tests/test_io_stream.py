@@ -64,3 +64,28 @@ def test_corpus_stream_equals_batch(spark):
     batch = batch.select("pair_id", "split", "lang")
     assert streamed.count() == batch.count()
     assert streamed.exceptAll(batch).count() == 0
+
+
+def test_corpus_stream_resumes_from_checkpoint(spark):
+    from pyspark.sql import functions as F
+
+    from redline.operators import corpus, split
+    from redline.sources import fixtures
+
+    out = tempfile.mkdtemp(prefix="redline-stream2-out-")
+    ckpt = tempfile.mkdtemp(prefix="redline-stream2-ckpt-")
+    docs_dir = tempfile.mkdtemp(prefix="redline-stream2-in-")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs.where(F.col("doc_id") % 2 == 0).write.mode("append").parquet(docs_dir)
+    corpus_stream.start(spark, docs_dir, out, ckpt).awaitTermination(300)
+    first = spark.read.parquet(out).count()
+    # new input arrives; the restarted query reads only the new file
+    docs.where(F.col("doc_id") % 2 == 1).write.mode("append").parquet(docs_dir)
+    corpus_stream.start(spark, docs_dir, out, ckpt).awaitTermination(300)
+    streamed = spark.read.parquet(out).select("pair_id", "split", "lang")
+    p = fixtures.gec_pairs(spark, SMALL)
+    batch = split.hash_split(corpus.build_corpus(fixtures.raw_english(p), fixtures.raw_multilingual(p), "es"))
+    batch = batch.select("pair_id", "split", "lang")
+    assert 0 < first < streamed.count() == batch.count()
+    assert streamed.select("pair_id").distinct().count() == streamed.count()
+    assert streamed.exceptAll(batch).count() == 0
