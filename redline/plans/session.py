@@ -90,4 +90,21 @@ def cut_lineage(df: DataFrame, name: str = "table", partition_by=()) -> DataFram
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").partitionBy(*partition_by).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
+
+
+_WRITTEN: dict = {}
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the tables this application wrote with ``cut_lineage`` (through
+    the Hadoop FileSystem API, so shared storage works too). Call it once the
+    results that read them are written; returns the number removed."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    hconf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        jp = jvm.org.apache.hadoop.fs.Path(p)
+        jp.getFileSystem(hconf).delete(jp, True)
+    return len(paths)

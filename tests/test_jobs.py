@@ -102,3 +102,15 @@ def test_prompt_job_with_echo_generator(spark):
     out = jobs.prompt_job(ranked, echo, few_shot=True)
     assert out.where(F.col("prediction") != "fixed").count() == 0
     assert out.where("had_error").count() == 0
+
+
+def test_drop_tables_removes_written_tables(spark):
+    from redline.plans.session import cut_lineage, drop_tables
+
+    drop_tables(spark)
+    t = cut_lineage(spark.range(10), "probe")
+    assert t.count() == 10
+    path = t.inputFiles()[0].split("/part-")[0].replace("file:", "")
+    assert os.path.isdir(path)
+    assert drop_tables(spark) == 1
+    assert not os.path.exists(path)
