@@ -258,9 +258,9 @@ tctx AS (SELECT c.*, CAST(coalesce(v.label_id, 0) AS INTEGER) AS label_id
 c_tri AS (SELECT lang, prev, word, next, label_id, count(*) AS n FROM tctx GROUP BY ALL),
 c_bi AS (SELECT lang, prev, word, label_id, count(*) AS n FROM tctx GROUP BY ALL),
 c_uni AS (SELECT lang, word, label_id, count(*) AS n FROM tctx GROUP BY ALL),
-m_tri AS (SELECT lang, prev, word, next, first(label_id ORDER BY n DESC, label_id) AS tri_id, sum(n) AS tri_n FROM c_tri GROUP BY ALL),
-m_bi AS (SELECT lang, prev, word, first(label_id ORDER BY n DESC, label_id) AS bi_id, sum(n) AS bi_n FROM c_bi GROUP BY ALL),
-m_uni AS (SELECT lang, word, first(label_id ORDER BY n DESC, label_id) AS uni_id, sum(n) AS uni_n FROM c_uni GROUP BY ALL)"""
+m_tri AS (SELECT lang, prev, word, next, first(label_id ORDER BY n DESC, label_id) AS tri_id, CAST(sum(n) AS BIGINT) AS tri_n FROM c_tri GROUP BY ALL),
+m_bi AS (SELECT lang, prev, word, first(label_id ORDER BY n DESC, label_id) AS bi_id, CAST(sum(n) AS BIGINT) AS bi_n FROM c_bi GROUP BY ALL),
+m_uni AS (SELECT lang, word, first(label_id ORDER BY n DESC, label_id) AS uni_id, CAST(sum(n) AS BIGINT) AS uni_n FROM c_uni GROUP BY ALL)"""
 
 
 def _pass(k: int, src: str) -> str:

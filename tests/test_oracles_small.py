@@ -20,6 +20,10 @@ FAST = ["gec_pairs", "corpus_clean", "corpus_noop_filtered", "lang_counts", "spl
         "report_rounded"]
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+         "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
 def _norm(v):
     if isinstance(v, float):
         return repr(round(v, 9))
@@ -53,6 +57,10 @@ def test_query_matches_oracle(spark, duck, name):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    spark_types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    duck_types = {d[0]: str(d[1]) for d in res.description}
+    assert spark_types == duck_types
     assert len(rows) == len(drows)
     assert _digest(df.columns, rows) == _digest(dcols, drows)
 
