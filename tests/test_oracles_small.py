@@ -10,14 +10,7 @@ from redline.sources.fixtures import TABLES
 
 SMALL = "/root/testdata/sf0.001"
 
-FAST = ["gec_pairs", "corpus_clean", "corpus_noop_filtered", "lang_counts", "split_lang_counts",
-        "split_exact", "split_75_25", "sample_per_lang", "tokens_norm", "lcs_pairs", "f05_lcs_by_lang",
-        "f05_set_by_lang", "exact_match_by_lang", "eval_identity", "align_pairs", "edit_table",
-        "apply_gold_edits", "roundtrip_audit", "label_counts", "label_vocab", "label_ids",
-        "tagger_tag", "correct_iter", "val_loss", "few_shot_prompts", "reply_clean", "token_vocab",
-        "encode_seq2seq", "encode_tags", "argmax_labels", "nbest_select", "top_candidates",
-        "minibatches", "best_run", "run_config", "csv_roundtrip", "preview", "distinct_langs",
-        "report_rounded"]
+FAST = sorted(E.queries())
 
 
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
