@@ -61,10 +61,24 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    if not sc.master.startswith("local"):
+        # on a cluster the executors fetch the zip from the shared folder
+        out = stage_shared(spark, out, f"{key}-redline.zip")
     sc.addPyFile(out)
     _SHIPPED.add(key)
 
 
+def stage_shared(spark: SparkSession, local_file: str, name: str) -> str:
+    """Copy a driver-side file into the shared checkpoint folder (Hadoop
+    FileSystem API) and return its shared path."""
+    sc = spark.sparkContext
+    shared = f"{checkpoint_dir(spark).rstrip('/')}/pyfiles/{name}"
+    jvm, hconf = sc._jvm, sc._jsc.hadoopConfiguration()
+    dst = jvm.org.apache.hadoop.fs.Path(shared)
+    dst.getFileSystem(hconf).copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(local_file), dst)
+    return shared
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; a scratch folder only in local mode."""
     sc = spark.sparkContext

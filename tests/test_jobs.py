@@ -114,3 +114,15 @@ def test_drop_tables_removes_written_tables(spark):
     assert os.path.isdir(path)
     assert drop_tables(spark) == 1
     assert not os.path.exists(path)
+
+
+def test_stage_shared_copies_into_checkpoint_folder(spark):
+    from redline.plans.session import checkpoint_dir, stage_shared
+
+    src = os.path.join(tempfile.mkdtemp(prefix="redline-stage-"), "x.zip")
+    with open(src, "wb") as f:
+        f.write(b"PK-test")
+    shared = stage_shared(spark, src, "probe.zip")
+    assert shared.startswith(checkpoint_dir(spark).rstrip("/"))
+    with open(shared.replace("file:", ""), "rb") as f:
+        assert f.read() == b"PK-test"
