@@ -12,10 +12,12 @@ Tagging explodes the words with their neighbours (read from the token array by
 position, no window), left-joins the three context tables (sort-merge at scale,
 broadcast when Spark's size estimate is under the threshold; AQE splits skewed
 join partitions), maps ids back to labels through the bounded vocabulary
-(broadcast), and regroups per sentence in position order. ``correct`` unrolls
-``max_passes`` such passes in one plan over a hash-partitioned, persisted copy
-of the model, so a pass shuffles only the words; with ``checkpoint_passes``
-the lineage is cut after every pass in the shared checkpoint folder.
+(broadcast), and regroups per sentence in position order. Tagging joins only
+the decisive contexts (those whose prediction differs from their back-off;
+about 2-5% of the model here, since ``$KEEP`` dominates), which gives the same
+labels. ``correct`` unrolls ``max_passes`` such passes in one plan; with
+``checkpoint_passes`` the lineage is cut after every pass in the shared
+checkpoint folder.
 """
 
 from __future__ import annotations
@@ -47,11 +49,25 @@ class TaggerModel:
     uni: DataFrame
     vocab: DataFrame
     counts: dict  # level -> (lang, context..., label_id, n)
+    materialize: bool = True
+    _decisive: dict | None = field(default=None, repr=False, compare=False)
     _partitioned: "TaggerModel | None" = field(default=None, repr=False, compare=False)
 
     def tables(self) -> dict[str, DataFrame]:
         return {"tri": self.tri, "bi": self.bi, "uni": self.uni}
 
+    def tag_tables(self) -> dict[str, DataFrame]:
+        """The tables tagging joins: only the decisive contexts (see
+        ``_decisive``), built on first use, stored when the model is, and
+        memoised."""
+        if self._decisive is None:
+            d = _decisive(self.tables())
+            if self.materialize:
+                d = cut_lineage(d, "tagger-decisive", partition_by=("level",))
+            self._decisive = {name: d.where(F.col("level") == name).select(
+                "lang", *keys, F.col("label_id").alias(f"{name}_id")) for name, keys in LEVELS.items()}
+        return self._decisive
+
     def partitioned(self) -> "TaggerModel":
         """The same model with each table hash-partitioned on its join keys
         and persisted (memory and disk), for repeated tagging passes: the
@@ -60,8 +76,9 @@ class TaggerModel:
         if self._partitioned is None:
             parts = int(self.tri.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             keep = {name: t.repartition(parts, "lang", *LEVELS[name]).persist(StorageLevel.MEMORY_AND_DISK)
-                    for name, t in self.tables().items()}
-            self._partitioned = TaggerModel(keep["tri"], keep["bi"], keep["uni"], self.vocab, self.counts)
+                    for name, t in self.tag_tables().items()}
+            self._partitioned = TaggerModel(keep["tri"], keep["bi"], keep["uni"], self.vocab, self.counts,
+                                            False, {n: keep[n] for n in LEVELS})
         return self._partitioned
 
     def release(self) -> None:
@@ -124,7 +141,33 @@ def fit(labelled_train: DataFrame, vocab: DataFrame, materialize: bool = True) -
                                 F.col("n_ctx").alias(f"{name}_n"))
     per_level = {name: counts.where(F.col("level") == name).select("lang", *keys, "label_id", "n")
                  for name, keys in LEVELS.items()}
-    return TaggerModel(tables["tri"], tables["bi"], tables["uni"], vocab, per_level)
+    return TaggerModel(tables["tri"], tables["bi"], tables["uni"], vocab, per_level, materialize)
+
+
+def _decisive(tables: dict) -> DataFrame:
+    """Only the contexts whose prediction differs from what the back-off below
+    them gives: a unigram unless it predicts ``$KEEP``, a bigram unless it
+    equals its unigram's prediction, a trigram unless it equals its bigram's.
+    Tagging with these tables gives exactly the same labels (by induction on
+    the back-off chain), and since ``$KEEP`` dominates they are a small part
+    of the model. One pair of joins at fit time; every pass then joins the
+    words against far smaller tables."""
+    uni = tables["uni"].select("lang", "word", "uni_id")
+    bi = tables["bi"].select("lang", "prev", "word", "bi_id")
+    e_uni = F.coalesce("uni_id", F.lit(0))
+    bi_e = bi.join(uni, ["lang", "word"], "left")
+    tri_e = (tables["tri"].select("lang", "prev", "word", "next", "tri_id")
+             .join(bi, ["lang", "prev", "word"], "left").join(uni, ["lang", "word"], "left"))
+    none = F.lit(None).cast("string")
+    keep_uni = uni.where(F.col("uni_id") != 0).select(
+        F.lit("uni").alias("level"), "lang", none.alias("prev"), "word", none.alias("next"),
+        F.col("uni_id").alias("label_id"))
+    keep_bi = bi_e.where(F.col("bi_id") != e_uni).select(
+        F.lit("bi").alias("level"), "lang", "prev", "word", none.alias("next"),
+        F.col("bi_id").alias("label_id"))
+    keep_tri = tri_e.where(F.col("tri_id") != F.coalesce("bi_id", e_uni)).select(
+        F.lit("tri").alias("level"), "lang", "prev", "word", "next", F.col("tri_id").alias("label_id"))
+    return keep_uni.unionByName(keep_bi).unionByName(keep_tri)
 
 
 def _level_counts(ctx: DataFrame) -> DataFrame:
@@ -143,7 +186,7 @@ def tag_words(words: DataFrame, model: TaggerModel) -> DataFrame:
     words a fixed-length model cannot see keep themselves (J5)."""
     x = words
     for name, keys in LEVELS.items():
-        t = model.tables()[name].select("lang", *keys, f"{name}_id")
+        t = model.tag_tables()[name].select("lang", *keys, f"{name}_id")
         x = x.join(t, ["lang", *keys], "left")
     lid = F.when(F.col("visible"), F.coalesce("tri_id", "bi_id", "uni_id", F.lit(0))).otherwise(F.lit(0))
     x = x.withColumn("label_id", lid).drop("tri_id", "bi_id", "uni_id")
@@ -171,7 +214,7 @@ def correct_once(sentences: DataFrame, model: TaggerModel, text_col: str = "text
 
 def correct(sentences: DataFrame, model: TaggerModel, text_col: str = "text",
             max_passes: int = 3, max_words: int | None = None,
-            checkpoint_passes: bool = False) -> DataFrame:
+            checkpoint_passes: bool = False, partition_model: bool = False) -> DataFrame:
     """Up to ``max_passes`` passes (at least 1). A sentence stops at the
     first pass that changes nothing; since a pass is deterministic, running it
     again after that is a no-op, so the passes are unrolled in one plan and
@@ -186,7 +229,7 @@ def correct(sentences: DataFrame, model: TaggerModel, text_col: str = "text",
     (besides ``text_col``) are joined back once at the end, not once per pass.
     """
     n = max(1, int(max_passes))
-    if n > 1:
+    if n > 1 and partition_model:
         model = model.partitioned()
     state = sentences.select(
         "pair_id", "lang", tokens(text_col).alias("_tok"),

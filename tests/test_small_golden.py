@@ -115,3 +115,15 @@ def test_tagger_max_words_keeps_hidden_words(spark):
     assert full == " ".join(apply(words, labels))
     assert cut == " ".join(apply(words[:3], labels[:3]) + words[3:])
     assert full != cut
+
+
+def test_decisive_tables_tag_like_the_full_model(spark):
+    m = _model(spark)
+    full = tagger.TaggerModel(m.tri, m.bi, m.uni, m.vocab, m.counts, False, m.tables())
+    s = spark.createDataFrame([(i, "en", t) for i, t in enumerate(
+        ["he go home", "a a a cat", "they goes in now", "she go out he go", "x y z"])],
+        "pair_id long, lang string, text string")
+    got = {r.pair_id: r.labels for r in tagger.tag(s, m).collect()}
+    want = {r.pair_id: r.labels for r in tagger.tag(s, full).collect()}
+    assert got == want
+    assert sum(t.count() for t in m.tag_tables().values()) < sum(t.count() for t in m.tables().values())
