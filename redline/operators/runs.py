@@ -38,15 +38,18 @@ def best_checkpoint(runs: DataFrame, run: str = "run_id", epoch: str = "epoch",
     ties, as a strict ``<`` running best does), and how often a checkpoint
     would have been saved."""
     w = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
-    saved = runs.withColumn("_best_before", F.min(val_loss).over(w)).withColumn(
-        "saved", F.col("_best_before").isNull() | (F.col(val_loss) < F.col("_best_before")))
-    return saved.groupBy(run).agg(
-        F.min_by(F.struct(F.col(epoch).alias("epoch"), F.col(val_loss).alias("val_loss")),
-                 F.struct(F.col(val_loss), F.col(epoch))).alias("_b"),
+    by_loss = Window.partitionBy(run).orderBy(F.col(val_loss), F.col(epoch))
+    marked = (runs.withColumn("_best_before", F.min(val_loss).over(w))
+              .withColumn("saved", F.col("_best_before").isNull() | (F.col(val_loss) < F.col("_best_before")))
+              .withColumn("_rank", F.row_number().over(by_loss)))
+    # numeric aggregates only: the best row is marked by the window, so no
+    # struct ordering (and no sort-based aggregation) is needed
+    is_best = F.col("_rank") == 1
+    return marked.groupBy(run).agg(
+        F.max(F.when(is_best, F.col(epoch))).alias("best_epoch"),
+        F.max(F.when(is_best, F.col(val_loss))).alias("best_val_loss"),
         F.sum(F.col("saved").cast("int")).cast("bigint").alias("n_saves"),
-        F.count(F.lit(1)).alias("n_epochs"),
-    ).select(run, F.col("_b.epoch").alias("best_epoch"), F.col("_b.val_loss").alias("best_val_loss"),
-             "n_saves", "n_epochs")
+        F.count(F.lit(1)).alias("n_epochs"))
 
 
 def merged_config(stored: Column, defaults: dict | None = None) -> Column:
