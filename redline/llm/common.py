@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, f"llm-{name}")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs whose results are written: its
+    cleaner removes them once the driver has collected their handles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_key(col: str):
     """The id as a non-null long; a null id sorts before every other."""
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))

@@ -14,9 +14,12 @@ others are renamed, until the names stand for ``length`` bytes.
   position in 40 is sorted. Each position also carries the name of the bytes of all
   windows that chose it. Equal pairs are runs of repeated windows: all but the first
   are settled at once. Positions with a gram of their own leave.
-* Round 2 takes the windows of positions whose gram occurs with different
-  surroundings (the edges of repeats). Spark sorts the pairs (name of the first half,
-  name of the second half); all but the first of equal pairs are repeats.
+* Round 2 takes positions whose gram occurs with different surroundings (the edges
+  of repeats). Their windows fall into cells of 20 neighbouring starts, and the 80 or
+  so bytes that all windows of a cell share are named (16 bits, next to the gram's
+  name). Cells with a name of their own leave.
+* Round 3 takes the windows of the cells that are left. Spark sorts the pairs (name of
+  the first half, name of the second half); all but the first of equal pairs are repeats.
 
 Names are 64-bit fingerprints of the bytes rather than dense ranks, so a pair is a
 128-bit name. Each task first settles what repeats inside its own block of text and
@@ -39,14 +42,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redline.llm.common import binary_parts, bounded, cut, id_back, id_key, longs, ranges
+from redline.llm.common import binary_parts, bounded, cut, id_back, id_key, longs, ranges, release
 
 LENGTH, GRAM = 100, 24
 BLOCK = 4 << 20                      # bytes of text per step of a task
 _RNG = np.random.default_rng(20240501)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _RNG.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SCHEMA = "kind byte, k1 long, k2 long, doc long, pack long, lo long, hi long"
+CELL = 20                            # neighbouring window starts pruned together
+_SCHEMA = "kind byte, k1 long, k2 long, k3 long, doc long, pack long, lo long, hi long"
 REPEAT, CANDIDATE, WITNESS, OPEN = 0, 1, 2, 3
 
 
@@ -140,10 +144,27 @@ def _anchors(data, start, end, names: Names, length: int, gram: int):
     return piece[head], pick[head], windows[head], windows[tail], g[pick[head]]
 
 
-def _rows(kind, k1, k2, doc, pack, lo, hi) -> pa.RecordBatch:
+def _cells(names: Names, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """16-bit names of the bytes that the windows of each cell share, in one long."""
+    out = np.zeros(len(pos), np.uint64)
+    for c, (near, far) in enumerate(_cell_bounds(length, gram)):
+        some = (pos - hi <= far) & (pos - lo >= near)
+        name = names.at(pos[some] - near, length - (far - near))
+        out[some] |= (name & np.uint64(0xFFFF)) << np.uint64(16 * c)
+    return out.view(np.int64)
+
+
+def _cell_bounds(length: int, gram: int) -> list[tuple[int, int]]:
+    """Smallest and largest distance from a cell's window starts to the position."""
+    last = length - gram
+    size = max(CELL, -(-(last + 1) // 4))
+    return [(o, min(o + size - 1, last)) for o in range(0, last + 1, size)]
+
+
+def _rows(kind, k1, k2, k3, doc, pack, lo, hi) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.asarray(kind, np.int8)), pa.array(k1), pa.array(k2), pa.array(doc), pa.array(pack),
-         pa.array(lo), pa.array(hi)], ["kind", "k1", "k2", "doc", "pack", "lo", "hi"])
+        [pa.array(np.asarray(kind, np.int8)), pa.array(k1), pa.array(k2), pa.array(k3), pa.array(doc), pa.array(pack),
+         pa.array(lo), pa.array(hi)], ["kind", "k1", "k2", "k3", "doc", "pack", "lo", "hi"])
 
 
 def _runs(doc, order, lo, hi) -> pa.RecordBatch | None:
@@ -157,7 +178,8 @@ def _runs(doc, order, lo, hi) -> pa.RecordBatch | None:
     last = np.maximum.reduceat(hi, head)
     doc, order, lo = doc[head], order[head], lo[head]
     k1 = _mix(lo.view(np.uint64) + _mix(doc.view(np.uint64))).view(np.int64)
-    return _rows(np.full(len(head), REPEAT), k1, order, doc, np.zeros(len(head), np.int64), lo, last)
+    z = np.zeros(len(head), np.int64)
+    return _rows(np.full(len(head), REPEAT), k1, order, z, doc, z, lo, last)
 
 
 def _starts(*cols) -> np.ndarray:
@@ -180,13 +202,14 @@ def _first_round(length: int, gram: int):
             left, width = pos - lo, hi - lo
             around = (left << 7 | width).astype(np.uint64)
             c = _mix(names.at(lo, length) * _MUL[14] + names.at(hi, length) + around * _MUL[13])
+            k3 = _cells(names, pos, lo, hi, length, gram)
             del names
             doc, order, shift = docs[piece], orders[piece], base[piece] - start[piece]
             pack = _pack(order, pos + shift, left, width)
             lo, hi = lo + shift, hi + shift
             k1, k2 = g.view(np.int64), c.view(np.int64)
             s = np.lexsort((pack, doc, k2, k1))
-            k1, k2, doc, order, pack, lo, hi = (x[s] for x in (k1, k2, doc, order, pack, lo, hi))
+            k1, k2, k3, doc, order, pack, lo, hi = (x[s] for x in (k1, k2, k3, doc, order, pack, lo, hi))
             cls = np.flatnonzero(_starts(k1, k2))
             size = np.diff(np.r_[cls, len(k1)])
             # a fully equal row's position is the same position, not a repeat
@@ -195,17 +218,18 @@ def _first_round(length: int, gram: int):
             out = _runs(doc[repeat], order[repeat], lo[repeat], hi[repeat])
             if out is not None:
                 yield out
-            k1, k2, doc, pack = k1[cls], k2[cls], doc[cls], pack[cls]
-            group = _starts(k1)
-            number = np.arange(len(k1)) - np.repeat(np.flatnonzero(group), np.diff(np.r_[np.flatnonzero(group), len(k1)]))
-            many = np.repeat(np.diff(np.r_[np.flatnonzero(group), len(k1)]) > 1,
-                             np.diff(np.r_[np.flatnonzero(group), len(k1)]))
+            k1, k2, k3, doc, pack = k1[cls], k2[cls], k3[cls], doc[cls], pack[cls]
+            head = np.flatnonzero(_starts(k1))
+            size = np.diff(np.r_[head, len(k1)])
+            many = np.repeat(size > 1, size)
+            number = np.arange(len(k1)) - np.repeat(head, size)
             z = np.zeros(len(k1), np.int64)
             send = ~many | (number < 2)
-            yield _rows(np.where(many, WITNESS, CANDIDATE)[send], k1[send], k2[send], doc[send], pack[send],
+            yield _rows(np.where(many, WITNESS, CANDIDATE)[send], k1[send], k2[send], k3[send], doc[send], pack[send],
                         z[send], z[send])
             if many.any():
-                yield _rows(np.full(int(many.sum()), OPEN), k2[many], k1[many], doc[many], pack[many], z[many], z[many])
+                yield _rows(np.full(int(many.sum()), OPEN), k2[many], k1[many], k3[many], doc[many], pack[many],
+                            z[many], z[many])
     return run
 
 
@@ -213,14 +237,15 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (k1, k2, doc, pack): of each class (k1, k2) all candidates but
     the first are repeats; the first stays open if its k1 has several classes. The
     only state between batches is the first row of the last class."""
-    state = None                       # (k1, k2, doc, pack, kind, group is known to have several classes)
+    columns = ("k1", "k2", "k3", "doc", "pack")
+    state = None                       # (columns, kind, its group is known to have several classes)
     for b in itertools.chain(batches, [None]):
         if b is None:
-            if state is None or not state[5] or state[4] != CANDIDATE:
+            if state is None or not state[6] or state[5] != CANDIDATE:
                 return
-            k1, k2, doc, pack = (np.array([v]) for v in state[:4])
+            k1, k2, k3, doc, pack = (np.array([v]) for v in state[:5])
             z = np.zeros(1, np.int64)
-            yield _rows([OPEN], k2, k1, doc, pack, z, z)
+            yield _rows([OPEN], k2, k1, k3, doc, pack, z, z)
             return
         kind = b.column("kind").to_numpy()
         ready = (kind == REPEAT) | (kind == OPEN)
@@ -230,12 +255,13 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not use.any():
             continue
         kind = kind[use]
-        k1, k2, doc, pack = (b.column(n).to_numpy()[use] for n in ("k1", "k2", "doc", "pack"))
+        k1, k2, k3, doc, pack = (b.column(n).to_numpy()[use] for n in columns)
         known = False
         if state is not None:
-            known = state[5]
-            k1, k2, doc, pack = (np.r_[np.array([v], np.int64), x] for v, x in zip(state[:4], (k1, k2, doc, pack), strict=True))
-            kind = np.r_[np.array([state[4]], kind.dtype), kind]
+            known = state[6]
+            k1, k2, k3, doc, pack = (np.r_[np.array([v], np.int64), x]
+                                     for v, x in zip(state[:5], (k1, k2, k3, doc, pack), strict=True))
+            kind = np.r_[np.array([state[5]], kind.dtype), kind]
         cls = np.flatnonzero(_starts(k1, k2))
         first = np.repeat(cls, np.diff(np.r_[cls, len(k1)]))
         repeat = (kind == CANDIDATE) & ((doc != doc[first]) | (pack != pack[first]))
@@ -254,23 +280,23 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit = cls[open_group & closed & (kind[cls] == CANDIDATE)]
         if len(emit):
             z = np.zeros(len(emit), np.int64)
-            yield _rows(np.full(len(emit), OPEN), k2[emit], k1[emit], doc[emit], pack[emit], z, z)
+            yield _rows(np.full(len(emit), OPEN), k2[emit], k1[emit], k3[emit], doc[emit], pack[emit], z, z)
         last = cls[-1]
-        state = (int(k1[last]), int(k2[last]), int(doc[last]), int(pack[last]), int(kind[last]), bool(several[-1]))
+        state = (*(int(x[last]) for x in (k1, k2, k3, doc, pack)), int(kind[last]), bool(several[-1]))
 
 
-def _second_round(length: int):
+def _last_round(length: int, gram: int):
     half = length // 2
+    near, far = np.array(_cell_bounds(length, gram)).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, start, end, docs, orders, base, packs in _open_blocks(batches, length):
             names = Names(data, length)
-            for i in range(len(packs)):
-                _, _, lo, hi = _unpack(packs[i])
-                inside = (lo < base[i] + (end[i] - start[i]) - length + 1) & (hi >= base[i])
-                lo = np.maximum(lo[inside], base[i])
-                hi = np.minimum(hi[inside], base[i] + end[i] - start[i] - length)
-                packs[i] = (lo, hi - lo + 1)
+            for i, (pack, cell) in enumerate(packs):
+                _, pos, lo, hi = _unpack(pack)
+                lo = np.maximum(np.maximum(lo, pos - far[cell]), base[i])
+                hi = np.minimum(np.minimum(hi, pos - near[cell]), base[i] + end[i] - start[i] - length)
+                packs[i] = (lo[lo <= hi], (hi - lo + 1)[lo <= hi])
             count = np.array([int(n.sum()) for _, n in packs])
             if not count.sum():
                 continue
@@ -292,15 +318,19 @@ def _second_round(length: int):
             if out is not None:
                 yield out
             z = z[:len(cls)]
-            yield _rows(np.full(len(cls), CANDIDATE), k1[cls], k2[cls], doc[cls], pack[cls], z, z)
+            yield _rows(np.full(len(cls), CANDIDATE), k1[cls], k2[cls], z, doc[cls], pack[cls], z, z)
     return run
 
 
 def _open_blocks(batches, length):
+    """As ``_blocks``, with the (positions, cells) of each piece's document."""
     for b in bounded(batches, "text", BLOCK):
         data, off = binary_parts(b.column("text"))
         doc, order = longs(b.column("doc")), longs(b.column("ord"))
-        packs = [np.asarray(p, np.int64) for p in b.column("packs").to_pylist()]
+        cells = b.column("cells").combine_chunks() if isinstance(b.column("cells"), pa.ChunkedArray) else b.column("cells")
+        at, flat = cells.offsets.to_numpy(), cells.values
+        pack, cell = flat.field("pack").to_numpy(), flat.field("cell").to_numpy()
+        packs = [(pack[x:y], cell[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
         if b.num_rows > 1 or len(data) <= 2 * BLOCK:
             yield data, off[:-1], off[1:], doc, order, np.zeros(b.num_rows, np.int64), packs
             continue
@@ -318,6 +348,22 @@ def _sorted_pairs(rows: DataFrame) -> DataFrame:
     return rows.repartition("k1").sortWithinPartitions("k1", "k2", "doc", "pack").mapInArrow(_resolve, _SCHEMA)
 
 
+def _shared_cells(still: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc, ord, cells): per document the cells of open positions whose shared
+    bytes occur at two positions or more."""
+    left = F.shiftright("pack", 7).bitwiseAND(F.lit(127))
+    right = left - F.col("pack").bitwiseAND(F.lit(127))
+    cells = F.array(*[F.when((right <= far) & (left >= near),
+                             F.struct(F.lit(c).cast("long").alias("cell"),
+                                      F.shiftright("k3", 16 * c).bitwiseAND(F.lit(0xFFFF)).alias("name")))
+                      for c, (near, far) in enumerate(_cell_bounds(length, gram))])
+    rows = still.select("doc", "pack", F.col("k2").alias("gram"), F.inline(F.filter(cells, lambda x: x.isNotNull())))
+    shared = rows.groupBy("gram", "cell", "name").count().filter("count > 1").drop("count")
+    return (rows.join(shared, ["gram", "cell", "name"], "left_semi")
+            .groupBy("doc", F.shiftright("pack", 48).alias("ord"))
+            .agg(F.collect_list(F.struct("pack", "cell")).alias("cells")))
+
+
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, ord, spans): per document with repeats, ranges [lo, hi] of starts of
@@ -325,12 +371,14 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not 1 <= gram < length <= 128:
         raise ValueError("1 <= gram < length <= 128")
     src = _keyed(docs, id_col, text_col)
+    spark = docs.sparkSession
     one = cut(_sorted_pairs(src.filter(F.octet_length("text") >= length).mapInArrow(_first_round(length, gram), _SCHEMA)),
               "repeats-1")
-    still = one.filter(F.col("kind") == OPEN).groupBy(
-        "doc", F.shiftright("pack", 48).alias("ord")).agg(F.collect_list("pack").alias("packs"))
-    two = cut(_sorted_pairs(src.join(still, ["doc", "ord"]).select("doc", "ord", "text", "packs")
-                            .mapInArrow(_second_round(length), _SCHEMA)), "repeats-2")
+    release(spark)
+    still = _shared_cells(one.filter(F.col("kind") == OPEN), length, gram)
+    two = cut(_sorted_pairs(src.join(still, ["doc", "ord"]).select("doc", "ord", "text", "cells")
+                            .mapInArrow(_last_round(length, gram), _SCHEMA)), "repeats-2")
+    release(spark)
     found = one.unionByName(two).filter(F.col("kind") == REPEAT)
     return found.groupBy("doc", F.col("k2").alias("ord")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
