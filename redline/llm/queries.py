@@ -8,8 +8,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.llm import simhash, substring_dedup
-from redline.llm.common import binary_parts, bounded, read
+from redline.llm import chat, sharding, simhash, substring_dedup, urls
+from redline.llm.common import binary_parts, bounded, cut, read
+
+
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                    F.lit(CONTROL).alias("text"))
+    return chat.read_back(chat.format_conversations(turns.unionByName(planted)))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,14 +46,37 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:
+    rows = cut(sharding.records(read(spark, sf_dir, "documents")), "shard-records")
+    version = cut(sharding.first_map(sharding.slot_bytes(rows), shards), "shard-map")
+    return sharding.place(rows, version).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "vslot")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, radius=2, seed=42)
     return found.select(F.col("id").alias("doc_id"),
                         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The query's rules (host, path, action).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    known = urls.parts(pages.select("url"))
+    model = urls.fit(urls.seed_labels(known))
+    return urls.judge(pages, rules, model)
+
+
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_sharding": op3_sharding,
     "op8_simhash": op8_simhash,
+    "op9_url_filter": op9_url_filter,
 }
 ORACLES: dict[str, str] = {}
