@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.llm import chat, sharding, simhash, substring_dedup, urls
+from redline.llm import bpe, chat, decontaminate, quality, sharding, simhash, substring_dedup, urls
 from redline.llm.common import binary_parts, bounded, cut, read
 
 
@@ -54,6 +55,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFram
         F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, radius=2, seed=42)
     return found.select(F.col("id").alias("doc_id"),
@@ -72,11 +82,47 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, rules, model)
 
 
+def byte_bpe_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def bpe_digests(rows: DataFrame) -> DataFrame:
+    """n_tokens and digests of rows (doc_id, ids, text)."""
+    def run(batches):
+        for b in batches:
+            ids, off = b.column("ids").flatten().to_numpy().astype("<u4"), b.column("ids").offsets.to_numpy()
+            off = off - off[0]
+            data, at = binary_parts(b.column("text"))
+            text = data.tobytes()
+            n = range(b.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(np.diff(off).astype(np.int64)),
+                 pa.array([hashlib.sha256(ids[off[i]:off[i + 1]].tobytes()).hexdigest() for i in n], pa.string()),
+                 pa.array([hashlib.sha256(text[at[i]:at[i + 1]]).hexdigest() for i in n], pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = byte_bpe_path()
+    return bpe_digests(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sharding": op3_sharding,
+    "op4_quality": op4_quality,
+    "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
+    "op10_bpe": op10_bpe,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}

@@ -439,7 +439,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         F.pmod(F.xxhash64(text_col), F.lit(1 << 15)).alias("__ord"))
     joined = keyed.join(spans.select(F.col("doc").alias("__doc"), F.col("ord").alias("__ord"), F.col("spans").alias("__spans")),
                         ["__doc", "__ord"], "left").select(*docs.columns, "__spans")
-    where = docs.columns.index(text_col)
+    names = docs.columns
+    where = names.index(text_col)
 
     def run(batches):
         for b in bounded(batches, text_col, BLOCK):
@@ -454,5 +455,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     new.append(kept_text(raw, merged([(s["lo"], s["hi"]) for s in sp], len(raw), length)))
             cols = [b.column(i) for i in range(b.num_columns - 1)]
             cols[where] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names)
     return joined.mapInArrow(run, docs.schema)
