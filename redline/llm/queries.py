@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.llm import bpe, chat, decontaminate, quality, sharding, simhash, substring_dedup, urls
-from redline.llm.common import binary_parts, bounded, cut, read
+from redline.llm import ann, bpe, chat, decontaminate, quality, repair, sharding, simhash, substring_dedup, urls
+from redline.llm.common import binary_parts, bounded, cut, read, release
+from redline.plans.session import checkpoint_dir
 
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -60,6 +62,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op5_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = f"{checkpoint_dir(spark).rstrip('/')}/tables/repair-{uuid.uuid4().hex}"
+    repair.write(read(spark, sf_dir, "documents"), out, path)
+    release(spark)
+    return repair.read_documents(spark, out, path)
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -119,6 +134,8 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sharding": op3_sharding,
     "op4_quality": op4_quality,
+    "op5_repair": op5_repair,
+    "op6_ann": op6_ann,
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
