@@ -19,7 +19,9 @@ kept; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,8 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redline.llm.common import binary_parts, bounded, cut, id_back, id_key, longs, ranges, release
+from redline.plans.session import checkpoint_dir
 
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 BUCKET_BYTES = 8 << 20
 _UNSAFE = re.compile(r"\s ")                  # a space after a blank is not a cut
 _CUT = re.compile(r"(?<!\s)(?= )")
@@ -42,6 +45,7 @@ _PARTS = "chunk long, part int, data binary"
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"          # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(path)
     t.no_truncation()
@@ -192,21 +196,12 @@ def _encode_words(path: str):
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per chunk the row of word numbers (part -1, first), then the buckets' ids; the
-    documents leave with the last bucket."""
-    now, head, got, need = None, None, [], 0
+    """Rows (data, ids) of a chunk: its word numbers, and the buckets' ids."""
     for b in batches:
-        for chunk, part, data in zip(*(b.column(n).to_pylist() for n in ("chunk", "part", "data")), strict=True):
-            if part == -1:
-                docs, count, codes, bucket = _split(data)
-                now, head, got = chunk, (docs, count, codes, _values(bucket)), []
-                need = len(np.unique(head[3]))
-            elif chunk != now:
-                raise ValueError(f"chunk {chunk} has ids but no words")
-            else:
-                got.append(data)
-            if len(got) == need:
-                yield from _documents(head, got)
+        for i in range(b.num_rows):
+            docs, count, codes, bucket = _split(b.column("data")[i].as_py())
+            got = sorted((p["part"], p["data"]) for p in b.column("ids")[i].as_py() or [])
+            yield from _documents((docs, count, codes, _values(bucket)), [d for _, d in got])
 
 
 def _documents(head, got: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -238,12 +233,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         buckets = max(64, min(size // BUCKET_BYTES, 1 << 18))
     spark = docs.sparkSession
-    parts = cut(docs.select(id_key(id_col).alias("doc"), F.col(text_col).alias("text"))
-                .mapInArrow(_split_words(buckets, chunk_bytes), _PARTS), "bpe-words")
-    table = cut(parts.filter("part >= 0").repartition("part").sortWithinPartitions("part", "chunk")
-                .mapInArrow(_encode_words(path), _PARTS), "bpe-ids")
+    parts = docs.select(id_key(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(
+        _split_words(buckets, chunk_bytes), _PARTS).withColumn("kind", (F.col("part") >= 0).cast("int"))
+    # stored in buckets by chunk: the word numbers, the bulk, are not shuffled again
+    name = f"bpe_words_{uuid.uuid4().hex}"
+    (parts.write.partitionBy("kind").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
+     .option("path", f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}").saveAsTable(name))
+    stored = spark.table(name)
+    table = cut(stored.filter("kind = 1").select("chunk", "part", "data").repartition("part")
+                .sortWithinPartitions("part", "chunk").mapInArrow(_encode_words(path), _PARTS), "bpe-ids")
     release(spark)
-    rows = parts.filter("part = -1").unionByName(table).repartition("chunk").sortWithinPartitions("chunk", "part")
+    ids = table.groupBy("chunk").agg(F.collect_list(F.struct("part", "data")).alias("ids"))
+    rows = stored.filter("kind = 0").select("chunk", "data").join(ids, "chunk", "left").select("data", "ids")
     return rows.mapInArrow(_assemble, "doc long, ids array<int>").select(id_back("doc").alias("doc_id"), "ids")
 
 
