@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,43 +33,109 @@ from redline.llm.bpe import _join, _planes, _split, _values, tokenizer
 from redline.llm.common import binary_parts, bounded, id_back, id_key, longs, ranges
 
 BLOCK, END_ID = 4 << 20, 2
-ROUNDS, RULES_PER_ROUND, MIN_COUNT = 6, 512, 16
-WORDS = 300_000                        # words remembered by a task
+ROUNDS, RULES_PER_ROUND, MIN_COUNT = 4, 768, 16
+UNITS = 400_000                        # units remembered by a task, checked once a block
 FILE_SCHEMA = "shard int, block int, first_id long, n_docs int, n_tokens long, payload binary"
 
 
+#: Texts of other characters than these, or with contractions or special tokens, are
+#: cut at blanks only; in the rest lower-casing and normal form are plain.
+_NOT_PLAIN = r"'|<\||[^\t\n\r -~\x{A1}-\x{AC}\x{AE}-\x{FF}]"
+#: Marks in a row and single digits are units of the vocabulary's own splitting.
+_MARKS = r"([^\s\p{L}\p{N}]+|\p{N})"
+WORD_END = "</w>"
+
+
 class WordIds:
-    """Ids of texts by their blank-delimited words; the library encodes each word it
-    has not met (white space never joins words in this vocabulary)."""
+    """Ids of texts by their units, each encoded once while it is remembered. Plain
+    texts are cut into the vocabulary's own units (words, runs of marks, digits), and new
+    units are encoded many at a time, space-joined: each ends with its one word-end id.
+    Other texts are cut at spaces, which never join words in this vocabulary."""
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        self.ends = np.zeros(first_symbol(path), bool)
+        for token, i in self.tok.get_vocab(with_added_tokens=True).items():
+            self.ends[i] = token.endswith(WORD_END)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ids, self.size = [], []                          # of the units, in order of ``at``
+
+    def _whole(self, units: list[str]) -> None:
+        got = [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
+        self.size.append(np.array([len(x) for x in got], np.int64))
+        self.ids.append(np.array([i for x in got for i in x], np.int32))
+
+    def _learn(self, units: list[str], single: bool) -> None:
+        for u in units:
+            self.at[u] = len(self.at)
+        step = 64 if single else 1024
+        for i in range(0, len(units), step):
+            some = units[i:i + step]
+            if not single:
+                self._whole(some)
+                continue
+            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some) or (len(ends) and ends[-1] != len(ids)):
+                self._whole(some)
+                continue
+            self.ids.append(ids)
+            self.size.append(np.diff(np.r_[0, ends]))
+
+    def _units(self, texts: pa.Array, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(unit numbers, units per text)."""
+        if plain:
+            cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), pattern=_MARKS, replacement=r" \1 "))
+        else:
+            cut = pc.split_pattern(texts, " ")
+        units = cut.flatten().dictionary_encode()
+        here = units.dictionary.to_pylist()
+        known = self.at
+        self._learn([u for u in here if u and u not in known], plain)
+        if "" not in known:
+            self._learn([""], False)
+        number = np.fromiter(map(known.__getitem__, here), np.int64, len(here))
+        codes = units.indices.to_numpy().astype(np.int64)
+        return (number[codes] if len(here) else codes), np.diff(cut.offsets.to_numpy()).astype(np.int64)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, end id after each text; tokens per text)."""
-        code: dict[str, int] = {}
-        codes = [np.array([code.setdefault(w, len(code)) for w in (t or "").split(" ")], np.int64) for t in texts]
-        if len(self.known) > WORDS:
-            self.known.clear()
-        new = [w for w in code if w not in self.known]
-        for i in range(0, len(new), 4096):
-            some = new[i:i + 4096]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.int32)
-        ids = [self.known[w] for w in code] + [np.array([end_id], np.int32)]
-        size = np.array([len(x) for x in ids], np.int64)
-        start = np.r_[0, np.cumsum(size)[:-1]]
-        last = len(ids) - 1
-        flat = np.concatenate([np.r_[c, last] for c in codes])
-        count = np.add.reduceat(size[flat], np.r_[0, np.cumsum([len(c) + 1 for c in codes])[:-1]])
-        return np.concatenate(ids)[ranges(start[flat], size[flat])], count
-
-
-def _frequent(s: np.ndarray, inside: np.ndarray, rules: int, least: int) -> np.ndarray:
+        if len(self.at) > UNITS:
+            self._forget()
+        other = pc.match_substring_regex(texts, pattern=_NOT_PLAIN)
+        plain, odd = self._units(texts.filter(pc.invert(other)), True), self._units(texts.filter(other), False)
+        mask = other.to_numpy(zero_copy_only=False)
+        flat = np.concatenate([plain[0], odd[0]])
+        per = np.empty(len(texts), np.int64)
+        per[~mask], per[mask] = plain[1], odd[1]
+        start = np.empty(len(texts), np.int64)
+        start[~mask] = np.cumsum(plain[1]) - plain[1]
+        start[mask] = len(plain[0]) + np.cumsum(odd[1]) - odd[1]
+        last = len(self.at)                                   # the end id, as a unit of its own
+        size = np.concatenate([*self.size, [1]])
+        ids = np.concatenate([*self.ids, np.array([end_id], np.int32)])
+        self.size, self.ids = [size[:-1]], [ids[:-1]]
+        order = np.full(int(per.sum()) + len(per), last, np.int64)
+        inner = np.ones(len(order), bool)
+        ends = np.cumsum(per + 1) - 1
+        inner[ends] = False
+        order[inner] = flat[ranges(start, per)]
+        first = np.cumsum(size) - size
+        length = size[order]
+        count = np.diff(np.r_[0, np.cumsum(length)[ends]])
+        return ids[ranges(first[order], length)], count
+
+
+def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a.astype(np.uint32) * np.uint32(2654435761)) ^ (b.astype(np.uint32) * np.uint32(2246822519))) >> np.uint32(12)
+
+
+def _frequent(s: np.ndarray, h: np.ndarray, inside: np.ndarray, rules: int, least: int) -> np.ndarray:
     """The most frequent pairs (left << 32 | right), by count, then pair. Counts by
     hash first, so that only pairs in well-filled buckets are counted one by one."""
-    h = ((s[:-1].astype(np.uint32) * np.uint32(2654435761)) ^ (s[1:].astype(np.uint32) * np.uint32(2246822519))) >> np.uint32(12)
     filled = np.bincount(h[inside], minlength=1 << 20)
     bar = max(least, int(np.partition(filled, -2 * rules)[-2 * rules]))
     some = np.flatnonzero(inside & (filled >= bar)[h])
@@ -89,13 +156,14 @@ def compress(ids: np.ndarray, count: np.ndarray, first_symbol: int, rounds: int
         inside = np.ones(len(s) - 1, bool)
         ends = np.cumsum(count) - 1
         inside[ends[ends < len(s) - 1]] = False
-        pairs = _frequent(s, inside, rules, least)
+        h = _hash(s[:-1], s[1:])
+        pairs = _frequent(s, h, inside, rules, least)
         if not len(pairs):
             break
         a, b = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
-        starts = np.zeros(int(max(s.max(), a.max())) + 1, bool)
-        starts[a] = True
-        at = np.flatnonzero(inside & starts[s[:-1]])
+        chosen = np.zeros(1 << 20, bool)
+        chosen[_hash(a, b)] = True
+        at = np.flatnonzero(inside & chosen[h])
         key = s[at].astype(np.int64) << 32 | s[at + 1]
         order = np.argsort(pairs)
         found = np.minimum(np.searchsorted(pairs[order], key), len(pairs) - 1)
@@ -179,7 +247,7 @@ def write(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text_col
         words, base, shard = WordIds(path), first_symbol(path), TaskContext.get().partitionId()
         for block, b in enumerate(bounded(batches, "text", BLOCK)):
             doc = longs(b.column("doc"))
-            ids, count = words.encode(b.column("text").to_pylist(), end_id)
+            ids, count = words.encode(b.column("text"), end_id)
             s, symbols, left, right = compress(ids, count, base)
             payload = _join(doc.astype("<i8").tobytes(), _planes(symbols), _planes(count), _planes(left), _planes(right),
                             _planes(lengths(left, right, base)), _planes(s))
