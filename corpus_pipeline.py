@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redline.llm import bpe, decontaminate, quality, simhash, substring_dedup
+from redline.llm import decontaminate, quality, simhash, substring_dedup
 from redline.llm.common import cut, read
-from redline.llm.queries import bpe_digests, byte_bpe_path
+from redline.llm.queries import bpe_digests
 from redline.plans.session import ship_package
 
 
@@ -41,8 +41,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def bpe_encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: token counts and digests of the encoded and decoded texts."""
     ship_package(spark)
-    path = byte_bpe_path()
-    return bpe_digests(bpe.decode(bpe.encode(docs, path), path))
+    return bpe_digests(docs)
 
 
 STAGES = [

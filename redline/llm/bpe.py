@@ -226,9 +226,8 @@ def _documents(head, got: list[bytes]) -> Iterator[pa.RecordBatch]:
             [pa.array(docs[a:z]), pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), pa.array(flat))], ["doc", "ids"])
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-           chunk_bytes: int = CHUNK, buckets: int | None = None) -> DataFrame:
-    """(doc_id, ids) of every row, equal to the library's encode."""
+def _joined(docs: DataFrame, path: str, id_col: str, text_col: str, chunk_bytes: int, buckets: int | None) -> DataFrame:
+    """(data, ids): the word numbers of each chunk with the ids of its words."""
     if buckets is None:
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         buckets = max(64, min(size // BUCKET_BYTES, 1 << 18))
@@ -244,17 +243,36 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 .sortWithinPartitions("part", "chunk").mapInArrow(_encode_words(path), _PARTS), "bpe-ids")
     release(spark)
     ids = table.groupBy("chunk").agg(F.collect_list(F.struct("part", "data")).alias("ids"))
-    rows = stored.filter("kind = 0").select("chunk", "data").join(ids, "chunk", "left").select("data", "ids")
+    return stored.filter("kind = 0").select("chunk", "data").join(ids, "chunk", "left").select("data", "ids")
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+           chunk_bytes: int = CHUNK, buckets: int | None = None) -> DataFrame:
+    """(doc_id, ids) of every row, equal to the library's encode."""
+    rows = _joined(docs, path, id_col, text_col, chunk_bytes, buckets)
     return rows.mapInArrow(_assemble, "doc long, ids array<int>").select(id_back("doc").alias("doc_id"), "ids")
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds ``text`` to rows (doc_id, ids): the library's decode, specials kept."""
+def round_trip(docs: DataFrame, path: str, finish, schema: str, id_col: str = "doc_id", text_col: str = "text",
+               chunk_bytes: int = CHUNK, buckets: int | None = None) -> DataFrame:
+    """Encode, decode, and apply ``finish`` (batches of doc, ids, text to batches of
+    ``schema``, whose column doc becomes doc_id) in one Python worker a task."""
+    back = _decoded(path)
+    rows = _joined(docs, path, id_col, text_col, chunk_bytes, buckets).mapInArrow(lambda b: finish(back(_assemble(b))), schema)
+    return rows.select(id_back("doc").alias("doc_id"), *[c for c in rows.columns if c != "doc"])
+
+
+def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, off = b.column("ids").flatten().to_numpy(), b.column("ids").offsets.to_numpy()
             off = off - off[0]
             text = [decode_bytes(flat[off[i]:off[i + 1]], path).decode("utf-8", "replace") for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(text, pa.string())],
-                                             ["doc_id", "ids", "text"])
-    return encoded.mapInArrow(run, "doc_id long, ids array<int>, text string")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column("ids"), pa.array(text, pa.string())],
+                                             [b.schema.names[0], "ids", "text"])
+    return run
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, text) of rows (doc_id, ids): the library's decode, specials kept."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoded(path), "doc_id long, ids array<int>, text string")

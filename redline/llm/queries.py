@@ -26,27 +26,27 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(planted)))
 
 
+def _kept_digest(batches):
+    for b in batches:
+        data, off = binary_parts(b.column("text"))
+        raw = data.tobytes()
+        out = []
+        for i, runs in enumerate(b.column("removed").to_pylist()):
+            h, at, gone = hashlib.sha256(), int(off[i]), 0
+            for r in runs:
+                h.update(raw[at:off[i] + r["lo"]])
+                at = int(off[i] + r["hi"])
+                gone += r["hi"] - r["lo"]
+            h.update(raw[at:off[i + 1]])
+            out.append((int(off[i + 1] - off[i]), gone, len(runs), h.hexdigest()))
+        cols = list(zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([b.column("doc"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3])],
+                                         ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = substring_dedup.removals(read(spark, sf_dir, "documents"))
-
-    def digest(batches):
-        for b in bounded(batches, "text", 4 << 20):
-            data, off = binary_parts(b.column("text"))
-            raw = data.tobytes()
-            out = []
-            for i, runs in enumerate(b.column("removed").to_pylist()):
-                h, at, gone = hashlib.sha256(), int(off[i]), 0
-                for r in runs:
-                    h.update(raw[at:off[i] + r["lo"]])
-                    at = int(off[i] + r["hi"])
-                    gone += r["hi"] - r["lo"]
-                h.update(raw[at:off[i + 1]])
-                out.append((int(off[i + 1] - off[i]), gone, len(runs), h.hexdigest()))
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3])],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-    return rows.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return substring_dedup.removals(read(spark, sf_dir, "documents"), finish=_kept_digest,
+                                    schema="doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:
@@ -102,26 +102,27 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def bpe_digests(rows: DataFrame) -> DataFrame:
-    """n_tokens and digests of rows (doc_id, ids, text)."""
-    def run(batches):
-        for b in batches:
-            ids, off = b.column("ids").flatten().to_numpy().astype("<u4"), b.column("ids").offsets.to_numpy()
-            off = off - off[0]
-            data, at = binary_parts(b.column("text"))
-            text = data.tobytes()
-            n = range(b.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.diff(off).astype(np.int64)),
-                 pa.array([hashlib.sha256(ids[off[i]:off[i + 1]].tobytes()).hexdigest() for i in n], pa.string()),
-                 pa.array([hashlib.sha256(text[at[i]:at[i + 1]]).hexdigest() for i in n], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def _bpe_digest(batches):
+    for b in batches:
+        ids, off = b.column("ids").flatten().to_numpy().astype("<u4"), b.column("ids").offsets.to_numpy()
+        off = off - off[0]
+        data, at = binary_parts(b.column("text"))
+        text = data.tobytes()
+        n = range(b.num_rows)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc"), pa.array(np.diff(off).astype(np.int64)),
+             pa.array([hashlib.sha256(ids[off[i]:off[i + 1]].tobytes()).hexdigest() for i in n], pa.string()),
+             pa.array([hashlib.sha256(text[at[i]:at[i + 1]]).hexdigest() for i in n], pa.string())],
+            ["doc", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """n_tokens and digests of the ids and the decoded texts of ``docs``."""
+    return bpe.round_trip(docs, byte_bpe_path(), _bpe_digest, "doc long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = byte_bpe_path()
-    return bpe_digests(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path))
+    return bpe_digests(read(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -396,8 +396,9 @@ def merged(spans, n: int, length: int) -> list[tuple[int, int]]:
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row per document: id, text, ``removed`` (sorted maximal byte runs)."""
+             length: int = LENGTH, gram: int = GRAM, finish=None, schema: str | None = None) -> DataFrame:
+    """One row per document: id, text, ``removed`` (sorted maximal byte runs). ``finish``
+    turns batches of (doc, text, removed) into batches of ``schema`` in the same worker."""
     spans = removed_spans(docs, id_col, text_col, length, gram)
     joined = _keyed(docs, id_col, text_col).join(spans, ["doc", "ord"], "left")
 
@@ -410,9 +411,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc"), b.column("text"), pa.array(out, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))],
                 ["doc", "text", "removed"])
-    cut_rows = joined.select("doc", "text", "spans").mapInArrow(
-        run, "doc long, text string, removed array<struct<lo: long, hi: long>>")
-    return cut_rows.select(id_back("doc").alias("doc_id"), "text", "removed")
+    rows = joined.select("doc", "text", "spans").mapInArrow(
+        (lambda b: finish(run(b))) if finish else run, schema or "doc long, text string, removed array<struct<lo: long, hi: long>>")
+    return rows.select(id_back("doc").alias("doc_id"), *[c for c in rows.columns if c != "doc"])
 
 
 def kept_text(raw: bytes, runs: list[tuple[int, int]]) -> str:
