@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from redline.llm.common import binary_parts, bounded, cut, id_back, id_key, longs, ranges, release
 from redline.plans.session import checkpoint_dir
 
-CHUNK = 8 << 20
+CHUNK = 16 << 20
 BUCKET_BYTES = 8 << 20
 _UNSAFE = re.compile(r"\s ")                  # a space after a blank is not a cut
 _CUT = re.compile(r"(?<!\s)(?= )")
@@ -117,7 +117,7 @@ def _split(data: bytes) -> list[bytes]:
 
 def _pack_words(words: list[bytes]) -> bytes:
     size = np.array([len(w) for w in words], np.int64)
-    return _join(_planes(size), zstandard.ZstdCompressor(level=1).compress(b"".join(words)))
+    return _join(_planes(size), zstandard.ZstdCompressor(level=3).compress(b"".join(words)))
 
 
 def _unpack_words(data: bytes) -> list[bytes]:
