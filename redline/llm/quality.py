@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from redline.llm.common import bounded
 
 DIM, MAX_TRAIN, GRADES = 1 << 18, 20_000, 3
-CACHE = 400_000                        # words remembered by a task
+CACHE = 150_000                        # words remembered by a task
 _MARKS = re.compile(r"^\W+|\W+$")
 _UPPER, _LOWER, _DIGIT, _RUN = re.compile(r"[^\W\d_]"), re.compile(r"a+"), re.compile(r"\d+"), re.compile(r"(\W)\1+")
 
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **params
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for b in bounded(batches, "text", 8 << 20):
+        for b in bounded(batches, "text", 2 << 20):
             got = [hasher.features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("grade"), pa.array([s.astype("<i4").tobytes() for s, _ in got], pa.binary()),
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """(doc_id, expected_grade, p_tail, keep) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for b in bounded(batches, "text", 8 << 20):
+        for b in bounded(batches, "text", 2 << 20):
             grade, tail = _judged(model, b.column("text").to_pylist(), hasher)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(grade), pa.array(tail), pa.array(tail >= threshold)],
                                              ["doc_id", "expected_grade", "p_tail", "keep"])
@@ -202,7 +202,7 @@ def select(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
     """The rows of ``docs`` with P(best grade) of at least ``threshold``; all columns stay."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for b in bounded(batches, text_col, 8 << 20):
+        for b in bounded(batches, text_col, 2 << 20):
             _, tail = _judged(model, b.column(text_col).to_pylist(), hasher)
             if (tail >= threshold).any():
                 yield b.filter(pa.array(tail >= threshold))

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from redline.llm.common import binary_parts, bounded, cut, id_back, id_key, longs, ranges, release
 
 LENGTH, GRAM = 100, 24
-BLOCK = 4 << 20                      # bytes of text per step of a task
+BLOCK = 2 << 20                      # bytes of text per step of a task
 _RNG = np.random.default_rng(20240501)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _RNG.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
