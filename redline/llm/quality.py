@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from redline.llm.common import bounded
 
-DIM, MAX_TRAIN, GRADES = 1 << 18, 20_000, 3
-CACHE = 150_000                        # words remembered by a task
+DIM, MAX_TRAIN, GRADES = 1 << 18, 8_000, 3
+CACHE = 250_000                        # words remembered by a task
 _MARKS = re.compile(r"^\W+|\W+$")
 _UPPER, _LOWER, _DIGIT, _RUN = re.compile(r"[^\W\d_]"), re.compile(r"a+"), re.compile(r"\d+"), re.compile(r"(\W)\1+")
 
@@ -110,9 +110,9 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], l1: float = 2e-3, epoc
     for _, s, _ in rows:
         seen[s] += 1
     used = np.flatnonzero(seen >= min_docs)
-    to = np.full(DIM, -1, np.int64)
-    to[used] = np.arange(len(used))
-    data = [(to[s][to[s] >= 0], v[to[s] >= 0]) for _, s, v in rows]
+    to = np.full(DIM, -1, np.int32)
+    to[used] = np.arange(len(used), dtype=np.int32)
+    data = [(to[s][to[s] >= 0], np.asarray(v, np.float32)[to[s] >= 0]) for _, s, v in rows]
     w, gw = np.zeros(len(used)), np.full(len(used), 1e-6)
     below = np.array([np.clip((grade <= j).mean(), 1e-3, 1 - 1e-3) for j in range(GRADES - 1)])
     first = np.log(below / (1 - below))
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **params
     found = rows.mapInArrow(run, "doc_id long, grade int, s binary, v binary").orderBy(
         F.xxhash64("doc_id"), "doc_id", "s", "v").limit(max_train)
     table = found.toArrow()                                     # bounded by max_train
-    data = [(g, np.frombuffer(s, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64))
+    data = [(g, np.frombuffer(s, "<i4"), np.frombuffer(v, "<f4"))
             for g, s, v in zip(table["grade"].to_pylist(), table["s"].to_pylist(), table["v"].to_pylist(), strict=True)]
     return train(data, **params)
 
