@@ -36,15 +36,17 @@ def best_checkpoint(runs: DataFrame, run: str = "run_id", epoch: str = "epoch",
                     val_loss: str = "val_loss") -> DataFrame:
     """Per run, the epoch with the lowest validation loss (first epoch wins
     ties, as a strict ``<`` running best does), and how often a checkpoint
-    would have been saved."""
+    would have been saved. Null and NaN losses are never below the running
+    best, so they are never saved nor best."""
+    usable = F.when(~F.isnan(F.col(val_loss).cast("double")), F.col(val_loss))
     w = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
-    by_loss = Window.partitionBy(run).orderBy(F.col(val_loss), F.col(epoch))
-    marked = (runs.withColumn("_best_before", F.min(val_loss).over(w))
-              .withColumn("saved", F.col("_best_before").isNull() | (F.col(val_loss) < F.col("_best_before")))
+    by_loss = Window.partitionBy(run).orderBy(F.col("_loss").asc_nulls_last(), F.col(epoch))
+    marked = (runs.withColumn("_loss", usable).withColumn("_best_before", F.min("_loss").over(w))
+              .withColumn("saved", F.col("_loss").isNotNull() & (F.col("_best_before").isNull() | (F.col("_loss") < F.col("_best_before"))))
               .withColumn("_rank", F.row_number().over(by_loss)))
     # numeric aggregates only: the best row is marked by the window, so no
     # struct ordering (and no sort-based aggregation) is needed
-    is_best = F.col("_rank") == 1
+    is_best = (F.col("_rank") == 1) & F.col("_loss").isNotNull()
     return marked.groupBy(run).agg(
         F.max(F.when(is_best, F.col(epoch))).alias("best_epoch"),
         F.max(F.when(is_best, F.col(val_loss))).alias("best_val_loss"),

@@ -63,8 +63,15 @@ def write_splits(df: DataFrame, path: str, fmt: str = "parquet",
 def read_pairs_csv(spark: SparkSession, path: str, schema: T.StructType = PAIR_SCHEMA,
                    na_tokens=PANDAS_NA_TOKENS, subset=("incorrect", "correct")) -> DataFrame:
     """S3: declared schema (no inference), pandas NA texts -> null, then
-    ``dropna(subset)``. ``na_tokens=()`` keeps literal ``NA`` / ``None`` texts."""
-    df = spark.read.schema(schema).options(**_CSV_OPTIONS).csv(path)
+    ``dropna(subset)``. ``na_tokens=()`` keeps literal ``NA`` / ``None`` texts.
+    Columns are taken by their names in the header, in any order; a file without
+    ``pair_id`` gets none (null), any other missing column raises."""
+    raw = spark.read.options(**_CSV_OPTIONS).csv(path)
+    missing = [f.name for f in schema.fields if f.name not in raw.columns and f.name != "pair_id"]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    df = raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                      for f in schema.fields])
     text_cols = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
     if na_tokens:
         df = df.select(*[na_to_null(c, na_tokens).alias(c) if c in text_cols else F.col(c)
