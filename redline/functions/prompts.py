@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redline.functions.text import py_strip, strip_prefix
+from redline.functions.text import py_strip, rest_from, strip_prefix
 
 # System instructions by language.
 SYSTEM_EN = (
@@ -26,13 +26,18 @@ SYSTEM_ES = (
 REPLY_PREFIXES = ("Corrected:", "Corrected sentence:", "Answer:", "Corregida:", "Oración corregida:")
 
 
+# The pieces of the prompts and of the chat template.
+SENTENCE, ASK, SHOWN, BETWEEN = "Sentence: ", "\nCorrected:", "\nCorrected: ", "\n\n"
+CHAT_OPEN, CHAT_CLOSE = "<s>[INST] ", " [/INST]"
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def zero_shot(sentence) -> Column:
     """F6."""
-    return F.concat(F.lit("Sentence: "), _c(sentence), F.lit("\nCorrected:"))
+    return F.concat(F.lit(SENTENCE), _c(sentence), F.lit(ASK))
 
 
 def example_block(examples: DataFrame, order: str = "_idx", src: str = "source",
@@ -41,8 +46,8 @@ def example_block(examples: DataFrame, order: str = "_idx", src: str = "source",
     agg = examples.agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(src).alias("s"),
                                              F.col(tgt).alias("t")))),
-        lambda x: F.concat(F.lit("Sentence: "), x.getField("s"), F.lit("\nCorrected: "), x.getField("t"))),
-        "\n\n"))
+        lambda x: F.concat(F.lit(SENTENCE), x.getField("s"), F.lit(SHOWN), x.getField("t"))),
+        BETWEEN))
     return agg.scalar()
 
 
@@ -50,18 +55,18 @@ def few_shot(sentence, lang, block: Column) -> Column:
     """F7 (+J4): examples, then the sentence; Spanish falls back to zero-shot."""
     s = _c(sentence)
     return F.when(_c(lang) == "es", zero_shot(s)).otherwise(
-        F.concat(block, F.lit("\n\nSentence: "), s, F.lit("\nCorrected:")))
+        F.concat(block, F.lit(BETWEEN), zero_shot(s)))
 
 
 def chat_wrap(message, lang) -> Column:
     """F8: instruction-model chat template; English system text iff ``lang='en'``."""
     system = F.when(_c(lang) == "en", F.lit(SYSTEM_EN)).otherwise(F.lit(SYSTEM_ES))
-    return F.concat(F.lit("<s>[INST] "), system, F.lit("\n\n"), _c(message), F.lit(" [/INST]"))
+    return F.concat(F.lit(CHAT_OPEN), system, F.lit(BETWEEN), _c(message), F.lit(CHAT_CLOSE))
 
 
 def cut_prompt(generated, prompt) -> Column:
     """drop the prompt (by character count) from the generated text, strip."""
-    return py_strip(F.substring(_c(generated), F.length(_c(prompt)) + 1, 1 << 30))
+    return py_strip(rest_from(generated, F.length(_c(prompt)) + 1))
 
 
 def clean_reply(reply, source) -> Column:

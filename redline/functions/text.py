@@ -59,10 +59,15 @@ def strip_prefix(c, prefix: str) -> Column:
     """Drop ``prefix`` (any case) once, then strip (F5, one step of F10)."""
     c = _c(c)
     return (F.when(F.startswith(F.lower(c), F.lit(prefix.lower())),
-                   py_strip(F.substring(c, len(prefix) + 1, 1 << 30)))
+                   py_strip(rest_from(c, F.lit(len(prefix) + 1))))
             .otherwise(c))
 
 
+def rest_from(c, start: Column) -> Column:
+    """The text from character ``start`` (1-based) to its end."""
+    return F.substr(_c(c), start)
+
+
 def is_blank(c) -> Column:
     return py_strip(c) == ""
 

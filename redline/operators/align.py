@@ -118,19 +118,20 @@ def lcs_align(src, tgt, full_table_bits: int = FULL_TABLE_BITS) -> list[tuple[in
     if m > 0 and n > 0:
         rows = _Rows(src[:m], tgt[:n], full_table_bits)
 
-        def dp(i: int, j: int) -> int:
-            return j - (rows.get(i) & ((1 << j) - 1)).bit_count()
-
-        i, j = m, n
-        while i > 0 and j > 0:
-            if src[i - 1] == tgt[j - 1]:
-                i -= 1
-                j -= 1
-                out.append((i, j))
-            elif dp(i - 1, j) >= dp(i, j - 1):
-                i -= 1
-            else:
-                j -= 1
+        left = n                                  # target words not yet passed
+        for at in reversed(range(m)):
+            word, with_it, without = src[at], rows.get(at + 1), rows.get(at)
+            below = (1 << left) - 1
+            # what this word adds to the length over the remaining target words (0 or 1)
+            gain = (without & below).bit_count() - (with_it & below).bit_count()
+            while gain and tgt[left - 1] != word:
+                left -= 1
+                gain -= (without >> left & 1) - (with_it >> left & 1)
+            if tgt[left - 1] == word:
+                left -= 1
+                out.append((at, left))
+            if not left:
+                break
     out.reverse()
     return out
 

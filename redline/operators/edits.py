@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redline.functions.text import tokens
+from redline.functions.text import rest_from, tokens
 
 # The label grammar.
 KEEP = "$KEEP"
@@ -60,9 +60,8 @@ def apply_one(w: Column, lab: Column) -> Column:
     anything else (or no label) -> word."""
     return (F.when(lab == KEEP, F.array(w))
             .when(lab == DELETE, F.array().cast("array<string>"))
-            .when(F.startswith(lab, F.lit(REPLACE)), F.array(F.substring(lab, len(REPLACE) + 1, 1 << 30)))
-            .when(F.startswith(lab, F.lit(INSERT)),
-                  F.array(F.substring(lab, len(INSERT) + 1, 1 << 30), w))
+            .when(F.startswith(lab, F.lit(REPLACE)), F.array(rest_from(lab, F.lit(len(REPLACE) + 1))))
+            .when(F.startswith(lab, F.lit(INSERT)), F.array(rest_from(lab, F.lit(len(INSERT) + 1)), w))
             .otherwise(F.array(w)))
 
 
@@ -76,11 +75,6 @@ def apply_labels(src, labels) -> Column:
     return F.array_join(apply_tokens(src, labels), " ")
 
 
-def apply_to_text(text, labels) -> Column:
-    """E5 on a raw sentence: tokenise (``str.split()``), then apply."""
-    return apply_labels(tokens(text), labels)
-
-
 def with_labels(pairs: DataFrame, src: str = "incorrect", tgt: str = "correct") -> DataFrame:
     """Adds ``src_tok``, ``tgt_tok``, ``alignment`` (E2) and ``labels``."""
     from redline.operators.align import alignment

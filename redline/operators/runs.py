@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Training defaults that stored run configurations override.
+# The defaults that a stored run configuration overrides.
 DEFAULT_CONFIG = {
-    "batch_size": "32",
-    "epochs": "20",
-    "lr": "2e-05",
+    "freeze_encoder": "false",
+    "d_model": "512",
+    "num_heads": "8",
+    "d_ff": "2048",
+    "num_layers": "4",
     "max_len": "128",
-    "top_k_labels": "5000",
-    "encoder_name": "xlm-roberta-base",
 }
 
 
@@ -25,10 +25,11 @@ def masked_loss(token_losses: DataFrame, batch: str = "batch", loss: str = "nll"
                 label: str = "label") -> DataFrame:
     """A10: per batch, the mean loss over positions whose label is not -100; then
     the plain mean over batches (mean of batch means, not the token mean).
-    Batches with no visible position count as 0 (divide by ``max(1, n)``)."""
+    A batch with no visible position has no mean and takes no part in the
+    loss; ``n_batches`` counts it. Without any visible position the loss is 0."""
     per = token_losses.groupBy(batch).agg(
         F.avg(F.when(F.col(label) != -100, F.col(loss))).alias("batch_loss"))
-    return per.agg(F.avg(F.coalesce("batch_loss", F.lit(0.0))).alias("loss"),
+    return per.agg(F.coalesce(F.avg("batch_loss"), F.lit(0.0)).alias("loss"),
                    F.count(F.lit(1)).alias("n_batches"))
 
 

@@ -2,9 +2,9 @@
 
 Stands in for the neural tag classifier with the same interface (word ->
 label): ``P(label | prev, word, next)`` with back-off to ``(prev, word)``,
-``(word)`` and finally ``$KEEP``. Fitting counts all three context levels in
-one grouping-sets aggregation and takes the argmax (highest count, ties by
-lowest ``label_id``) in a second one; both aggregate map-side, so a hot
+``(word)`` and finally ``$KEEP``. Fitting counts the trigrams once, stores them,
+sums the shorter contexts from them and takes the argmax (highest count, ties by
+lowest ``label_id``); all aggregate map-side, so a hot
 context ships one partial row per task. Every table carries ``lang``: one
 model per language.
 
@@ -34,7 +34,7 @@ from redline.operators.vocab import id_labels, label_ids
 from redline.plans.session import cut_lineage
 
 BOS, EOS = "<s>", "</s>"
-NANO = 1_000_000_000
+LOSS_DIGITS = 9
 LEVELS = {
     "tri": ("prev", "word", "next"),
     "bi": ("prev", "word"),
@@ -113,25 +113,25 @@ def contexts(df: DataFrame, tok_col: str = "src_tok", extra=("labels",),
 def fit(labelled_train: DataFrame, vocab: DataFrame, materialize: bool = True) -> TaggerModel:
     """M2: per-context argmax tables from the training edits.
 
-    All three levels come from one grouping-sets aggregation (one shuffle)
-    and one argmax aggregation (one more); the result is one model table with a
-    ``level`` column. Like an ML ``fit`` this is eager when ``materialize``:
-    the table is written once, partitioned by level, to the shared checkpoint
-    folder, and each level is read back by partition pruning, so the tagging
-    passes never re-run the training-set alignment.
+    The result is one model table with a ``level`` column. Like an ML ``fit`` this is
+    eager when ``materialize``: the trigram counts and the table (partitioned by
+    level) are written once to the shared checkpoint folder, and each level is
+    read back by partition pruning, so neither the tagging passes nor the
+    validation loss re-run the training-set alignment.
     """
     if materialize:
         vocab = cut_lineage(vocab, "label-vocab")
     ctx = label_ids(contexts(labelled_train), vocab)
-    counts = _level_counts(ctx)
-    # argmax: highest count, ties by lowest id, packed into one long so the
-    # aggregation stays a codegen'd HashAggregate (ids < 2**24, counts < 2**39)
-    packed = F.col("n") * F.lit(1 << 24) + (F.lit((1 << 24) - 1) - F.col("label_id"))
-    best = counts.groupBy("level", "lang", "prev", "word", "next").agg(
-        F.max(packed).alias("_best"), F.sum("n").alias("n_ctx"))
-    best = best.select("level", "lang", "prev", "word", "next",
-                       (F.lit((1 << 24) - 1) - F.col("_best").bitwiseAND(F.lit((1 << 24) - 1)))
-                       .cast("int").alias("label_id"), "n_ctx")
+    counts = _level_counts(ctx, materialize)
+    none = F.lit(None).cast("string")
+    best = None
+    for name, keys in LEVELS.items():
+        one = counts[name].groupBy("lang", *keys).agg(
+            F.max(_packed("n", "label_id")).alias("_best"), F.sum("n").alias("n_ctx"))
+        one = one.select(F.lit(name).alias("level"), "lang",
+                         *[F.col(k) if k in keys else none.alias(k) for k in LEVELS["tri"]],
+                         _packed_id("_best").alias("label_id"), "n_ctx")
+        best = one if best is None else best.unionByName(one)
     if materialize:
         best = cut_lineage(best, "tagger", partition_by=("level",))
     tables = {}
@@ -139,9 +139,21 @@ def fit(labelled_train: DataFrame, vocab: DataFrame, materialize: bool = True) -
         t = best.where(F.col("level") == name)
         tables[name] = t.select("lang", *keys, F.col("label_id").alias(f"{name}_id"),
                                 F.col("n_ctx").alias(f"{name}_n"))
-    per_level = {name: counts.where(F.col("level") == name).select("lang", *keys, "label_id", "n")
-                 for name, keys in LEVELS.items()}
-    return TaggerModel(tables["tri"], tables["bi"], tables["uni"], vocab, per_level, materialize)
+    return TaggerModel(tables["tri"], tables["bi"], tables["uni"], vocab, counts, materialize)
+
+
+_ID_SPAN = 1 << 31
+
+
+def _packed(n: str, label_id: str):
+    """Highest count first, ties by lowest id, as one number: any bigint count and
+    any int id fit DECIMAL(38,0), and the argmax stays a HashAggregate."""
+    wide = F.col(n).cast("decimal(20,0)") * F.lit(_ID_SPAN).cast("decimal(10,0)")
+    return (wide + (F.lit(_ID_SPAN - 1) - F.col(label_id)).cast("decimal(10,0)")).cast("decimal(38,0)")
+
+
+def _packed_id(best: str):
+    return (F.lit(_ID_SPAN - 1) - (F.col(best) % F.lit(_ID_SPAN).cast("decimal(10,0)")).cast("bigint")).cast("int")
 
 
 def _decisive(tables: dict) -> DataFrame:
@@ -170,15 +182,15 @@ def _decisive(tables: dict) -> DataFrame:
     return keep_uni.unionByName(keep_bi).unionByName(keep_tri)
 
 
-def _level_counts(ctx: DataFrame) -> DataFrame:
-    """``level, lang, prev, word, next, label_id, n`` for the three context
-    levels in one Expand + partial/final aggregation (GROUPING SETS)."""
-    sets = [["lang", *keys, "label_id"] for keys in LEVELS.values()]
-    g = ctx.groupingSets(sets, "lang", "prev", "word", "next", "label_id").agg(
-        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_gid"))
-    # grouping_id bits (lang, prev, word, next, label_id): tri = 0, bi = 2 (next), uni = 6 (prev, next)
-    level = (F.when(F.col("_gid") == 0, "tri").when(F.col("_gid") == 2, "bi").otherwise("uni"))
-    return g.select(level.alias("level"), "lang", "prev", "word", "next", "label_id", "n")
+def _level_counts(ctx: DataFrame, materialize: bool) -> dict:
+    """level -> ``lang, context..., label_id, n``. The training words are counted once,
+    by trigram, and that table is stored; the shorter contexts are sums of it."""
+    tri = ctx.groupBy("lang", *LEVELS["tri"], "label_id").agg(F.count(F.lit(1)).alias("n"))
+    if materialize:
+        tri = cut_lineage(tri, "tagger-counts")
+    bi = tri.groupBy("lang", *LEVELS["bi"], "label_id").agg(F.sum("n").alias("n"))
+    uni = tri.groupBy("lang", *LEVELS["uni"], "label_id").agg(F.sum("n").alias("n"))
+    return {"tri": tri, "bi": bi, "uni": uni}
 
 
 def tag_words(words: DataFrame, model: TaggerModel) -> DataFrame:
@@ -277,27 +289,26 @@ def validation_nll(labelled_val: DataFrame, model: TaggerModel, batches: DataFra
     mean); ``batches`` maps ``pair_id -> batch``."""
     ctx = label_ids(contexts(labelled_val), model.vocab)
     v = model.vocab.select(F.count(F.lit(1))).scalar()  # at most top_k + 2 rows
-    x = ctx
-    for name, keys in LEVELS.items():
-        t = model.tables()[name].select("lang", *keys, f"{name}_n")
-        x = x.join(t, ["lang", *keys], "left")
-    # counts of the gold label at each level
+    # each level is joined once: per context its total and the count of every label
+    # seen there (at most the vocabulary's size), the gold label's is looked up
+    x = ctx.where("visible")
     for name, keys in LEVELS.items():
-        gold = (model.counts[name]
-                .select("lang", *keys, "label_id", F.col("n").alias(f"{name}_g")))
-        x = x.join(gold, ["lang", *keys, "label_id"], "left")
+        t = model.counts[name].groupBy("lang", *keys).agg(
+            F.sum("n").alias(f"{name}_n"),
+            F.map_from_entries(F.collect_list(F.struct("label_id", "n"))).alias("_by"))
+        x = (x.join(t, ["lang", *keys], "left")
+             .withColumn(f"{name}_g", F.coalesce(F.try_element_at("_by", F.col("label_id")), F.lit(0))).drop("_by"))
     level_n = F.coalesce("tri_n", "bi_n", "uni_n", F.lit(0))
-    level_g = (F.when(F.col("tri_n").isNotNull(), F.coalesce("tri_g", F.lit(0)))
-               .when(F.col("bi_n").isNotNull(), F.coalesce("bi_g", F.lit(0)))
-               .when(F.col("uni_n").isNotNull(), F.coalesce("uni_g", F.lit(0))).otherwise(F.lit(0)))
+    level_g = (F.when(F.col("tri_n").isNotNull(), F.col("tri_g"))
+               .when(F.col("bi_n").isNotNull(), F.col("bi_g"))
+               .when(F.col("uni_n").isNotNull(), F.col("uni_g")).otherwise(F.lit(0)))
     nll = -F.log((level_g + 1) / (level_n + F.lit(v)))
-    # Losses are summed as integers in nano-units (floor is exact on a double),
-    # so the result does not depend on how rows are spread over partitions:
-    # a float sum would change in its last digits from run to run.
-    rows = x.where("visible").select("pair_id", F.floor(nll * NANO).cast("bigint").alias("nll_q"))
-    rows = rows.join(batches, "pair_id")
-    per_batch = rows.groupBy("batch").agg(F.sum("nll_q").alias("s"), F.count(F.lit(1)).alias("n"))
-    per_batch = per_batch.select(F.floor(F.col("s") / F.col("n")).cast("bigint").alias("batch_q"), "n")
-    return per_batch.agg((F.sum("batch_q") / F.count(F.lit(1)) / NANO).alias("val_loss"),
-                         F.count(F.lit(1)).alias("n_batches"),
-                         F.sum("n").alias("n_tokens"))
+    # Losses and batch means are summed as decimals, so the result does not depend on
+    # how rows are spread over partitions; it is rounded once, at the end.
+    exact = "decimal(38,12)"
+    rows = x.select("pair_id", nll.cast("decimal(24,12)").alias("nll")).join(batches, "pair_id")
+    per_batch = rows.groupBy("batch").agg(F.sum("nll").cast("double").alias("s"), F.count(F.lit(1)).alias("n"))
+    return per_batch.agg(
+        F.round(F.sum((F.col("s") / F.col("n")).cast("decimal(24,12)")).cast(exact).cast("double")
+                / F.count(F.lit(1)), LOSS_DIGITS).alias("val_loss"),
+        F.count(F.lit(1)).alias("n_batches"), F.sum("n").alias("n_tokens"))

@@ -337,13 +337,15 @@ nll AS (SELECT pair_id, -ln((CASE WHEN tri_n IS NOT NULL THEN coalesce(tri_g, 0)
                              / (coalesce(tri_n, bi_n, uni_n, 0) + (SELECT v FROM nv))) AS nll FROM j),
 vb AS (SELECT pair_id, (row_number() OVER (ORDER BY pair_id) - 1) // 32 AS batch
        FROM splitted WHERE split = 'val'),
-pb AS (SELECT batch, CAST(floor(sum(CAST(floor(nll * 1000000000) AS BIGINT)) / count(*)) AS BIGINT) AS batch_q,
+pb AS (SELECT batch, CAST(sum(CAST(nll AS DECIMAL(24, 12))) AS DOUBLE) / count(*) AS mean,
               count(*) AS n FROM nll JOIN vb USING (pair_id) GROUP BY batch)
-SELECT sum(batch_q) / count(*) / 1000000000 AS val_loss, count(*) AS n_batches, CAST(sum(n) AS BIGINT) AS n_tokens FROM pb""")
+SELECT round(CAST(sum(CAST(mean AS DECIMAL(24, 12))) AS DOUBLE) / count(*), 9) AS val_loss,
+       count(*) AS n_batches, CAST(sum(n) AS BIGINT) AS n_tokens FROM pb""")
 
 
 # ---------------------------------------------------------------- prompts, encoding, candidates, runs
 
+# System instructions by language, the prompts' pieces and, below, the reply prefixes.
 _SYS_EN = ("You are a grammatical error correction assistant. "
            "Correct all grammatical errors in the given sentence. "
            "Output ONLY the corrected sentence — no explanation, no extra text.")
@@ -467,8 +469,9 @@ sv AS (SELECT *, min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch ROWS BET
 SELECT run_id, first(epoch ORDER BY val_loss, epoch) AS best_epoch, min(val_loss) AS best_val_loss,
        CAST(sum(CASE WHEN bb IS NULL OR val_loss < bb THEN 1 ELSE 0 END) AS BIGINT) AS n_saves, count(*) AS n_epochs
 FROM sv GROUP BY run_id""")
-_DEFAULTS = [("batch_size", "32"), ("encoder_name", "xlm-roberta-base"), ("epochs", "20"), ("lr", "2e-05"),
-             ("max_len", "128"), ("top_k_labels", "5000")]
+# The default run configuration.
+_DEFAULTS = [("freeze_encoder", "false"), ("d_model", "512"), ("num_heads", "8"), ("d_ff", "2048"),
+             ("num_layers", "4"), ("max_len", "128")]
 _dvals = " UNION ALL ".join(f"SELECT '{k}' AS key, '{v}' AS dv" for k, v in _DEFAULTS)
 ORACLES["run_config"] = with_base(f"""
 d AS ({_dvals}),

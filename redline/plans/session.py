@@ -20,10 +20,10 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "redline") -> SparkSession:
     """Session with AQE (coalescing + skew join) and Arrow on, UI off."""
-    master = master or os.environ.get("REDLINE_MASTER", "local[8]")
+    master = master or os.environ.get("REDLINE_MASTER")
+    memory = os.environ.get("REDLINE_DRIVER_MEMORY")
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
+        SparkSession.builder.appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
@@ -31,8 +31,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("REDLINE_DRIVER_MEMORY", "16g"))
     )
+    if master:                       # else what spark-submit or the Spark settings name
+        builder = builder.master(master)
+    if memory or (master or "").startswith("local"):
+        builder = builder.config("spark.driver.memory", memory or "16g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()

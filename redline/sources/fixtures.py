@@ -6,7 +6,9 @@ an md5 of the sentence pick one of six corruptions (drop a word, duplicate the
 first, rotate, misspell one word, add an instruction prefix, leave as is).
 Some rows get a null or blank ``incorrect`` or a null ``transformation`` so that
 every cleaning rule has something to remove. ``pair_id`` is the stable order
-for every tie. Every sentence with at least one word is kept, however long.
+for every tie: the document id times 2**32 plus the sentence's position, so no
+two sentences share one (an id of 2**31 or more raises an overflow). Every
+sentence with at least one word is kept, however long.
 """
 
 from __future__ import annotations
@@ -88,7 +90,7 @@ def gec_pairs_from(documents: DataFrame) -> DataFrame:
     items = F.transform(items, _pair_item)
     rows = documents.select("doc_id", "lang", F.inline(items))
     return rows.select(
-        (F.col("doc_id") * 100000 + F.col("pos")).alias("pair_id"),
+        (F.col("doc_id") * F.lit(1 << 32) + F.col("pos")).alias("pair_id"),
         "correct", "incorrect", "transformation", "lang")
 
 
@@ -123,7 +125,7 @@ t AS (SELECT *, list_filter(string_split_regex(s, '{DUCK_WS}'), lambda x: x <> '
              ('0x' || substr(md5(s), 1, 8))::BIGINT AS h1,
              ('0x' || substr(md5(s), 9, 8))::BIGINT AS h2 FROM s),
 u AS (SELECT *, h2 % len(b) + 1 AS k FROM t WHERE len(b) >= 1)
-SELECT doc_id * 100000 + pos AS pair_id, s AS correct,
+SELECT doc_id * 4294967296 + pos AS pair_id, s AS correct,
   CASE WHEN h1 % 97 = 0 THEN NULL WHEN h1 % 89 = 0 THEN '  '
        WHEN h1 % 6 = 0 THEN array_to_string(list_filter(b, lambda x, i: i <> k), ' ')
        WHEN h1 % 6 = 1 THEN array_to_string(list_concat([b[1]], b), ' ')

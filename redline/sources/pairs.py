@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,10 +89,13 @@ def save_vocab(vocab: DataFrame, path: str, lang: str | None, top_k: int) -> Non
 
 def load_vocab(spark: SparkSession, path: str, lang: str | None, top_k: int) -> DataFrame | None:
     """The stored vocabulary if it exists and was built with the same
-    ``lang`` / ``top_k``; otherwise ``None`` (caller rebuilds)."""
+    ``lang`` / ``top_k``; otherwise ``None`` (caller rebuilds). Only an absent path
+    counts as no vocabulary; any other failure to read is raised."""
     try:
         v = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent or unreadable: rebuild
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     meta = v.select("vocab_lang", "top_k").limit(1).collect()
     if not meta or meta[0]["vocab_lang"] != lang or meta[0]["top_k"] != top_k:

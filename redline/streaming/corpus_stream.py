@@ -19,12 +19,14 @@ from redline.plans.session import checkpoint_dir
 from redline.sources import fixtures
 
 
-def pairs_stream(spark: SparkSession, documents_dir: str, max_files: int = 1) -> DataFrame:
-    """``gec_pairs`` of every document file that arrives in ``documents_dir``."""
+def pairs_stream(spark: SparkSession, documents_dir: str, max_files: int | None = None) -> DataFrame:
+    """``gec_pairs`` of every document file that arrives in ``documents_dir``; a
+    micro-batch takes all new files unless ``max_files`` is given."""
     schema = spark.read.parquet(documents_dir).schema
-    docs = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .parquet(documents_dir).select("doc_id", "text", "lang"))
-    return fixtures.gec_pairs_from(docs)
+    reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return fixtures.gec_pairs_from(reader.parquet(documents_dir).select("doc_id", "text", "lang"))
 
 
 def cleaned_split_stream(pairs: DataFrame, multilingual_lang: str = "es") -> DataFrame:

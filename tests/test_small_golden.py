@@ -4,6 +4,7 @@ configuration, tagger passes."""
 from pyspark.sql import functions as F
 
 from redline.operators import edits, runs, scoring, tagger, vocab
+from redline.sources import fixtures
 
 CANDS = "sent_id long, rank int, score double, n_tokens int, finished boolean, text string"
 
@@ -52,9 +53,9 @@ def test_best_checkpoint_first_epoch_wins_ties(spark):
 
 
 def test_merged_config_defaults_and_overrides(spark):
-    df = spark.createDataFrame([('{"lr": "1e-4", "extra": "x"}',), (None,)], "props string")
+    df = spark.createDataFrame([('{"d_model": "256", "extra": "x"}',), (None,)], "props string")
     got = [r.m for r in df.select(runs.merged_config(F.from_json("props", "map<string,string>")).alias("m")).collect()]
-    assert got[0]["lr"] == "1e-4" and got[0]["extra"] == "x" and got[0]["batch_size"] == "32"
+    assert got[0]["d_model"] == "256" and got[0]["extra"] == "x" and got[0]["num_layers"] == "4"
     assert got[1] == runs.DEFAULT_CONFIG
 
 
@@ -94,27 +95,30 @@ def test_tagger_passes_equal_repeated_single_passes(spark):
 def test_tagger_max_words_keeps_hidden_words(spark):
     m = _model(spark)
     s = spark.createDataFrame([(1, "en", "he go home he go home")], "pair_id long, lang string, text string")
-    labels = tagger.tag(s, m).first().labels
-    words = "he go home he go home".split()
-
-    def apply(ws, ls):
-        out = []
-        for w, lab in zip(ws, ls):
-            if lab == "$DELETE":
-                continue
-            if lab.startswith("$REPLACE_"):
-                out.append(lab[len("$REPLACE_"):])
-            elif lab.startswith("$INSERT_"):
-                out += [lab[len("$INSERT_"):], w]
-            else:
-                out.append(w)
-        return out
-
     full = tagger.correct(s, m, max_passes=1).first().corrected
     cut = tagger.correct(s, m, max_passes=1, max_words=3).first().corrected
-    assert full == " ".join(apply(words, labels))
-    assert cut == " ".join(apply(words[:3], labels[:3]) + words[3:])
-    assert full != cut
+    assert full == "he goes goes home he goes goes home"
+    assert cut == "he goes goes home he go home"
+
+
+def test_argmax_holds_counts_and_ids_beyond_packed_longs(spark):
+    rows = [("a", 5, 1 << 60), ("a", 4, 1 << 60), ("a", 3, 1 << 39), ("b", (1 << 31) - 1, 7), ("b", 0, 6)]
+    df = spark.createDataFrame(rows, "word string, label_id int, n long")
+    got = df.groupBy("word").agg(F.max(tagger._packed("n", "label_id")).alias("b")).select(
+        "word", tagger._packed_id("b").alias("label_id"))
+    assert {r.word: r.label_id for r in got.collect()} == {"a": 4, "b": (1 << 31) - 1}
+
+
+def test_pair_ids_do_not_collide_above_100000_sentences(spark):
+    docs = spark.createDataFrame([(1, "a. " * 100_005, "en"), (2, "b. " * 3, "en")], "doc_id long, text string, lang string")
+    p = fixtures.gec_pairs_from(docs).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pair_id").alias("d")).first()
+    assert p.n == p.d == 100_008
+
+
+def test_masked_loss_skips_batches_without_visible_positions(spark):
+    df = spark.createDataFrame([(0, 1.0, 5), (1, 9.0, -100)], "batch int, nll double, label int")
+    r = runs.masked_loss(df).first()
+    assert (r.loss, r.n_batches) == (1.0, 2)
 
 
 def test_decisive_tables_tag_like_the_full_model(spark):
