@@ -33,32 +33,43 @@ from redline.llm.common import bounded
 DIM, MAX_TRAIN, GRADES = 1 << 18, 8_000, 3
 CACHE = 250_000                        # words remembered by a task
 _MARKS = re.compile(r"^\W+|\W+$")
-_UPPER, _LOWER, _DIGIT, _RUN = re.compile(r"[^\W\d_]"), re.compile(r"a+"), re.compile(r"\d+"), re.compile(r"(\W)\1+")
+_LETTER, _DIGIT, _RUN = re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"([^_])\1+")
+_KIND = {k: zlib.crc32(f"{k}:".encode()) for k in "wsr"}
 
 
 def _slot(kind: str, key: str) -> int:
-    return zlib.crc32(f"{kind}:{key}".encode()) & (DIM - 1)
+    return zlib.crc32(key.encode(), _KIND[kind]) & (DIM - 1)
 
 
-def _shape(word: str) -> str:
-    out = _UPPER.sub(lambda m: "A" if m[0].isupper() else "a", word[:64])   # shape of a word's head
-    out = re.sub("A+", "A", _LOWER.sub("a", _DIGIT.sub("0", out)))
-    return _RUN.sub(r"\1", out)
+class _Classes(dict):
+    """Code point -> A (capital), a (other letter), 0 (digit) or itself, for str.translate."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = out = ("A" if c.isupper() else "a") if _LETTER.match(c) else "0" if _DIGIT.match(c) else c
+        return out
 
 
 class Hasher:
-    """Word -> (slot of the word, slot of its shape), remembered up to a bound."""
+    """Word -> slot of the word and slot of its shape, remembered up to a bound."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, int]] = {}
-
-    def __call__(self, word: str) -> tuple[int, int]:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            got = (_slot("w", _MARKS.sub("", word.lower())), _slot("s", _shape(word)))
-            self.known[word] = got
+        self.known: dict[str, int] = {}
+        self.shapes: dict[str, int] = {}              # slot by the classes of a word's head
+        self.classes = _Classes()
+
+    def _add(self, word: str) -> int:
+        for table in (self.known, self.shapes):
+            if len(table) >= CACHE:
+                table.clear()
+        head = word[:64].translate(self.classes)
+        shape = self.shapes.get(head)
+        if shape is None:
+            shape = self.shapes[head] = _slot("s", _RUN.sub(r"\1", head))
+        low = word.lower()
+        if not (low[0].isalnum() and low[-1].isalnum()):
+            low = _MARKS.sub("", low)
+        self.known[word] = got = _slot("w", low) * DIM + shape
         return got
 
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -67,12 +78,12 @@ class Hasher:
         n = len(words)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0)
-        count = Counter(words)
-        pairs = np.array([self(w) for w in count], np.int64)
+        count, known = Counter(words), self.known
+        both = np.fromiter((known.get(w) or self._add(w) for w in count), np.int64, len(count))
         often = np.fromiter(count.values(), np.float64, len(count))
-        shapes, at = np.unique(pairs[:, 1], return_inverse=True)
+        shapes, at = np.unique(both % DIM, return_inverse=True)
         share = np.bincount(at, often) / n
-        slots = np.r_[np.unique(pairs[:, 0]), shapes, _slot("r", "word"), _slot("r", "pair")]
+        slots = np.r_[np.unique(both // DIM), shapes, _REPEATS]
         values = np.r_[np.ones(len(slots) - len(shapes) - 2), 4 * share, 4 * max(often.max() / n - 0.1, 0),
                        4 * (1 - len(set(zip(words, words[1:], strict=False))) / max(n - 1, 1)) if n > 1 else 0.0]
         order = np.argsort(slots, kind="stable")
@@ -81,6 +92,9 @@ class Hasher:
         return slots[head], np.add.reduceat(values, head)
 
 
+_REPEATS = [_slot("r", "word"), _slot("r", "pair")]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
