@@ -22,13 +22,14 @@ FIXED = (KEEP, DELETE)
 
 def label_counts(edits: DataFrame) -> DataFrame:
     """A3: ``label, freq, first_pair, first_pos`` (first occurrence in pair order)."""
-    # Two hash aggregations instead of a sort-based min(struct): per (label,
-    # pair) the count and first position, then per label the first pair.
-    per_pair = edits.groupBy("label", "pair_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
-    return per_pair.groupBy("label").agg(
-        F.sum("n").alias("freq"), F.min("pair_id").alias("first_pair"),
-        F.min_by("pos", "pair_id").alias("first_pos"))
+    # The first occurrence is packed into one DECIMAL(38,0) (pair ids up to 2^63,
+    # positions below 2^31), whose minimum stays in the hash aggregation.
+    at = F.col("pair_id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
+    counts = edits.groupBy("label").agg(F.count(F.lit(1)).alias("freq"), F.min(at.cast("decimal(38,0)")).alias("_first"))
+    pos = F.expr(f"pmod(_first, cast({1 << 31} as decimal(10,0)))")
+    return counts.withColumn("first_pos", pos.cast(edits.schema["pos"].dataType)).select(
+        "label", "freq",
+        F.expr(f"(_first - first_pos) div {1 << 31}").alias("first_pair"), "first_pos")
 
 
 def label_vocab(edits_or_counts: DataFrame, top_k: int = TOP_K, materialize: bool = True) -> DataFrame:
