@@ -6,11 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from redline.plans.queries import QUERIES
 from redline.sources.fixtures import TABLES
 
 SMALL = "/root/testdata/sf0.001"
 
-FAST = sorted(E.queries())
+FAST = sorted(QUERIES)  # the training-data queries have their own tests, in tests/llm
 
 
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
@@ -39,7 +40,8 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) <= set(E.queries()) and set(QUERIES) <= set(E.oracle_sql())
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", FAST)
