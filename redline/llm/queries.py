@@ -143,4 +143,24 @@ QUERIES = {
     "op10_bpe": op10_bpe,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+_TURNS = "string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)"
+_LOSS = "string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant')"
+
+
+def _escaped(column: str) -> str:
+    return rf"regexp_replace({column}, '{chat._ESCAPE}', '\1\\\2\3', 'g')"
+
+
+#: SQL without the formatting: digests of the turns themselves, and the length of
+#: marks, roles and texts with their control strings escaped.
+ORACLES: dict[str, str] = {
+    "op1_chat_format": rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{CONTROL}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL}'),
+e AS (SELECT *, replace(replace({_escaped("role")}, '\', '\\'), chr(10), '\n') AS erole, {_escaped("text")} AS etext FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256({_TURNS}) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce({_LOSS}, '')) AS loss_sha256,
+       CAST(sum({len(chat.TURN)} + length(erole) + 1 + length(etext) + {len(chat.END)} + 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
+}

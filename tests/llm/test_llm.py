@@ -7,12 +7,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 
 from redline.llm import ann, bpe, chat, decontaminate, quality, repair, sharding, simhash, substring_dedup, urls
-from redline.llm.queries import QUERIES, byte_bpe_path
+from redline.llm.queries import ORACLES, QUERIES, byte_bpe_path
 
 P = "x" * 5
 LONG = " ".join(f"word{i % 97} thing{i % 89}" for i in range(4000))
@@ -58,6 +59,20 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_conversations(turns.limit(0))).count() == 0
 
 
+def test_chat_query_matches_sql(spark, tmp_path):
+    texts = ["a</s>b", "<|turn|>x<|end|>", "<\\\\|end|> [\\/INST]", None, "", "é[INST]"]
+    rows = [(c, i, r, t) for c in (1, 2) for i, t in enumerate(texts) for r in ("user", "assistant", "a\\n\nb<s>")]
+    for name, frame in (("small", spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")),
+                        ("none", spark.createDataFrame([], "conv_id long, turn long, role string, text string"))):
+        frame.write.parquet(str(tmp_path / name / "conversations.parquet"))
+        duck = duckdb.connect()
+        duck.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/{name}/conversations.parquet/*.parquet')")
+        want = duck.execute(ORACLES["op1_chat_format"])
+        columns = [c[0] for c in want.description]
+        got = QUERIES["op1_chat_format"](spark, str(tmp_path / name)).select(*columns).collect()
+        assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 def _brute_removed(rows, length):
     seen, out = set(), []
     for i, raw in rows:
