@@ -27,7 +27,7 @@ sends at most two positions per gram, so a passage shared by a third of the
 documents sends a few rows per block, not one per occurrence.
 
 Defined cases: null text is empty; a null id sorts before all others; rows that
-share an id are ordered by a hash of their text, and fully equal rows are one
+share an id are ordered by a 64-bit hash of their text, and fully equal rows are one
 document (equal results, neither is the other's repeat); extra columns are ignored
 by ``removed_spans`` and kept by ``deduplicate``.
 """
@@ -50,7 +50,8 @@ _RNG = np.random.default_rng(20240501)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _RNG.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CELL = 20                            # neighbouring window starts pruned together
-_SCHEMA = "kind byte, k1 long, k2 long, k3 long, doc long, pack long, lo long, hi long"
+#: a REPEAT row holds its first and last window start in k2 and k3
+_SCHEMA = "kind byte, k1 long, k2 long, k3 long, doc long, hash long, pack long"
 REPEAT, CANDIDATE, WITNESS, OPEN = 0, 1, 2, 3
 
 
@@ -94,30 +95,30 @@ class Names:
         return _mix(out)
 
 
-def _pack(order: np.ndarray, pos: np.ndarray, left: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """order (15 bits) | position (34) | position - first window (7) | windows - 1 (7)."""
-    return order << 48 | pos << 14 | left << 7 | width
+def _pack(pos: np.ndarray, left: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """position | position - first window (7 bits) | windows - 1 (7)."""
+    return pos << 14 | left << 7 | width
 
 
-def _unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """order, position, first window, last window."""
-    pos = p >> 14 & (1 << 34) - 1
+def _unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """position, first window, last window."""
+    pos = p >> 14
     lo = pos - (p >> 7 & 127)
-    return p >> 48, pos, lo, lo + (p & 127)
+    return pos, lo, lo + (p & 127)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], length: int):
-    """(bytes, piece starts, piece ends, doc, order, offset in the document); long
+    """(bytes, piece starts, piece ends, doc, hash, offset in the document); long
     texts come as pieces that overlap by length - 1 bytes."""
     for b in bounded(batches, "text", BLOCK):
         data, off = binary_parts(b.column("text"))
-        doc, order = longs(b.column("doc")), longs(b.column("ord"))
+        doc, text_hash = longs(b.column("doc")), longs(b.column("hash"))
         if b.num_rows > 1 or len(data) <= 2 * BLOCK:
-            yield data, off[:-1], off[1:], doc, order, np.zeros(b.num_rows, np.int64)
+            yield data, off[:-1], off[1:], doc, text_hash, np.zeros(b.num_rows, np.int64)
             continue
         for at in range(0, max(1, len(data) - length + 1), BLOCK):
             piece = data[at:at + BLOCK + length - 1]
-            yield piece, np.array([0]), np.array([len(piece)]), doc, order, np.array([at])
+            yield piece, np.array([0]), np.array([len(piece)]), doc, text_hash, np.array([at])
 
 
 def _anchors(data, start, end, names: Names, length: int, gram: int):
@@ -161,25 +162,24 @@ def _cell_bounds(length: int, gram: int) -> list[tuple[int, int]]:
     return [(o, min(o + size - 1, last)) for o in range(0, last + 1, size)]
 
 
-def _rows(kind, k1, k2, k3, doc, pack, lo, hi) -> pa.RecordBatch:
+def _rows(kind, k1, k2, k3, doc, text_hash, pack) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.asarray(kind, np.int8)), pa.array(k1), pa.array(k2), pa.array(k3), pa.array(doc), pa.array(pack),
-         pa.array(lo), pa.array(hi)], ["kind", "k1", "k2", "k3", "doc", "pack", "lo", "hi"])
+        [pa.array(np.asarray(kind, np.int8)), pa.array(k1), pa.array(k2), pa.array(k3), pa.array(doc), pa.array(text_hash),
+         pa.array(pack)], ["kind", "k1", "k2", "k3", "doc", "hash", "pack"])
 
 
-def _runs(doc, order, lo, hi) -> pa.RecordBatch | None:
+def _runs(doc, text_hash, lo, hi) -> pa.RecordBatch | None:
     """Repeat rows with touching window ranges of a document joined; k1 spreads them."""
     if not len(doc):
         return None
-    s = np.lexsort((lo, order, doc))
-    doc, order, lo, hi = doc[s], order[s], lo[s], hi[s]
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (order[1:] != order[:-1]) | (lo[1:] > hi[:-1] + 1)]
+    s = np.lexsort((lo, text_hash, doc))
+    doc, text_hash, lo, hi = doc[s], text_hash[s], lo[s], hi[s]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1]) | (lo[1:] > hi[:-1] + 1)]
     head = np.flatnonzero(new)
     last = np.maximum.reduceat(hi, head)
-    doc, order, lo = doc[head], order[head], lo[head]
-    k1 = _mix(lo.view(np.uint64) + _mix(doc.view(np.uint64))).view(np.int64)
-    z = np.zeros(len(head), np.int64)
-    return _rows(np.full(len(head), REPEAT), k1, order, z, doc, z, lo, last)
+    doc, text_hash, lo = doc[head], text_hash[head], lo[head]
+    k1 = (_mix(lo.view(np.uint64) + _mix(doc.view(np.uint64) ^ text_hash.view(np.uint64))) >> np.uint64(40)).view(np.int64)
+    return _rows(np.full(len(head), REPEAT), k1, lo, last, doc, text_hash, np.zeros(len(head), np.int64))
 
 
 def _starts(*cols) -> np.ndarray:
@@ -192,7 +192,7 @@ def _starts(*cols) -> np.ndarray:
 
 def _first_round(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, start, end, docs, orders, base in _blocks(batches, length):
+        for data, start, end, docs, hashes, base in _blocks(batches, length):
             if len(data) < length:
                 continue
             names = Names(data, length)
@@ -204,48 +204,46 @@ def _first_round(length: int, gram: int):
             c = _mix(names.at(lo, length) * _MUL[14] + names.at(hi, length) + around * _MUL[13])
             k3 = _cells(names, pos, lo, hi, length, gram)
             del names
-            doc, order, shift = docs[piece], orders[piece], base[piece] - start[piece]
-            pack = _pack(order, pos + shift, left, width)
+            doc, text_hash, shift = docs[piece], hashes[piece], base[piece] - start[piece]
+            pack = _pack(pos + shift, left, width)
             lo, hi = lo + shift, hi + shift
             k1, k2 = g.view(np.int64), c.view(np.int64)
-            s = np.lexsort((pack, doc, k2, k1))
-            k1, k2, k3, doc, order, pack, lo, hi = (x[s] for x in (k1, k2, k3, doc, order, pack, lo, hi))
+            s = np.lexsort((pack, text_hash, doc, k2, k1))
+            k1, k2, k3, doc, text_hash, pack, lo, hi = (x[s] for x in (k1, k2, k3, doc, text_hash, pack, lo, hi))
             cls = np.flatnonzero(_starts(k1, k2))
             size = np.diff(np.r_[cls, len(k1)])
             # a fully equal row's position is the same position, not a repeat
             first = np.repeat(cls, size)
-            repeat = (doc != doc[first]) | (pack != pack[first])
-            out = _runs(doc[repeat], order[repeat], lo[repeat], hi[repeat])
+            repeat = (doc != doc[first]) | (text_hash != text_hash[first]) | (pack != pack[first])
+            out = _runs(doc[repeat], text_hash[repeat], lo[repeat], hi[repeat])
             if out is not None:
                 yield out
-            k1, k2, k3, doc, pack = k1[cls], k2[cls], k3[cls], doc[cls], pack[cls]
+            k1, k2, k3, doc, text_hash, pack = (x[cls] for x in (k1, k2, k3, doc, text_hash, pack))
             head = np.flatnonzero(_starts(k1))
             size = np.diff(np.r_[head, len(k1)])
             many = np.repeat(size > 1, size)
             number = np.arange(len(k1)) - np.repeat(head, size)
-            z = np.zeros(len(k1), np.int64)
             send = ~many | (number < 2)
-            yield _rows(np.where(many, WITNESS, CANDIDATE)[send], k1[send], k2[send], k3[send], doc[send], pack[send],
-                        z[send], z[send])
+            yield _rows(np.where(many, WITNESS, CANDIDATE)[send], k1[send], k2[send], k3[send], doc[send], text_hash[send],
+                        pack[send])
             if many.any():
-                yield _rows(np.full(int(many.sum()), OPEN), k2[many], k1[many], k3[many], doc[many], pack[many],
-                            z[many], z[many])
+                yield _rows(np.full(int(many.sum()), OPEN), k2[many], k1[many], k3[many], doc[many], text_hash[many],
+                            pack[many])
     return run
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (k1, k2, doc, pack): of each class (k1, k2) all candidates but
+    """Rows sorted by (k1, k2, doc, hash, pack): of each class (k1, k2) all candidates but
     the first are repeats; the first stays open if its k1 has several classes. The
     only state between batches is the first row of the last class."""
-    columns = ("k1", "k2", "k3", "doc", "pack")
+    columns = ("k1", "k2", "k3", "doc", "hash", "pack")
     state = None                       # (columns, kind, its group is known to have several classes)
     for b in itertools.chain(batches, [None]):
         if b is None:
-            if state is None or not state[6] or state[5] != CANDIDATE:
+            if state is None or not state[7] or state[6] != CANDIDATE:
                 return
-            k1, k2, k3, doc, pack = (np.array([v]) for v in state[:5])
-            z = np.zeros(1, np.int64)
-            yield _rows([OPEN], k2, k1, k3, doc, pack, z, z)
+            k1, k2, k3, doc, text_hash, pack = (np.array([v], np.int64) for v in state[:6])
+            yield _rows([OPEN], k2, k1, k3, doc, text_hash, pack)
             return
         kind = b.column("kind").to_numpy()
         ready = (kind == REPEAT) | (kind == OPEN)
@@ -255,19 +253,19 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not use.any():
             continue
         kind = kind[use]
-        k1, k2, k3, doc, pack = (b.column(n).to_numpy()[use] for n in columns)
+        k1, k2, k3, doc, text_hash, pack = (b.column(n).to_numpy()[use] for n in columns)
         known = False
         if state is not None:
-            known = state[6]
-            k1, k2, k3, doc, pack = (np.r_[np.array([v], np.int64), x]
-                                     for v, x in zip(state[:5], (k1, k2, k3, doc, pack), strict=True))
-            kind = np.r_[np.array([state[5]], kind.dtype), kind]
+            known = state[7]
+            k1, k2, k3, doc, text_hash, pack = (np.r_[np.array([v], np.int64), x] for v, x in zip(
+                state[:6], (k1, k2, k3, doc, text_hash, pack), strict=True))
+            kind = np.r_[np.array([state[6]], kind.dtype), kind]
         cls = np.flatnonzero(_starts(k1, k2))
         first = np.repeat(cls, np.diff(np.r_[cls, len(k1)]))
-        repeat = (kind == CANDIDATE) & ((doc != doc[first]) | (pack != pack[first]))
+        repeat = (kind == CANDIDATE) & ((doc != doc[first]) | (text_hash != text_hash[first]) | (pack != pack[first]))
         if repeat.any():
-            order, _, lo, hi = _unpack(pack[repeat])
-            out = _runs(doc[repeat], order, lo, hi)
+            _, lo, hi = _unpack(pack[repeat])
+            out = _runs(doc[repeat], text_hash[repeat], lo, hi)
             if out is not None:
                 yield out
         group = _starts(k1[cls])
@@ -279,10 +277,9 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         closed[-1] = False             # the last class may still go on; it is the state
         emit = cls[open_group & closed & (kind[cls] == CANDIDATE)]
         if len(emit):
-            z = np.zeros(len(emit), np.int64)
-            yield _rows(np.full(len(emit), OPEN), k2[emit], k1[emit], k3[emit], doc[emit], pack[emit], z, z)
+            yield _rows(np.full(len(emit), OPEN), k2[emit], k1[emit], k3[emit], doc[emit], text_hash[emit], pack[emit])
         last = cls[-1]
-        state = (*(int(x[last]) for x in (k1, k2, k3, doc, pack)), int(kind[last]), bool(several[-1]))
+        state = (*(int(x[last]) for x in (k1, k2, k3, doc, text_hash, pack)), int(kind[last]), bool(several[-1]))
 
 
 def _last_round(length: int, gram: int):
@@ -290,10 +287,10 @@ def _last_round(length: int, gram: int):
     near, far = np.array(_cell_bounds(length, gram)).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, start, end, docs, orders, base, packs in _open_blocks(batches, length):
+        for data, start, end, docs, hashes, base, packs in _open_blocks(batches, length):
             names = Names(data, length)
             for i, (pack, cell) in enumerate(packs):
-                _, pos, lo, hi = _unpack(pack)
+                pos, lo, hi = _unpack(pack)
                 lo = np.maximum(np.maximum(lo, pos - far[cell]), base[i])
                 hi = np.minimum(np.minimum(hi, pos - near[cell]), base[i] + end[i] - start[i] - length)
                 packs[i] = (lo[lo <= hi], (hi - lo + 1)[lo <= hi])
@@ -306,19 +303,18 @@ def _last_round(length: int, gram: int):
             k1 = names.at(at, half).view(np.int64)
             k2 = names.at(at + half, length - half).view(np.int64)
             del names
-            doc, order = docs[row], orders[row]
+            doc, text_hash = docs[row], hashes[row]
             z = np.zeros(len(pos), np.int64)
-            pack = _pack(order, pos, z, z)
-            s = np.lexsort((pack, doc, k2, k1))
-            k1, k2, doc, order, pack, pos = (x[s] for x in (k1, k2, doc, order, pack, pos))
+            pack = _pack(pos, z, z)
+            s = np.lexsort((pack, text_hash, doc, k2, k1))
+            k1, k2, doc, text_hash, pack, pos = (x[s] for x in (k1, k2, doc, text_hash, pack, pos))
             cls = np.flatnonzero(_starts(k1, k2))
             first = np.repeat(cls, np.diff(np.r_[cls, len(k1)]))
-            repeat = (doc != doc[first]) | (pack != pack[first])
-            out = _runs(doc[repeat], order[repeat], pos[repeat], pos[repeat])
+            repeat = (doc != doc[first]) | (text_hash != text_hash[first]) | (pack != pack[first])
+            out = _runs(doc[repeat], text_hash[repeat], pos[repeat], pos[repeat])
             if out is not None:
                 yield out
-            z = z[:len(cls)]
-            yield _rows(np.full(len(cls), CANDIDATE), k1[cls], k2[cls], z, doc[cls], pack[cls], z, z)
+            yield _rows(np.full(len(cls), CANDIDATE), k1[cls], k2[cls], z[:len(cls)], doc[cls], text_hash[cls], pack[cls])
     return run
 
 
@@ -326,30 +322,29 @@ def _open_blocks(batches, length):
     """As ``_blocks``, with the (positions, cells) of each piece's document."""
     for b in bounded(batches, "text", BLOCK):
         data, off = binary_parts(b.column("text"))
-        doc, order = longs(b.column("doc")), longs(b.column("ord"))
+        doc, text_hash = longs(b.column("doc")), longs(b.column("hash"))
         cells = b.column("cells").combine_chunks() if isinstance(b.column("cells"), pa.ChunkedArray) else b.column("cells")
         at, flat = cells.offsets.to_numpy(), cells.values
         pack, cell = flat.field("pack").to_numpy(), flat.field("cell").to_numpy()
         packs = [(pack[x:y], cell[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
         if b.num_rows > 1 or len(data) <= 2 * BLOCK:
-            yield data, off[:-1], off[1:], doc, order, np.zeros(b.num_rows, np.int64), packs
+            yield data, off[:-1], off[1:], doc, text_hash, np.zeros(b.num_rows, np.int64), packs
             continue
         for at in range(0, max(1, len(data) - length + 1), BLOCK):
             piece = data[at:at + BLOCK + length - 1]
-            yield piece, np.array([0]), np.array([len(piece)]), doc, order, np.array([at]), [packs[0]]
+            yield piece, np.array([0]), np.array([len(piece)]), doc, text_hash, np.array([at]), [packs[0]]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(id_key(id_col).alias("doc"), F.pmod(F.xxhash64(text_col), F.lit(1 << 15)).alias("ord"),
-                       F.col(text_col).alias("text"))
+    return docs.select(id_key(id_col).alias("doc"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
 
 
 def _sorted_pairs(rows: DataFrame) -> DataFrame:
-    return rows.repartition("k1").sortWithinPartitions("k1", "k2", "doc", "pack").mapInArrow(_resolve, _SCHEMA)
+    return rows.repartition("k1").sortWithinPartitions("k1", "k2", "doc", "hash", "pack").mapInArrow(_resolve, _SCHEMA)
 
 
 def _shared_cells(still: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc, ord, cells): per document the cells of open positions whose shared
+    """(doc, hash, cells): per document the cells of open positions whose shared
     bytes occur at two positions or more."""
     left = F.shiftright("pack", 7).bitwiseAND(F.lit(127))
     right = left - F.col("pack").bitwiseAND(F.lit(127))
@@ -357,16 +352,15 @@ def _shared_cells(still: DataFrame, length: int, gram: int) -> DataFrame:
                              F.struct(F.lit(c).cast("long").alias("cell"),
                                       F.shiftright("k3", 16 * c).bitwiseAND(F.lit(0xFFFF)).alias("name")))
                       for c, (near, far) in enumerate(_cell_bounds(length, gram))])
-    rows = still.select("doc", "pack", F.col("k2").alias("gram"), F.inline(F.filter(cells, lambda x: x.isNotNull())))
+    rows = still.select("doc", "hash", "pack", F.col("k2").alias("gram"), F.inline(F.filter(cells, lambda x: x.isNotNull())))
     shared = rows.groupBy("gram", "cell", "name").count().filter("count > 1").drop("count")
     return (rows.join(shared, ["gram", "cell", "name"], "left_semi")
-            .groupBy("doc", F.shiftright("pack", 48).alias("ord"))
-            .agg(F.collect_list(F.struct("pack", "cell")).alias("cells")))
+            .groupBy("doc", "hash").agg(F.collect_list(F.struct("pack", "cell")).alias("cells")))
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc, ord, spans): per document with repeats, ranges [lo, hi] of starts of
+    """(doc, hash, spans): per document with repeats, ranges [lo, hi] of starts of
     repeated ``length``-byte strings. ``doc`` is the id (``NULL_ID`` for null)."""
     if not 1 <= gram < length <= 128:
         raise ValueError("1 <= gram < length <= 128")
@@ -376,11 +370,12 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
               "repeats-1")
     release(spark)
     still = _shared_cells(one.filter(F.col("kind") == OPEN), length, gram)
-    two = cut(_sorted_pairs(src.join(still, ["doc", "ord"]).select("doc", "ord", "text", "cells")
+    two = cut(_sorted_pairs(src.join(still, ["doc", "hash"]).select("doc", "hash", "text", "cells")
                             .mapInArrow(_last_round(length, gram), _SCHEMA)), "repeats-2")
     release(spark)
     found = one.unionByName(two).filter(F.col("kind") == REPEAT)
-    return found.groupBy("doc", F.col("k2").alias("ord")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return found.groupBy("doc", "hash").agg(
+        F.collect_list(F.struct(F.col("k2").alias("lo"), F.col("k3").alias("hi"))).alias("spans"))
 
 
 def merged(spans, n: int, length: int) -> list[tuple[int, int]]:
@@ -400,7 +395,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, text, ``removed`` (sorted maximal byte runs). ``finish``
     turns batches of (doc, text, removed) into batches of ``schema`` in the same worker."""
     spans = removed_spans(docs, id_col, text_col, length, gram)
-    joined = _keyed(docs, id_col, text_col).join(spans, ["doc", "ord"], "left")
+    joined = _keyed(docs, id_col, text_col).join(spans, ["doc", "hash"], "left")
 
     def run(batches):
         for b in bounded(batches, "text", BLOCK):
@@ -436,10 +431,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with repeated byte runs cut from the text (a character goes when any of
     its bytes does); rows and other columns stay. Null texts stay null."""
     spans = removed_spans(docs, id_col, text_col, length, gram)
-    keyed = docs.select(*docs.columns, id_key(id_col).alias("__doc"),
-                        F.pmod(F.xxhash64(text_col), F.lit(1 << 15)).alias("__ord"))
-    joined = keyed.join(spans.select(F.col("doc").alias("__doc"), F.col("ord").alias("__ord"), F.col("spans").alias("__spans")),
-                        ["__doc", "__ord"], "left").select(*docs.columns, "__spans")
+    keyed = docs.select(*docs.columns, id_key(id_col).alias("__doc"), F.xxhash64(text_col).alias("__hash"))
+    joined = keyed.join(spans.select(F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("spans").alias("__spans")),
+                        ["__doc", "__hash"], "left").select(*docs.columns, "__spans")
     names = docs.columns
     where = names.index(text_col)
 

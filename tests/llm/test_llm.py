@@ -104,6 +104,27 @@ def test_substring_dedup_matches_brute_force(spark):
     assert {r["doc_id"]: r["text"] for r in clean.collect()}[92] is None
 
 
+def test_substring_dedup_rows_without_id(spark):
+    """Texts whose hashes agree in their low bits are documents of their own."""
+    hash_of = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
+    shared = "".join(f"{i:03d}" for i in range(40))
+    texts = [f"{shared} tail {i}" for i in range(1000)] + ["".join(f"{i}-{j} " for j in range(20)) for i in range(1000)]
+    by_low = defaultdict(list)
+    for t in texts:
+        by_low[hash_of(t) % (1 << 15)].append(t)
+    assert sum(len({t.startswith(shared) for t in v}) > 1 for v in by_low.values()) > 10
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(5)
+    want = _brute_removed([(t, t.encode()) for t in sorted(texts, key=hash_of)], 100)
+    assert sorted(r["text"] for r in substring_dedup.deduplicate(docs).collect()) == sorted(k.decode() for _, _, k in want)
+    cut = {r["text"]: sum(x["hi"] - x["lo"] for x in r["removed"]) for r in substring_dedup.removals(docs).collect()}
+    assert cut == {t: n - len(k) for t, n, k in want}
+    # equal strings at the same place of two such rows are still a repeat
+    low = {}
+    pair = next((t, low[k]) for t in (f"{shared} end {i}" for i in range(10000)) if (k := hash_of(t) % (1 << 15)) in low or low.update({k: t}))
+    two = spark.createDataFrame([(None, t) for t in pair], "doc_id long, text string")
+    assert sorted(len(r["removed"]) for r in substring_dedup.removals(two).collect()) == [0, 1]
+
+
 def test_substring_dedup_edges(docs, empty):
     out = {(r["doc_id"], r["text"]): len(r["removed"]) for r in substring_dedup.removals(docs).collect()}
     assert out[(4, ROWS[3][1])] == 1 and out[(1, ROWS[0][1])] == 0
