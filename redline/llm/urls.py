@@ -5,8 +5,8 @@ with the rule's path; the longest rule wins. URLs that no rule fits are judged b
 boosted trees on lexical features: length, depth, digit ratio, character entropy,
 parameter counts, hyphens, host labels, and the smoothed block rate of the host's suffix.
 
-The trees are fitted on labelled URLs, at most ``MAX_TRAIN`` distinct ones (chosen by
-hash). The given tables label no URL, so the registered query labels training URLs by
+The block rates by suffix and their prior are counted on all distinct labelled URLs; the
+trees are fitted on at most ``MAX_TRAIN`` of them (chosen by hash). The given tables label no URL, so the registered query labels training URLs by
 ``SEED_WORDS`` in the host; the words themselves are not features.
 
 Defined cases: a URL that is null or has no ``://`` has empty host and path and fits
@@ -79,7 +79,7 @@ def seed_labels(urls: DataFrame, words: tuple[str, ...] = SEED_WORDS) -> DataFra
 
 
 class UrlModel:
-    """Boosted trees with the suffix block rates of the training set."""
+    """Boosted trees with the suffix block rates of all labelled URLs."""
 
     def __init__(self, trees, rates: DataFrame | None, prior: float):
         self.trees, self.rates, self.prior = trees, rates, prior
@@ -95,19 +95,20 @@ class UrlModel:
 
 
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, trees: int = 20, depth: int = 4, seed: int = 7) -> UrlModel:
-    """Fit on at most ``max_train`` distinct labelled URLs (url, host, label)."""
-    train = (labelled.groupBy("url", "host").agg(F.max("label").alias("label"))
-             .orderBy(F.xxhash64("url"), "url").limit(max_train))
-    train = cut(features(train), "url-train")
-    total = train.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s")).first()
-    prior = (total["s"] or 0.0) / max(total["n"], 1)
-    if prior in (0.0, 1.0):
+    """Suffix rates of all labelled URLs (url, host, label), trees on at most ``max_train`` distinct ones."""
+    known = labelled.groupBy("url", "host").agg(F.max("label").alias("label"))
+    counts = cut(known.groupBy(F.substring_index("host", ".", -1).alias("suffix"))
+                 .agg(F.sum("label").alias("s"), F.count(F.lit(1)).alias("n")), "url-suffix-counts")
+    total = counts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    prior = (total["s"] or 0.0) / (total["n"] or 1)
+    train = cut(features(known.orderBy(F.xxhash64("url"), "url").limit(max_train)), "url-train")
+    drawn = train.agg(F.avg("label")).first()[0]
+    if drawn in (None, 0.0, 1.0):
         return UrlModel(None, None, prior)
-    rates = train.groupBy("suffix").agg(((F.sum("label") + F.lit(20 * prior)) / (F.count(F.lit(1)) + 20)).alias("rate"))
-    rates = cut(rates, "url-suffix-rates")
+    rates = counts.select("suffix", ((F.col("s") + F.lit(20 * prior)) / (F.col("n") + 20)).alias("rate"))
     rows = train.join(rates, "suffix").withColumn("f_suffix", F.col("rate"))
-    # rare blocks weigh as much as the rest together
-    weight = F.when(F.col("label") == 1, F.lit(0.5 / prior)).otherwise(F.lit(0.5 / (1 - prior)))
+    # rare blocks weigh as much as the rest of the sample together
+    weight = F.when(F.col("label") == 1, F.lit(0.5 / drawn)).otherwise(F.lit(0.5 / (1 - drawn)))
     gbt = GBTClassifier(featuresCol="f", labelCol="label", weightCol="w", maxIter=trees, maxDepth=depth, seed=seed)
     data = VectorAssembler(inputCols=FEATURES, outputCol="f").transform(rows).withColumn("w", weight).select("f", "label", "w")
     return UrlModel(gbt.fit(data.repartition(4).cache()), rates, prior)

@@ -321,6 +321,21 @@ def test_url_rules(spark):
     assert urls.judge(df.limit(0), rules, urls.UrlModel(None, None, 0.0)).count() == 0
 
 
+def test_url_suffix_rates_count_all_labels(spark):
+    """The sample bounds the trees' rows only."""
+    rows = [(f"http://h{i}.{'com' if i % 10 else f'rare{i % 7}'}/p/{i}?a={i % 5}", float(i % 3 == 0)) for i in range(700)]
+    known = urls.parts(spark.createDataFrame(rows + rows[:50], "url string, label double"))
+    model = urls.fit(known, max_train=40, trees=2)
+    prior = sum(b for _, b in rows) / len(rows)
+    by = defaultdict(list)
+    for u, b in rows:
+        by[u.split("/")[2].rsplit(".", 1)[1]].append(b)
+    assert model.prior == prior and len(by) == 8
+    got = {r["suffix"]: r["rate"] for r in model.rates.collect()}
+    assert got == pytest.approx({k: (sum(v) + 20 * prior) / (len(v) + 20) for k, v in by.items()})
+    assert urls.fit(known.limit(0)).prior == 0
+
+
 def test_bpe_matches_library(docs, empty):
     path = byte_bpe_path()
     tok = bpe.tokenizer(path)
