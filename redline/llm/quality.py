@@ -6,7 +6,7 @@ text features gives a score z, and ordered thresholds t0 < t1 give
 and ``p_tail`` = P(grade 2) decides the selection.
 
 Features, hashed into ``DIM`` slots: the distinct words (case-folded, outer marks
-stripped); the shares of word shapes (capitals, digits, marks); the shares of repeated
+stripped); the shares of word shapes (capitals, digits, marks of the whole word); the shares of repeated
 words and repeated word pairs. Training is proximal AdaGrad with an L1 penalty, on at
 most ``MAX_TRAIN`` labelled documents chosen by a hash of the id; scoring reads all documents.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from redline.llm.common import bounded
 
 DIM, MAX_TRAIN, GRADES = 1 << 18, 8_000, 3
-CACHE = 250_000                        # words remembered by a task
+CACHE, LONGEST = 250_000, 64           # words remembered by a task, and their length at most
 _MARKS = re.compile(r"^\W+|\W+$")
 _LETTER, _DIGIT, _RUN = re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"([^_])\1+")
 _KIND = {k: zlib.crc32(f"{k}:".encode()) for k in "wsr"}
@@ -55,21 +55,26 @@ class Hasher:
 
     def __init__(self):
         self.known: dict[str, int] = {}
-        self.shapes: dict[str, int] = {}              # slot by the classes of a word's head
+        self.shapes: dict[str, int] = {}              # slot by the classes of a word
         self.classes = _Classes()
 
     def _add(self, word: str) -> int:
         for table in (self.known, self.shapes):
             if len(table) >= CACHE:
                 table.clear()
-        head = word[:64].translate(self.classes)
-        shape = self.shapes.get(head)
+        keep = len(word) <= LONGEST                   # longer words are hashed anew each time
+        kinds = word.translate(self.classes)
+        shape = self.shapes.get(kinds)
         if shape is None:
-            shape = self.shapes[head] = _slot("s", _RUN.sub(r"\1", head))
+            shape = _slot("s", _RUN.sub(r"\1", kinds))
+            if keep:
+                self.shapes[kinds] = shape
         low = word.lower()
         if not (low[0].isalnum() and low[-1].isalnum()):
             low = _MARKS.sub("", low)
-        self.known[word] = got = _slot("w", low) * DIM + shape
+        got = _slot("w", low) * DIM + shape
+        if keep:
+            self.known[word] = got
         return got
 
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:

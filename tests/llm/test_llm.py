@@ -214,6 +214,22 @@ def test_quality_held_out():
     assert grade[truth == 0].mean() < grade[truth == 1].mean() < grade[truth == 2].mean()
 
 
+def test_quality_reads_words_to_their_end():
+    """Texts without blanks that differ only past their first characters."""
+    rng = np.random.default_rng(6)
+
+    def make(grade):
+        return "a" * 70 + "".join(rng.choice(list("bcdef"), 40)) + "".join(rng.choice(list("XYZ" if grade == 2 else "123"), 30))
+    hasher = quality.Hasher()
+    rows = [(g, make(g)) for g in (1, 2) * 150]
+    model = quality.train([(g, *hasher.features(t)) for g, t in rows[:200]])
+    _, tail = quality._judged(model, [t for _, t in rows[200:]], hasher)
+    assert ((tail >= 0.5) == (np.array([g for g, _ in rows[200:]]) == 2)).all()
+    assert not hasher.known and not hasher.shapes           # long words are not remembered
+    slots, _ = hasher.features("aB9" * 50 + "!!")
+    assert quality._slot("s", "aA0" * 50 + "!") in slots
+
+
 def test_quality_edges(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1, 0), (4, None, 1)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, labels)
