@@ -10,13 +10,15 @@ trees are fitted on at most ``MAX_TRAIN`` of them (chosen by hash). The given ta
 ``SEED_WORDS`` in the host; the words themselves are not features.
 
 Defined cases: a URL that is null or has no ``://`` has empty host and path and fits
-no rule; a training set of one class judges all URLs alike, an empty one allows all;
+no rule; a training set of one class judges all URLs alike, an empty one allows all (``fit``
+warns that no trees were fitted);
 repeated rows get equal verdicts; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import string
+import warnings
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from redline.llm.common import cut
 
 MAX_TRAIN = 20_000
-#: Words that mark unwanted hosts.
+#: Words that mark unwanted hosts, the markers of the hosts in the given tables.
 SEED_WORDS = ("ads", "adult", "bets", "casino", "pills", "spam")
 FEATURES = ["f_length", "f_depth", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_labels", "f_suffix"]
 
@@ -104,6 +106,7 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, trees: int = 20, depth:
     train = cut(features(known.orderBy(F.xxhash64("url"), "url").limit(max_train)), "url-train")
     drawn = train.agg(F.avg("label")).first()[0]
     if drawn in (None, 0.0, 1.0):
+        warnings.warn(f"no trees fitted: the labelled URLs drawn are of one class or none; p_block is {prior} for all", stacklevel=2)
         return UrlModel(None, None, prior)
     rates = counts.select("suffix", ((F.col("s") + F.lit(20 * prior)) / (F.col("n") + 20)).alias("rate"))
     rows = train.join(rates, "suffix").withColumn("f_suffix", F.col("rate"))

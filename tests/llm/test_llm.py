@@ -352,6 +352,24 @@ def test_url_suffix_rates_count_all_labels(spark):
     assert urls.fit(known.limit(0)).prior == 0
 
 
+def test_url_trees_held_out(spark):
+    rng = np.random.default_rng(8)
+
+    def make(i):
+        bad = i % 4 == 0
+        return f"http://h{i}.example.com/" + "/".join("".join(rng.choice(list("0123456789" if bad else "abcdefgh"), 6)) for _ in range(3)), float(bad)
+    rows = [make(i) for i in range(600)]
+    known = urls.parts(spark.createDataFrame(rows, "url string, label double"))
+    held = {u for u, _ in rows[400:]}
+    model = urls.fit(known.filter(~known.url.isin(*held)), trees=3)
+    got = {r["url"]: r["p_block"] for r in model.score(known.filter(known.url.isin(*held))).collect()}
+    assert np.mean([(got[u] >= 0.5) == b for u, b in rows[400:]]) > 0.95
+    words = urls.parts(spark.createDataFrame([("http://spam-x.com/",), ("http://spammer.com/",), (None,)], "url string"))
+    assert {r["host"]: r["label"] for r in urls.seed_labels(words).collect()} == {"spam-x.com": 1, "spammer.com": 0}
+    with pytest.warns(UserWarning, match="no trees fitted"):
+        assert urls.fit(known.filter("label = 0")).trees is None
+
+
 def test_bpe_matches_library(docs, empty):
     path = byte_bpe_path()
     tok = bpe.tokenizer(path)
