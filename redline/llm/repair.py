@@ -2,7 +2,7 @@
 
 ``write`` range-partitions documents by id and writes blocks of encoded documents in ascending
 order. In each block frequent id pairs are replaced by nonterminals, round after
-round; a block stores its rules, the expansion length of each nonterminal, and per
+round until no pair occurs ``MIN_COUNT`` times; a block stores its rules, the expansion length of each nonterminal, and per
 document its id, its symbols and its tokens. Pairs never cross documents, so
 any document, or any stretch of one, is decoded without the others.
 
@@ -18,6 +18,7 @@ empty table gives no files' rows.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ from redline.llm.bpe import _join, _planes, _split, _values, tokenizer
 from redline.llm.common import binary_parts, bounded, id_back, id_key, longs, ranges
 
 BLOCK, END_ID = 4 << 20, 2
-ROUNDS, RULES_PER_ROUND, MIN_COUNT = 4, 768, 16
+RULES_PER_ROUND, MIN_COUNT = 768, 16
 UNITS = 400_000                        # units remembered by a task, checked once a block
 FILE_SCHEMA = "shard int, block int, first_id long, n_docs int, n_tokens long, payload binary"
 
@@ -145,12 +146,13 @@ def _frequent(s: np.ndarray, h: np.ndarray, inside: np.ndarray, rules: int, leas
     return pairs[np.lexsort((pairs, -count))[:rules]]
 
 
-def compress(ids: np.ndarray, count: np.ndarray, first_symbol: int, rounds: int = ROUNDS, rules: int = RULES_PER_ROUND,
+def compress(ids: np.ndarray, count: np.ndarray, first_symbol: int, rounds: int | None = None, rules: int = RULES_PER_ROUND,
              least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbols per document, rules left, rules right)."""
+    """(symbols, symbols per document, rules left, rules right); without ``rounds`` until no
+    pair occurs ``least`` times."""
     s, count = ids.astype(np.int32), count.copy()
     left, right = [], []
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):   # each round shortens s
         if len(s) < 2:
             break
         inside = np.ones(len(s) - 1, bool)

@@ -268,6 +268,17 @@ def test_repair_grammar_random_access():
     assert (block.tokens(3, 700, 790) == ids[51 + 700:51 + 790]).all()
 
 
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(5)
+    words = [rng.integers(0, 90, 64) for _ in range(12)]
+    ids = np.concatenate([words[i] for i in rng.integers(0, 12, 600)])
+    count = np.array([20000, len(ids) - 20000])
+    s, symbols, left, right = repair.compress(ids, count, 100)
+    assert (repair.expand(s, left, right, 100) == ids).all() and repair.lengths(left, right, 100).max() > 16
+    pairs = Counter(p for part in np.split(s, [symbols[0]]) for p in zip(part[:-1].tolist(), part[1:].tolist(), strict=True))
+    assert max(pairs.values()) < repair.MIN_COUNT
+
+
 def test_ann_recall_and_edges(spark):
     rng = np.random.default_rng(2)
     centre = rng.normal(size=(20, 16))
