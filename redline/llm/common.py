@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from redline.plans.session import cut_lineage
 
@@ -85,3 +86,18 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def ranked(df: DataFrame, order: list, name: str, split_by: list | None = None) -> DataFrame:
+    """``df`` (written, with ``rank``) numbered from 0 in ``order``, no row meeting all
+    others: rows are sorted in ranges, and each range adds the sizes of those before it
+    (one row per range). ``split_by`` names coarser keys to cut the ranges by, in the
+    same order."""
+    t = cut(df.repartitionByRange(*(split_by or order)).sortWithinPartitions(*order)
+            .withColumn("__at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("__at", 33)
+    sizes = t.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    return (t.join(F.broadcast(offsets), part == F.col("__part"))
+            .withColumn("rank", F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__base"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.llm import ann, bpe, chat, decontaminate, quality, repair, sharding, simhash, substring_dedup, urls
+from redline.llm import ann, bpe, chat, decontaminate, merkle, quality, repair, sharding, simhash, substring_dedup, urls
 from redline.llm.common import binary_parts, bounded, cut, read, release
 from redline.plans.session import checkpoint_dir
 
@@ -125,6 +125,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in merkle.FIELDS]
+    one_more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    changed = [one_more if c == "n_chars" else F.col(c) for c in merkle.FIELDS]
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    leaf = merkle.hash_leaf(fields)
+    manifest = merkle.build(docs, F.col("lang"), F.col("doc_id"), leaf,
+                            {"claim": F.when(tampered, merkle.hash_leaf(changed)).otherwise(leaf)})
+    hexed = F.lower(F.hex("leaf")).alias("leaf")
+    claims = manifest.leaves.select("tree", "idx", "claim", "id", hexed).join(manifest.tops(), "tree")
+    root = F.lit(manifest.root).cast("string")
+    return merkle.prove(manifest, claims).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root",
+        (F.col("folded_root") == root).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -141,6 +158,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
 _TURNS = "string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)"
