@@ -88,13 +88,13 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def ranked(df: DataFrame, order: list, name: str, split_by: list | None = None) -> DataFrame:
+def ranked(df: DataFrame, order: list, name: str, split_by: list | None = None, columns: list | None = None) -> DataFrame:
     """``df`` (written, with ``rank``) numbered from 0 in ``order``, no row meeting all
     others: rows are sorted in ranges, and each range adds the sizes of those before it
     (one row per range). ``split_by`` names coarser keys to cut the ranges by, in the
-    same order."""
+    same order; ``columns`` are those to keep."""
     t = cut(df.repartitionByRange(*(split_by or order)).sortWithinPartitions(*order)
-            .withColumn("__at", F.monotonically_increasing_id()), name)
+            .select(*(columns or df.columns), F.monotonically_increasing_id().alias("__at")), name)
     part = F.shiftright("__at", 33)
     sizes = t.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

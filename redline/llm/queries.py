@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.llm import ann, bpe, chat, decontaminate, merkle, quality, repair, sharding, simhash, substring_dedup, urls
+from redline.llm import ann, bpe, chat, decontaminate, merkle, quality, repair, sharding, simhash, substring_dedup, trie, urls
 from redline.llm.common import binary_parts, bounded, cut, read, release
 from redline.plans.session import checkpoint_dir
 
@@ -125,6 +125,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.build(*trie.graft(*trie.numbered(read(spark, sf_dir, "conversations"))))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     fields = [F.col(c) for c in merkle.FIELDS]
@@ -158,6 +162,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
@@ -169,6 +174,23 @@ def _escaped(column: str) -> str:
     return rf"regexp_replace({column}, '{chat._ESCAPE}', '\1\\\2\3', 'g')"
 
 
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text in SQL, bit by bit (fixed value: its polynomial)."""
+    bits = "list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(r, b))"
+    octets = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda r, b: {bits}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _leaf(n_chars: str) -> str:
+    fields = (n_chars if c == "n_chars" else c for c in merkle.FIELDS)
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in fields) + ")"
+
+
+def _halved(name: str) -> str:
+    return (f"SELECT * REPLACE (lvl + 1 AS lvl, list_transform(range(0, len(hs), 2), lambda i: sha256(hs[i + 1] || "
+            f"coalesce(hs[i + 2], ''))) AS hs) FROM {name} WHERE len(hs) > 1")
+
+
 #: SQL without the formatting: digests of the turns themselves, and the length of
 #: marks, roles and texts with their control strings escaped.
 ORACLES: dict[str, str] = {
@@ -181,4 +203,30 @@ SELECT conv_id, count(*) AS n_turns, sha256({_TURNS}) AS turns_sha256,
        sha256(coalesce({_LOSS}, '')) AS loss_sha256,
        CAST(sum({len(chat.TURN)} + length(erole) + 1 + length(etext) + {len(chat.END)} + 1) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, lang, {_leaf('n_chars')} AS leaf,
+         CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf('(CAST(n_chars AS HUGEINT) + 1)')} END AS forged FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM leaf),
+up AS (SELECT lang, 0 AS lvl, list(leaf ORDER BY idx) AS hs FROM o GROUP BY lang UNION ALL {_halved('up')}),
+tops AS (SELECT lang, hs[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx FROM up WHERE len(hs) = 1),
+over_all AS (SELECT 0 AS lvl, list(subroot ORDER BY idx) AS hs FROM tops UNION ALL {_halved('over_all')}),
+nodes AS (SELECT lang, lvl, unnest(hs) AS h, generate_subscripts(hs, 1) - 1 AS j FROM up),
+over_nodes AS (SELECT lvl, unnest(hs) AS h, generate_subscripts(hs, 1) - 1 AS j FROM over_all),
+steps AS (
+  SELECT o.lang, o.idx, l.lvl AS seq, (o.idx >> l.lvl) & 1 AS own, n.h FROM o
+  JOIN up l ON l.lang IS NOT DISTINCT FROM o.lang AND len(l.hs) > 1
+  LEFT JOIN nodes n ON n.lang IS NOT DISTINCT FROM o.lang AND n.lvl = l.lvl AND n.j = xor(o.idx >> l.lvl, 1)
+  UNION ALL
+  SELECT o.lang, o.idx, 1000 + l.lvl, (t.idx >> l.lvl) & 1, n.h FROM o
+  JOIN tops t ON t.lang IS NOT DISTINCT FROM o.lang JOIN over_all l ON len(l.hs) > 1
+  LEFT JOIN over_nodes n ON n.lvl = l.lvl AND n.j = xor(t.idx >> l.lvl, 1)),
+paths AS (SELECT lang, idx, list({{'own': own, 'h': h}} ORDER BY seq) AS p, string_agg(h, '' ORDER BY seq) AS sibs FROM steps GROUP BY lang, idx),
+out AS (
+  SELECT o.doc_id, o.leaf, t.subroot, (SELECT hs[1] FROM over_all WHERE len(hs) = 1) AS root, sha256(coalesce(p.sibs, '')) AS proof_sha256,
+         list_reduce(coalesce(p.p, []), lambda a, s: CASE WHEN s.h IS NULL THEN sha256(a) WHEN s.own = 1 THEN sha256(s.h || a)
+                     ELSE sha256(a || s.h) END, coalesce(o.forged, o.leaf)) AS folded_root
+  FROM o JOIN tops t ON t.lang IS NOT DISTINCT FROM o.lang
+  LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM o.lang AND p.idx = o.idx)
+SELECT *, folded_root = root AS verified FROM out""",
 }
