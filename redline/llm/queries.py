@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.llm import ann, bpe, chat, decontaminate, merkle, quality, repair, sharding, simhash, substring_dedup, trie, urls
+from redline.llm import ann, bpe, chat, decontaminate, embed_dedup, merkle, quality, repair, sharding, simhash, substring_dedup, trie, urls
 from redline.llm.common import binary_parts, bounded, cut, read, release
 from redline.plans.session import checkpoint_dir
 
@@ -125,6 +125,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"))
 
 
+def op11_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.build(*trie.graft(*trie.numbered(read(spark, sf_dir, "conversations"))))
 
@@ -162,6 +166,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
+    "op11_embed_dedup": op11_embed_dedup,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,

@@ -142,6 +142,7 @@ def build(turns: DataFrame, convs: DataFrame) -> DataFrame:
     own = named.join(seqs.select(F.col("rep").alias("conv_id"), "m"), "conv_id")
     shared = (own.groupBy("d", "p", "q").agg(F.count(F.lit(1)).alias("reps"), F.min("conv_id").alias("low"))
               .filter("reps > 1").select("d", "p", "q", "low"))
+    shared = cut(shared, "trie-shared")     # a plain join can split a hot prefix
     marked = cut(own.join(shared, ["d", "p", "q"], "left").select("conv_id", "n", "m", "d", "size", "upto", "low"), "trie-marked")
 
     # a conversation's shared part: its nodes' names (smallest members) and text sizes by depth
