@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from redline.llm.common import cut, ranked
 
@@ -102,10 +104,11 @@ class Manifest:
     leaves: DataFrame                   # tree, idx (place in its tree), id, leaf and the columns kept
     log: DataFrame                      # LOG_SCHEMA, one row per builder
     root: str | None
+    levels: int = K                     # of a builder
 
     def tops(self) -> DataFrame:
         """(tree, subroot)."""
-        return self.log.filter((F.col("tree") != TOP) & (F.col("n") <= 1 << K)).select(
+        return self.log.filter((F.col("tree") != TOP) & (F.col("n") <= 1 << self.levels)).select(
             "tree", F.lower(F.hex("top")).alias("subroot"))
 
 
@@ -132,11 +135,11 @@ def _segments(rows: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[
         yield now, held
 
 
-def _build(tier: int):
+def _build(tier: int, levels: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (tree, builder, n), held in _segments(batches, ("tree", "builder", "n")):
             leaves = [d.hex() for b in held for d in b.column("digest").to_pylist()]
-            log = append_log(leaves, min(K, height(n)))
+            log = append_log(leaves, min(levels, height(n)))
             yield pa.RecordBatch.from_pylist(
                 [{"tree": tree, "tier": tier, "builder": builder, "n": n, "m": len(leaves),
                   "nodes": bytes.fromhex("".join(log)), "top": bytes.fromhex(log[-1])}],
@@ -145,22 +148,22 @@ def _build(tier: int):
     return run
 
 
-def _tiers(rows: DataFrame, name: str) -> list[DataFrame]:
+def _tiers(rows: DataFrame, name: str, levels: int) -> list[DataFrame]:
     """Logs of all tiers over ``rows`` (tree, idx, n, digest)."""
     logs = []
     while True:
-        dealt = (rows.withColumn("builder", F.shiftright("idx", K)).repartition("tree", "builder")
+        dealt = (rows.withColumn("builder", F.shiftright("idx", levels)).repartition("tree", "builder")
                  .sortWithinPartitions("tree", "builder", "idx"))
-        log = cut(dealt.select("tree", "builder", "n", "digest").mapInArrow(_build(len(logs)), LOG_SCHEMA), f"{name}-{len(logs)}")
+        log = cut(dealt.select("tree", "builder", "n", "digest").mapInArrow(_build(len(logs), levels), LOG_SCHEMA), f"{name}-{len(logs)}")
         logs.append(log)
-        more = log.filter(F.col("n") > 1 << K)
+        more = log.filter(F.col("n") > 1 << levels)
         if more.isEmpty():
             return logs
-        rows = more.select("tree", F.col("builder").alias("idx"), F.shiftright(F.col("n") + ((1 << K) - 1), K).alias("n"),
+        rows = more.select("tree", F.col("builder").alias("idx"), F.shiftright(F.col("n") + ((1 << levels) - 1), levels).alias("n"),
                            F.col("top").alias("digest"))
 
 
-def build(rows: DataFrame, tree: F.Column, id_: F.Column, leaf: F.Column, keep: dict | None = None) -> Manifest:
+def build(rows: DataFrame, tree: F.Column, id_: F.Column, leaf: F.Column, keep: dict | None = None, levels: int = K) -> Manifest:
     """The manifest of ``rows``: columns for the tree's name, the id and the leaf's hash
     (32 bytes); ``keep`` names further columns to carry beside the leaves."""
     src = rows.select(tree_key(tree).alias("tree"), id_.cast("long").alias("id"), leaf.alias("leaf"),
@@ -168,20 +171,20 @@ def build(rows: DataFrame, tree: F.Column, id_: F.Column, leaf: F.Column, keep:
     numbered = ranked(src, ["tree", F.col("id").asc_nulls_first(), "leaf"], "merkle-leaves")
     starts = cut(numbered.groupBy("tree").agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("n")), "merkle-trees")
     placed = numbered.join(starts, "tree").withColumn("idx", F.col("rank") - F.col("start")).drop("rank", "start")
-    logs = _tiers(placed.select("tree", "idx", "n", F.col("leaf").alias("digest")), "merkle-log")
-    tops = [x.filter(F.col("n") <= 1 << K).select("tree", "top") for x in logs]
+    logs = _tiers(placed.select("tree", "idx", "n", F.col("leaf").alias("digest")), "merkle-log", levels)
+    tops = [x.filter(F.col("n") <= 1 << levels).select("tree", "top") for x in logs]
     every = tops[0]
     for t in tops[1:]:
         every = every.unionByName(t)
     order = ranked(every, ["tree"], "merkle-tops")
     n = starts.count()
     logs += _tiers(order.select(F.lit(TOP).alias("tree"), F.col("rank").alias("idx"), F.lit(n).cast("long").alias("n"),
-                                F.col("top").alias("digest")), "merkle-root")
+                                F.col("top").alias("digest")), "merkle-root", levels)
     log = logs[0]
     for x in logs[1:]:
         log = log.unionByName(x)
-    last = logs[-1].filter(F.col("n") <= 1 << K).select(F.lower(F.hex("top"))).first()
-    return Manifest(placed, log, last[0] if last else None)
+    last = logs[-1].filter(F.col("n") <= 1 << levels).select(F.lower(F.hex("top"))).first()
+    return Manifest(placed, log, last[0] if last else None, levels)
 
 
 def _steps(nodes: bytes, at: np.ndarray, side: np.ndarray) -> bytes:
@@ -189,15 +192,17 @@ def _steps(nodes: bytes, at: np.ndarray, side: np.ndarray) -> bytes:
     return b"".join(bytes([s]) + (nodes[32 * p:32 * p + 32] if s else bytes(32)) for p, s in zip(at.tolist(), side.tolist(), strict=True))
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paths(levels: int):
     """(tree, idx, path) of a segment's leaves: their siblings here, then those above."""
-    for b in batches:
-        for k in range(b.num_rows):
-            r = b.slice(k, 1).to_pylist()[0]
-            at, side = siblings(r["m"], min(K, height(r["n"])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["tree"]] * r["m"]), pa.array((r["builder"] << K) + np.arange(r["m"])),
-                 pa.array([_steps(r["nodes"], at[i], side[i]) + r["path"] for i in range(r["m"])], pa.binary())], ["tree", "idx", "path"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                at, side = siblings(r["m"], min(levels, height(r["n"])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["tree"]] * r["m"]), pa.array((r["builder"] << levels) + np.arange(r["m"])),
+                     pa.array([_steps(r["nodes"], at[i], side[i]) + r["path"] for i in range(r["m"])], pa.binary())], ["tree", "idx", "path"])
+    return run
 
 
 def fold(leaf: str, path: bytes) -> tuple[str, str]:
@@ -211,19 +216,19 @@ def fold(leaf: str, path: bytes) -> tuple[str, str]:
     return leaf, digest(*found)
 
 
-def _prove(keep: list[str], schema: pa.Schema):
+def _prove(keep: list[str], schema: pa.Schema, levels: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = nodes = path = at = side = None
         for (tree, builder, kind), held in _segments(batches, ("tree", "builder", "kind")):
             if kind == 0:                                     # the segment comes first
                 r = held[0].slice(0, 1).to_pylist()[0]
                 here, nodes, path = (tree, builder), r["nodes"], r["path"]
-                at, side = siblings(r["m"], min(K, height(r["n"])))
+                at, side = siblings(r["m"], min(levels, height(r["n"])))
                 continue
             if here != (tree, builder):
-                raise KeyError(f"no leaves {builder << K} and on in tree {tree!r}")
+                raise KeyError(f"no leaves {builder << levels} and on in tree {tree!r}")
             for b in held:
-                own = [i & ((1 << K) - 1) for i in b.column("idx").to_pylist()]
+                own = [i & ((1 << levels) - 1) for i in b.column("idx").to_pylist()]
                 out = [fold(x.hex(), _steps(nodes, at[i], side[i]) + path) for i, x in zip(own, b.column("claim").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c) for c in keep), pa.array([f for f, _ in out], pa.string()), pa.array([p for _, p in out], pa.string())],
@@ -233,13 +238,13 @@ def _prove(keep: list[str], schema: pa.Schema):
 
 def upper_paths(manifest: Manifest) -> DataFrame:
     """(tree, builder, path): for every first-tier segment the way from its top to the root."""
-    log = manifest.log
+    log, levels = manifest.log, manifest.levels
     empty = F.lit(b"").cast("binary")
 
     def down(tree_filter, above: DataFrame, tier: int) -> DataFrame:
         """Paths of the leaves of the segments of ``tier`` whose own paths are ``above``."""
         segments = log.filter(tree_filter & (F.col("tier") == tier)).join(above, ["tree", "builder"])
-        return segments.select("tree", "builder", "n", "m", "nodes", "path").mapInArrow(_paths, "tree string, idx long, path binary")
+        return segments.select("tree", "builder", "n", "m", "nodes", "path").mapInArrow(_paths(levels), "tree string, idx long, path binary")
 
     def tiers(tree_filter) -> int:
         return (log.filter(tree_filter).agg(F.max("tier")).first()[0] or 0) + 1
@@ -255,7 +260,7 @@ def upper_paths(manifest: Manifest) -> DataFrame:
     out = None
     for tier in reversed(range(tiers(~is_top))):
         here = log.filter(~is_top & (F.col("tier") == tier))
-        single = here.filter(F.col("n") <= 1 << K).join(whole, "tree").select("tree", "builder", "path")
+        single = here.filter(F.col("n") <= 1 << levels).join(whole, "tree").select("tree", "builder", "path")
         out = single if out is None else single.unionByName(out)
         if tier:
             out = cut(down(~is_top, out, tier).withColumnRenamed("idx", "builder"), f"merkle-paths-{tier}")
@@ -265,7 +270,7 @@ def upper_paths(manifest: Manifest) -> DataFrame:
 def prove(manifest: Manifest, claims: DataFrame, claim: str = "claim") -> DataFrame:
     """``claims`` (tree, idx, ``claim``: a leaf's hash as bytes, further columns) with the
     root that the claim folds to and the hash of the proof's siblings. A claim meets its
-    segment in one task; a segment holds at most 2^K leaves."""
+    segment in one task; a segment holds at most 2^levels leaves."""
     keep = [c for c in claims.columns if c not in ("tree", "idx", claim)]
     types = {f.name: f.dataType for f in claims.schema.fields}
     above = upper_paths(manifest)
@@ -274,14 +279,12 @@ def prove(manifest: Manifest, claims: DataFrame, claim: str = "claim") -> DataFr
     segments = (manifest.log.filter((F.col("tree") != TOP) & (F.col("tier") == 0)).join(above, ["tree", "builder"])
                 .select("tree", "builder", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("idx"), "n", "m", "nodes", "path",
                         F.lit(None).cast("binary").alias("claim"), *[none(c) for c in keep]))
-    asked = claims.select("tree", F.shiftright("idx", K).alias("builder"), F.lit(1).alias("kind"), "idx",
+    asked = claims.select("tree", F.shiftright("idx", manifest.levels).alias("builder"), F.lit(1).alias("kind"), "idx",
                           F.lit(0).cast("long").alias("n"), F.lit(0).alias("m"), F.lit(None).cast("binary").alias("nodes"),
                           F.lit(None).cast("binary").alias("path"), F.col(claim).alias("claim"), *keep)
     both = segments.unionByName(asked).select(*shared, *keep).repartition("tree", "builder").sortWithinPartitions("tree", "builder", "kind", "idx")
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StringType, StructField, StructType
     schema = StructType([*(claims.schema[c] for c in keep), StructField("folded_root", StringType()), StructField("proof_sha256", StringType())])
-    return both.mapInArrow(_prove(keep, to_arrow_schema(schema)), schema)
+    return both.mapInArrow(_prove(keep, to_arrow_schema(schema), manifest.levels), schema)
 
 
 def save(manifest: Manifest, path: str) -> None:

@@ -133,7 +133,7 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.build(*trie.graft(*trie.numbered(read(spark, sf_dir, "conversations"))))
 
 
-def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str, levels: int = merkle.K) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     fields = [F.col(c) for c in merkle.FIELDS]
     one_more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
@@ -141,7 +141,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
     leaf = merkle.hash_leaf(fields)
     manifest = merkle.build(docs, F.col("lang"), F.col("doc_id"), leaf,
-                            {"claim": F.when(tampered, merkle.hash_leaf(changed)).otherwise(leaf)})
+                            {"claim": F.when(tampered, merkle.hash_leaf(changed)).otherwise(leaf)}, levels)
     hexed = F.lower(F.hex("leaf")).alias("leaf")
     claims = manifest.leaves.select("tree", "idx", "claim", "id", hexed).join(manifest.tops(), "tree")
     root = F.lit(manifest.root).cast("string")
@@ -234,4 +234,37 @@ out AS (
   FROM o JOIN tops t ON t.lang IS NOT DISTINCT FROM o.lang
   LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM o.lang AND p.idx = o.idx)
 SELECT *, folded_root = root AS verified FROM out""",
+    "op11_embed_dedup": """
+WITH RECURSIVE r AS (SELECT row_number() OVER () AS n, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+good AS (
+  SELECT n, label, list_transform(v, lambda x: x / list_aggregate(list_transform(v, lambda y: abs(y)), 'max')) AS u FROM r
+  WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0),
+sized AS (SELECT *, sqrt(list_dot_product(u, u)) AS norm FROM good),
+links AS (SELECT a.n AS a, b.n AS b FROM sized a JOIN sized b ON a.label = b.label AND a.n <> b.n AND len(a.u) = len(b.u)
+          AND list_dot_product(a.u, b.u) / (a.norm * b.norm) >= 0.98),
+reach AS (SELECT n AS a, n AS b FROM r UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+low AS (SELECT reach.a AS n, min(r.vec_id) AS component_id FROM reach JOIN r ON r.n = reach.b GROUP BY reach.a),
+per AS (SELECT a AS n, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM r JOIN low USING (n) LEFT JOIN per USING (n)""",
+    "op12_prefix_trie": f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+             PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY pos) AS s FROM t GROUP BY conv_id),
+cut AS (SELECT *, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM own),
+c AS (SELECT a.conv_id, list_concat(coalesce(b.s, [])[1:a.h], a.s[a.h + 1:]) AS s
+      FROM cut a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+p AS (SELECT conv_id, len(s) AS n, d, s[1:d] AS pre, CASE WHEN d > 0 THEN s[1:d - 1] END AS up, CASE WHEN d > 0 THEN strlen(s[d].text) ELSE 0 END AS size
+      FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM c)),
+node AS (SELECT d, pre, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+                coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '') AS ends FROM p GROUP BY d, pre),
+kids AS (SELECT d - 1 AS d, up AS pre, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+flat AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (d, pre)),
+under AS (SELECT x.d, x.pre, count(*) FILTER (y.n_children = 0) AS n_leaves, sum((y.n_convs - 1) * y.size) AS saved
+          FROM flat x JOIN flat y ON y.d >= x.d AND y.pre[1:x.d] = x.pre GROUP BY ALL)
+SELECT x.conv_id, x.d AS depth, parent.conv_id AS parent_conv_id, x.n_convs, x.n_children, under.n_leaves,
+       CAST(under.saved AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM flat x JOIN under USING (d, pre) LEFT JOIN node parent ON parent.d = x.d - 1 AND parent.pre = x.up""",
 }
