@@ -51,8 +51,9 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sharding(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:
     rows = cut(sharding.records(read(spark, sf_dir, "documents")), "shard-records")
-    version = cut(sharding.first_map(sharding.slot_bytes(rows), shards), "shard-map")
-    return sharding.place(rows, version).select(
+    stored = f"{checkpoint_dir(spark).rstrip('/')}/tables/shard-map-{uuid.uuid4().hex}"
+    sharding.save_map(sharding.first_map(sharding.slot_bytes(rows), shards), stored)
+    return sharding.place(rows, sharding.load_map(spark, stored)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "vslot")
 

@@ -3,12 +3,16 @@
 Records hash into ``SLOTS`` virtual slots by id and content. Bytes are summed per slot, and a
 versioned table maps slots to shards: version 1 deals slots out largest first, each
 to the shard with the fewest bytes so far; ``rebalance`` edits the latest version,
-moving only the slots that a shard holds beyond its share. The map has ``SLOTS``
-rows whatever the input, so it is broadcast and folded in one row.
+moving only the slots that a shard holds beyond its share. Every version lists all
+``SLOTS`` slots, empty ones too, so records that come later have a shard. The map has
+``SLOTS`` rows whatever the input, so it is broadcast and folded in one row.
 
 The law is ``bytes``: shard sizes are near equal (they differ by less than the
 largest slot, in practice far less).
 
+A slot is drawn by id and text. Records of equal text thus needn't share a shard; under
+the law ``bytes`` only sizes decide, and a large group of copies is spread.
+
 Defined cases: a null text has size 1 and CRC 0; fully equal rows share a slot; a
 null id is hashed like any value; extra columns are ignored.
 """
@@ -31,8 +35,12 @@ def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slo
         "vslot", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(slots)).cast("int"))
 
 
-def slot_bytes(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """(vslot, bytes, n) of every slot, those without records too."""
+    held = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    every = rows.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot"))
+    none = F.lit(0).cast("long")
+    return every.join(held, "vslot", "left").select("vslot", F.coalesce("bytes", none).alias("bytes"), F.coalesce("n", none).alias("n"))
 
 
 def _deal(slots: DataFrame, shards: int, load=None) -> DataFrame:
@@ -94,8 +102,12 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
 
 def place(rows: DataFrame, version: DataFrame) -> DataFrame:
     """Each record with its ``shard`` and ``slot``, its place in the shard (gapless
-    from 0): the rank inside its virtual slot plus the rows of the shard's earlier slots."""
-    sizes = rows.groupBy("vslot").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(version.select("vslot", "shard")), "vslot")
+    from 0): the rank inside its virtual slot plus the rows of the shard's earlier slots.
+    Any version of the map serves; a slot that it doesn't list is an error."""
+    known = version.select("vslot", F.col("shard").alias("on"))
+    sizes = rows.groupBy("vslot").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(known), "vslot", "left").withColumn(
+        "shard", F.when(F.col("on").isNotNull(), F.col("on")).otherwise(
+            F.raise_error(F.concat(F.lit("no shard for slot "), F.col("vslot").cast("string"))).cast("int")))
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("vslot", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "text_hash")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from redline.llm.common import binary_parts, bounded, cut
+from redline.llm.common import binary_parts, bounded, cut, fresh
 
 HOT = 4096
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -257,11 +257,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The rows of ``docs`` less near-duplicates: of each component the row with
     the smallest (id, text hash) stays; of equal rows, one. All columns stay."""
     found = near_duplicates(docs, id_col, text_col, **params)
+    best_id, best_hash, text_hash, copy = fresh(docs, "best_id", "best_hash", "text_hash", "copy")
     best = (found.groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("best"))
-            .select(F.col("best.id").alias("__keep_id"), F.col("best.text_hash").alias("__keep_hash")).distinct())
-    marked = docs.withColumn("__hash", F.xxhash64(text_col))
-    kept = marked.join(best, marked[id_col].eqNullSafe(best["__keep_id"])
-                       & (marked["__hash"] == best["__keep_hash"]), "left_semi")
-    order = Window.partitionBy(id_col, "__hash").orderBy(F.xxhash64(*docs.columns))
-    return (kept.withColumn("__row", F.row_number().over(order)).filter("__row = 1")
-            .select(*docs.columns))
+            .select(F.col("best.id").alias(best_id), F.col("best.text_hash").alias(best_hash)).distinct())
+    marked = docs.withColumn(text_hash, F.xxhash64(text_col))
+    kept = marked.join(best, marked[id_col].eqNullSafe(best[best_id]) & (marked[text_hash] == best[best_hash]), "left_semi")
+    order = Window.partitionBy(id_col, text_hash).orderBy(F.xxhash64(*docs.columns))
+    return kept.withColumn(copy, F.row_number().over(order)).filter(F.col(copy) == 1).select(*docs.columns)

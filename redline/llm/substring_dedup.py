@@ -1,12 +1,13 @@
-"""Exact repeated-substring removal by prefix doubling (operator 2).
+"""Exact repeated-substring removal (operator 2), by winnowing and exact-window names in
+place of prefix doubling (see README).
 
 A byte goes when a ``length``-byte string that covers it also starts earlier: in a
 document with a smaller id, or earlier in the same document. Strings are judged on
 the input and never cross documents.
 
-Positions carry names (ranks) of the string that starts at them. Spark sorts
-(name, name at a growing offset) pairs; positions whose pair is unique leave, the
-others are renamed, until the names stand for ``length`` bytes.
+Positions carry names (fingerprints) of strings that start at them. Spark sorts pairs of
+names; positions whose pair is unique leave. Equal fingerprints count as equal strings: a
+pair is 128 bits, so two different ones of n agree with odds of about n^2 / 2^129.
 
 * Round 1 names ``gram``-byte strings, at sampled positions only: the smallest
   gram (by hash) of each ``length``-byte window, leftmost on ties. Equal windows
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redline.llm.common import binary_parts, bounded, cut, id_back, id_key, longs, ranges, release
+from redline.llm.common import binary_parts, bounded, cut, fresh, id_back, id_key, longs, ranges, release
 
 LENGTH, GRAM = 100, 24
 BLOCK = 2 << 20                      # bytes of text per step of a task
@@ -431,9 +432,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with repeated byte runs cut from the text (a character goes when any of
     its bytes does); rows and other columns stay. Null texts stay null."""
     spans = removed_spans(docs, id_col, text_col, length, gram)
-    keyed = docs.select(*docs.columns, id_key(id_col).alias("__doc"), F.xxhash64(text_col).alias("__hash"))
-    joined = keyed.join(spans.select(F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("spans").alias("__spans")),
-                        ["__doc", "__hash"], "left").select(*docs.columns, "__spans")
+    doc, text_hash, cuts = fresh(docs, "doc_key", "text_hash", "cuts")
+    keyed = docs.select(*docs.columns, id_key(id_col).alias(doc), F.xxhash64(text_col).alias(text_hash))
+    joined = keyed.join(spans.select(F.col("doc").alias(doc), F.col("hash").alias(text_hash), F.col("spans").alias(cuts)),
+                        [doc, text_hash], "left").select(*docs.columns, cuts)
     names = docs.columns
     where = names.index(text_col)
 
@@ -441,7 +443,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in bounded(batches, text_col, BLOCK):
             texts = b.column(where).cast(pa.binary()).to_pylist()
             new = []
-            for raw, sp in zip(texts, b.column("__spans").to_pylist(), strict=True):
+            for raw, sp in zip(texts, b.column(cuts).to_pylist(), strict=True):
                 if raw is None:
                     new.append(None)
                 elif not sp:

@@ -190,9 +190,40 @@ def test_sharding(spark, docs, empty):
     two = sharding.rebalance(one, sizes, 17)
     load = [r[0] for r in two.groupBy("shard").sum("bytes").select("sum(bytes)").collect()]
     assert len(load) == 17 and max(load) - min(load) <= 200 and two.first()["version"] == 2
+    assert one.count() == two.count() == sharding.SLOTS      # empty slots too
     assert sharding.place(sharding.records(empty), sharding.first_map(sharding.slot_bytes(sharding.records(empty)), 4)).count() == 0
 
 
+def test_sharding_through_stored_versions(spark, tmp_path):
+    """Records that come after the map was made are placed, through any of its versions."""
+    docs = spark.range(1000).selectExpr("id doc_id", "repeat('ab', cast(id % 90 as int)) text")
+    rows, path = sharding.records(docs).cache(), str(tmp_path / "map")
+    early = sharding.slot_bytes(rows.filter("doc_id < 100"))
+    sharding.save_map(sharding.first_map(early, 4), path)
+    sharding.save_map(sharding.rebalance(sharding.load_map(spark, path), sharding.slot_bytes(rows), 5), path)
+    assert sharding.load_map(spark, path).first()["version"] == 2
+    for version, shards in ((1, 4), (2, 5), (None, 5)):
+        stored = sharding.load_map(spark, path, version)
+        out = sharding.place(rows, stored).collect()
+        assert stored.count() == sharding.SLOTS and len(out) == 1000 and {r["shard"] for r in out} == set(range(shards))
+    moved = sharding.load_map(spark, path, 1).join(sharding.load_map(spark, path, 2), "vslot").count()
+    assert moved == sharding.SLOTS
+    with pytest.raises(Exception, match="no shard for slot"):
+        sharding.place(rows, sharding.load_map(spark, path).filter("vslot < 4")).collect()
+
+
+def test_clashing_columns_stay(spark):
+    """Columns named like those an operator adds keep their values."""
+    names = ["best_id", "BEST_HASH", "Text_Hash", "copy", "_copy", "doc_key", "cuts", "doc", "hash", "spans", "fp", "root", "id"]
+    rows = [(i, f"{PASSAGE} {i % 2} end", *[f"{n}{i}" for n in names]) for i in range(4)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and {tuple(r) for r in kept.collect()} <= set(rows) and kept.count() == 2
+    clean = substring_dedup.deduplicate(df)
+    assert clean.columns == df.columns
+    assert sorted((r[0], *r[2:]) for r in clean.collect()) == [(r[0], *r[2:]) for r in rows]
+
+
 def test_quality_held_out():
     rng = np.random.default_rng(0)
     plain = [f"w{i}" for i in range(300)]
