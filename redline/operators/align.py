@@ -21,10 +21,12 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from redline.operators.skew import pack
+
 ALIGN_TYPE = pa.list_(pa.struct([("s", pa.int32()), ("t", pa.int32())]))
 ALIGN_SPARK_TYPE = T.ArrayType(T.StructType([
     T.StructField("s", T.IntegerType()), T.StructField("t", T.IntegerType())]))
@@ -164,6 +166,15 @@ def alignment(src, tgt) -> Column:
     return _align_udf(src, tgt)
 
 
+def balanced(pairs: DataFrame, src: str = "src_tok", tgt: str = "tgt_tok", key: str = "pair_id",
+             parts: int | None = None) -> DataFrame:
+    """``pairs`` dealt into tasks by what the alignment costs (words x words in
+    machine words, plus a constant a row), not by number of rows: one task can't
+    hold several very long pairs while others wait."""
+    n, m = F.size(src).cast("double"), F.size(tgt).cast("double")
+    return pack(pairs, n * (m / 64 + 1) + m + 20, key, parts)
+
+
 def lcs_length_native(a, b) -> Column:
     """E1 with native lambdas: nested ``aggregate`` over the DP rows (tests only)."""
     a = F.col(a) if isinstance(a, str) else a

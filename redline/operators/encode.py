@@ -6,9 +6,10 @@ a whitespace vocabulary built from the corpus (F16). Ids are dense ranks over
 distinct tokens in a seeded hash order (``global_rank``: no single-partition
 window), after the fixed special ids.
 
-Token -> id lookup explodes the tokens and joins the vocabulary on ``token``:
-a shuffle join whose hot keys (frequent words) AQE splits; the vocabulary has
-one row per token, so no key is duplicated on the build side.
+Token -> id lookup explodes the tokens and joins the vocabulary on ``token``.
+Tokens that hold a large share of the corpus (at most ``1 / skew.SHARE``) are
+answered from a broadcast table, the others by a shuffle join, so a word that is
+a third of all words meets no single task.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redline.operators.skew import heavy_keys, split_join
 from redline.operators.split import global_rank
 
 # Special token ids (same layout as the reference's encoder).
@@ -40,7 +42,8 @@ def token_ids(df: DataFrame, vocab: DataFrame, columns: dict[str, str],
 
     All columns go through one explode, one join with the vocabulary and one
     regroup per ``key``; ``inline_outer`` keeps rows with empty arrays, so the
-    result needs no join back. Returns ``key`` plus the output columns."""
+    result needs no join back. ``vocab`` (``token, token_id, freq``) is read three
+    times: give a written one. Returns ``key`` plus the output columns."""
     names = list(columns)
 
     def tag_with(j):
@@ -51,7 +54,8 @@ def token_ids(df: DataFrame, vocab: DataFrame, columns: dict[str, str],
 
     items = F.concat(*[F.transform(F.col(c), tag_with(j)) for j, c in enumerate(names)])
     words = df.select(key, F.inline_outer(items))
-    ids = words.join(vocab.select("token", "token_id"), "token", "left").select(
+    hot = heavy_keys(vocab, "freq")
+    ids = split_join(words, vocab, ["token"], "token_id", hot, [key, "col", "pos"]).select(
         key, "col", "pos", "token", F.coalesce("token_id", F.lit(UNK_ID)).alias("id"))
     per = ids.groupBy(key).agg(F.sort_array(F.collect_list(F.when(
         F.col("token").isNotNull(), F.struct("col", "pos", "id")))).alias("_p"))
@@ -98,6 +102,20 @@ def word_ids(n_words, max_len: int = MAX_LEN) -> Column:
     return F.concat(seq, F.array_repeat(F.lit(None).cast("int"), F.lit(max_len) - F.size(seq)))
 
 
+def split_word_ids(n_tokens, max_len: int = MAX_LEN) -> Column:
+    """Word index per position for a tokenizer that cuts word i into
+    ``n_tokens[i]`` tokens (0: the word has none): specials and padding are null,
+    and what lies beyond the frame is cut off, also inside a word. Words past the
+    frame are dropped before the repetition, so a row costs ``max_len``."""
+    seen = F.slice(n_tokens, 1, max_len - 2) if max_len > 2 else F.array().cast("array<int>")
+    # a word without tokens takes no place, so more words than places may be needed
+    whole = F.when(F.exists(seen, lambda k: k < 1), n_tokens).otherwise(seen)
+    body = F.slice(F.flatten(F.transform(whole, lambda k, i: F.array_repeat(i, F.least(k, F.lit(max_len)).cast("int")))), 1, max_len - 2)
+    edge = F.array(F.lit(None).cast("int"))
+    seq = F.concat(edge, body, edge)
+    return F.concat(seq, F.array_repeat(F.lit(None).cast("int"), F.lit(max_len) - F.size(seq)))
+
+
 def tag_labels(wids, label_ids) -> Column:
     """F15 + W7 + J5: the first token of each visible word gets its word's label
     id, every other position -100. Labels of words cut off by truncation are

@@ -5,13 +5,14 @@ batches with ``mapInPandas``. ``factory()`` is called once per task (model
 load happens on the executor, never at import or on the driver); the returned
 callable is then fed whole batches (``batched=True``: ``list[str] ->
 list[str]``) or single sentences. A failing row gets its source text back and
-``had_error = true`` (F11); the row count never changes. Batch size follows
-``spark.sql.execution.arrow.maxRecordsPerBatch``.
+``had_error = true`` (F11); the row count never changes. ``batch_size`` fixes
+how many sentences a batched corrector gets at once, across Arrow batches;
+without it that follows ``spark.sql.execution.arrow.maxRecordsPerBatch``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,15 +25,39 @@ def identity_corrector() -> Callable[[str], str]:
     return lambda s: s
 
 
+def chunked(batches: Iterator[pd.DataFrame], size: int | None) -> Iterator[pd.DataFrame]:
+    """The rows of ``batches`` in chunks of exactly ``size`` (the last may be
+    short): what is left of a batch is carried over to the next. At most ``size``
+    rows and one batch are held. Without ``size``, the batches as they come."""
+    if size is None:
+        yield from batches
+        return
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        whole = len(pdf) - len(pdf) % size
+        for at in range(0, whole, size):
+            yield pdf.iloc[at:at + size].reset_index(drop=True)
+        held = pdf.iloc[whole:].reset_index(drop=True) if whole < len(pdf) else None
+    if held is not None:
+        yield held
+
+
 def apply_corrector(df: DataFrame, factory: Callable[[], Callable], input_col: str = "source",
-                    output_col: str = "prediction", batched: bool = False) -> DataFrame:
+                    output_col: str = "prediction", batched: bool = False, batch_size: int | None = None) -> DataFrame:
+    """M1. ``batch_size`` (with ``batched``) is the number of sentences a batched
+    corrector gets at once; only a task's last call may get fewer. A call that fails or
+    gives a wrong number of replies is repeated row by row, so that only the
+    rows that fail by themselves are flagged."""
+    if batch_size is not None and batch_size < 1:
+        raise ValueError("batch_size must be at least 1")
     schema = T.StructType(df.schema.fields + [
         T.StructField(output_col, T.StringType(), True),
         T.StructField("had_error", T.BooleanType(), False)])
 
     def run(batches):
         fn = factory()
-        for pdf in batches:
+        for pdf in chunked(batches, batch_size if batched else None):
             src = pdf[input_col].tolist()
             out, err = None, None
             if batched:

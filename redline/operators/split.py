@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redline.functions.text import seeded_hash, tokens
+from redline.plans.session import cut_lineage
 
 SEED = 42
 
@@ -90,16 +91,25 @@ def global_rank(df: DataFrame, seed: int = SEED, key: str = "pair_id",
     return _bucket_rank(x, ["_h", tie])
 
 
-def rank_by(df: DataFrame, col: str = "pair_id", n_buckets: int | None = None) -> DataFrame:
-    """Rank in ascending order of a unique integer column. Buckets are equal
-    value ranges between min and max (two lazy scalar subqueries); since the
-    values are unique, no bucket holds more than ``range / n_buckets`` rows."""
-    n_buckets = n_buckets or (1 << _bucket_bits(df, None))
-    bounds = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    lo = bounds.select("lo").scalar()
-    width = bounds.select(F.floor((F.col("hi") - F.col("lo")) / n_buckets) + 1).scalar()
-    x = df.withColumn("_bkt", F.floor((F.col(col) - lo) / width))
-    return _bucket_rank(x, [col])
+def rank_by(df: DataFrame, col: str = "pair_id") -> DataFrame:
+    """Adds ``_idx`` (0-based rank in ascending order of a unique column) and ``_n``.
+
+    A sample sort: Spark samples the column for range bounds, so ranges are even
+    whatever the values (a single outlier changes nothing), sorts each range, and
+    the sorted table is written once (the bounds come from a sample, so two
+    evaluations may differ). A row's rank is its place in its range plus the
+    rows of the ranges before (one row per range, broadcast)."""
+    t = cut_lineage(df.repartitionByRange(col).sortWithinPartitions(col)
+                    .withColumn("_at", F.monotonically_increasing_id()), "rank")
+    part = F.shiftright("_at", 33)
+    counts = t.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_cnt"))
+    whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_cnt").over(whole).alias("_n"))
+    return (t.join(F.broadcast(offsets), part == F.col("_part"))
+            .withColumn("_idx", F.col("_off") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+            .drop("_at", "_part", "_off"))
 
 
 def exact_split(df: DataFrame, seed: int = SEED, test_size: float = 0.2,
@@ -124,18 +134,41 @@ def ratio_split(df: DataFrame, seed: int = SEED, train_fraction: float = 0.75,
     return r.withColumn("split", F.when(F.col("_idx") < n_train, "train").otherwise("test"))
 
 
+SAMPLE_BITS = 16
+MAX_BROADCAST_GROUPS = 1 << 20   # thresholds (one row a group) are broadcast up to here, joined beyond
+
+
+def below_threshold(df: DataFrame, n: int, seed: int = SEED, group: str = "lang", key: str = "pair_id",
+                    bits: int = SAMPLE_BITS) -> DataFrame:
+    """The rows of each group that can be among its first ``n`` in hash order, with
+    their hash ``_h``: ``n`` rows and at most one hash bucket more. The counts that
+    give the threshold are made here and now (one row a group is stored)."""
+    x = df.withColumn("_h", seeded_hash(seed, key)).withColumn("_b", F.shiftright("_h", 32 - bits).cast("int"))
+    counts = x.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    kept = counts.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).where(F.col("_before") < n)
+    last = cut_lineage(kept.groupBy(F.col(group).alias("_g")).agg(F.max("_b").alias("_last")), "sample-thresholds")
+    few = last.count() <= MAX_BROADCAST_GROUPS
+    return x.join(F.broadcast(last) if few else last, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") <= F.col("_last"))
+                  ).drop("_g", "_last", "_b")
+
+
 def sample_per_group(df: DataFrame, n: int | None, seed: int = SEED,
-                     group: str = "lang", key: str = "pair_id") -> DataFrame:
+                     group: str = "lang", key: str = "pair_id", bits: int = SAMPLE_BITS) -> DataFrame:
     """Seeded sample of at most ``n`` rows per group, without replacement.
 
-    ``row_number() <= n`` is planned as a partial WindowGroupLimit before the
-    shuffle, so even a group holding most rows only ships ``n`` per task.
-    ``n=None`` keeps all rows.
+    Threshold selection: rows are counted by group and the first ``bits`` bits of
+    their hash (summed map-side, at most ``2**bits`` rows a group), the counts say in
+    which bucket a group's ``n``-th row lies, and rows beyond it are dropped
+    where they are scanned. Only what is left is ranked, so no task sees much more
+    than ``n`` rows a group, however many rows or tasks a group has.
+    ``n=None`` keeps all rows; rows of a null group are one group.
     """
     if n is None:
         return df
-    w = Window.partitionBy(group).orderBy(seeded_hash(seed, key), key)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    below = below_threshold(df, n, seed, group, key, bits)
+    w = Window.partitionBy(group).orderBy("_h", key)
+    return below.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn", "_h")
 
 
 def word_range(col: str, low: int = 5, high: int = 25):

@@ -10,14 +10,17 @@ model per language.
 
 Tagging explodes the words with their neighbours (read from the token array by
 position, no window), left-joins the three context tables (sort-merge at scale,
-broadcast when Spark's size estimate is under the threshold; AQE splits skewed
-join partitions), maps ids back to labels through the bounded vocabulary
-(broadcast), and regroups per sentence in position order. Tagging joins only
-the decisive contexts (those whose prediction differs from their back-off;
-about 2-5% of the model here, since ``$KEEP`` dominates), which gives the same
-labels. ``correct`` unrolls ``max_passes`` such passes in one plan; with
-``checkpoint_passes`` the lineage is cut after every pass in the shared
-checkpoint folder.
+broadcast when Spark's size estimate is under the threshold), maps ids back to
+labels through the bounded vocabulary (broadcast), and regroups per sentence in
+position order. Contexts that hold a large share of the training words are
+answered from a bounded table instead (``skew.split_join``), so a hot word
+meets no single task. Tagging joins only the decisive contexts (those whose
+prediction differs from their back-off; about 2-5% of the model here, since
+``$KEEP`` dominates), which gives the same labels.
+
+``correct`` keeps a worklist: each pass regroups only the words that get an edit,
+writes its result to the shared checkpoint folder once, and hands only the
+sentences that changed to the next pass.
 """
 
 from __future__ import annotations
@@ -25,11 +28,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redline.functions.text import tokens
 from redline.operators.edits import apply_labels, apply_one
+from redline.operators.skew import heavy_keys, split_join
 from redline.operators.vocab import id_labels, label_ids
 from redline.plans.session import cut_lineage
 
@@ -52,6 +56,7 @@ class TaggerModel:
     materialize: bool = True
     _decisive: dict | None = field(default=None, repr=False, compare=False)
     _partitioned: "TaggerModel | None" = field(default=None, repr=False, compare=False)
+    _heavy: dict | None = field(default=None, repr=False, compare=False)
 
     def tables(self) -> dict[str, DataFrame]:
         return {"tri": self.tri, "bi": self.bi, "uni": self.uni}
@@ -68,6 +73,20 @@ class TaggerModel:
                 "lang", *keys, F.col("label_id").alias(f"{name}_id")) for name, keys in LEVELS.items()}
         return self._decisive
 
+    def heavy_tables(self) -> dict[str, DataFrame]:
+        """Per level the contexts that hold ``skew.SHARE`` of the training words or
+        more (bounded), with their decisive id or null; memoised."""
+        if self._heavy is None:
+            heavy = {}
+            for name, keys in LEVELS.items():
+                key = ["lang", *keys]
+                hot = heavy_keys(self.tables()[name], f"{name}_n").select(*key)
+                heavy[name] = hot.join(self.tag_tables()[name], key, "left")
+                if self.materialize:
+                    heavy[name] = cut_lineage(heavy[name], f"tagger-heavy-{name}")
+            self._heavy = heavy
+        return self._heavy
+
     def partitioned(self) -> "TaggerModel":
         """The same model with each table hash-partitioned on its join keys
         and persisted (memory and disk), for repeated tagging passes: the
@@ -78,7 +97,7 @@ class TaggerModel:
             keep = {name: t.repartition(parts, "lang", *LEVELS[name]).persist(StorageLevel.MEMORY_AND_DISK)
                     for name, t in self.tag_tables().items()}
             self._partitioned = TaggerModel(keep["tri"], keep["bi"], keep["uni"], self.vocab, self.counts,
-                                            False, {n: keep[n] for n in LEVELS})
+                                            False, {n: keep[n] for n in LEVELS}, _heavy=self.heavy_tables())
         return self._partitioned
 
     def release(self) -> None:
@@ -193,16 +212,22 @@ def _level_counts(ctx: DataFrame, materialize: bool) -> dict:
     return {"tri": tri, "bi": bi, "uni": uni}
 
 
-def tag_words(words: DataFrame, model: TaggerModel) -> DataFrame:
-    """M3 on exploded words: ``label`` per word, back-off tri -> bi -> uni -> KEEP;
+def word_ids(words: DataFrame, model: TaggerModel) -> DataFrame:
+    """M3 on exploded words: ``label_id`` per word, back-off tri -> bi -> uni -> KEEP;
     words a fixed-length model cannot see keep themselves (J5)."""
     x = words
     for name, keys in LEVELS.items():
-        t = model.tag_tables()[name].select("lang", *keys, f"{name}_id")
-        x = x.join(t, ["lang", *keys], "left")
+        # the word itself comes last: it is the key that heavy rows are spread by
+        key = ["lang", *[k for k in keys if k != "word"], "word"]
+        t = model.tag_tables()[name].select(*key, f"{name}_id")
+        x = split_join(x, t, key, f"{name}_id", model.heavy_tables()[name], ["pair_id", "pos"])
     lid = F.when(F.col("visible"), F.coalesce("tri_id", "bi_id", "uni_id", F.lit(0))).otherwise(F.lit(0))
-    x = x.withColumn("label_id", lid).drop("tri_id", "bi_id", "uni_id")
-    return id_labels(x, model.vocab)
+    return x.withColumn("label_id", lid).drop("tri_id", "bi_id", "uni_id")
+
+
+def tag_words(words: DataFrame, model: TaggerModel) -> DataFrame:
+    """M3 on exploded words: ``label`` per word."""
+    return id_labels(word_ids(words, model), model.vocab)
 
 
 def tag(sentences: DataFrame, model: TaggerModel, text_col: str = "text",
@@ -226,16 +251,15 @@ def correct_once(sentences: DataFrame, model: TaggerModel, text_col: str = "text
 
 def correct(sentences: DataFrame, model: TaggerModel, text_col: str = "text",
             max_passes: int = 3, max_words: int | None = None,
-            checkpoint_passes: bool = False, partition_model: bool = False) -> DataFrame:
+            checkpoint_passes: bool = True, partition_model: bool = False) -> DataFrame:
     """Up to ``max_passes`` passes (at least 1). A sentence stops at the
-    first pass that changes nothing; since a pass is deterministic, running it
-    again after that is a no-op, so the passes are unrolled in one plan and
-    ``passes_used`` records where each sentence stopped.
+    first pass that changes nothing, and ``passes_used`` records where.
 
-    Between passes a sentence is only its token array plus scalar state
-    (``lang``, ``passes_used``, done flag, whether the raw text was already
-    normalised): each pass explodes the tokens, tags them, and regroups per
-    sentence, which yields the next tokens directly.
+    The passes work on a list of open sentences. A pass is written once, split
+    into finished and open; finished sentences are only read again for the
+    result, and the next pass sees the open ones alone. Eager, like the fit: the
+    tables are in the shared checkpoint folder, so a lost executor costs part of one pass.
+    (``checkpoint_passes`` is accepted for earlier callers; every pass is written.)
 
     Returns ``pair_id, lang, corrected, passes_used``; any other input columns
     (besides ``text_col``) are joined back once at the end, not once per pass.
@@ -243,43 +267,50 @@ def correct(sentences: DataFrame, model: TaggerModel, text_col: str = "text",
     n = max(1, int(max_passes))
     if n > 1 and partition_model:
         model = model.partitioned()
-    state = sentences.select(
+    open_ = cut_lineage(sentences.select(
         "pair_id", "lang", tokens(text_col).alias("_tok"),
-        (F.col(text_col) == F.array_join(tokens(text_col), " ")).alias("_norm"),
-        F.lit(0).alias("passes_used"), F.lit(False).alias("_done"))
+        (F.col(text_col) == F.array_join(tokens(text_col), " ")).alias("_norm")), "correct-open")
+    out = None
     for k in range(1, n + 1):
-        state = _pass(state, model, k, max_words)
-        if checkpoint_passes and k < n:
-            state = cut_lineage(state, "correct-pass")
-    out = state.select("pair_id", F.array_join("_tok", " ").alias("corrected"), "passes_used")
+        done = cut_lineage(_pass(open_, model, k == n, max_words), f"correct-pass-{k}", partition_by=("_done",))
+        finished = done.where(F.col("_done")).select(
+            "pair_id", "lang", F.array_join("_tok", " ").alias("corrected"), F.lit(k).alias("passes_used"))
+        out = finished if out is None else out.unionByName(finished)
+        open_ = done.where(~F.col("_done")).drop("_done")
+        if k < n and open_.isEmpty():
+            break
     rest = [c for c in sentences.columns if c not in ("pair_id", "lang", text_col, "corrected", "passes_used")]
     if not rest:
-        return state.select("pair_id", "lang", F.array_join("_tok", " ").alias("corrected"), "passes_used")
-    return sentences.join(out, "pair_id", "left")
+        return out
+    return sentences.join(out.drop("lang"), "pair_id", "left")
+
 
+def _edited(tok, found) -> Column:
+    """``tok`` with the edits ``found`` (sorted ``pos, label``) applied; the stretches
+    between them are copied, so the cost is linear in the sentence."""
+    def piece(x, i):
+        pos = x.getField("pos")
+        start = F.when(i == 0, F.lit(0)).otherwise(F.get(found, i - 1).getField("pos") + 1)
+        return F.concat(F.slice(tok, start + 1, pos - start), apply_one(F.get(tok, pos), x.getField("label")))
+    after = F.element_at(found, -1).getField("pos") + 1
+    return F.concat(F.flatten(F.transform(found, piece)), F.slice(tok, after + 1, F.size(tok)))
 
-def _pass(state: DataFrame, model: TaggerModel, k: int, max_words: int | None) -> DataFrame:
-    z = state.select("pair_id", "lang", "_norm", "passes_used", "_done", F.col("_tok").alias("_t"),
-                     F.posexplode_outer("_tok").alias("pos", "word"))
+
+def _pass(state: DataFrame, model: TaggerModel, last: bool, max_words: int | None) -> DataFrame:
+    """One pass over the open sentences: ``_tok`` after it, and whether it is done."""
+    z = state.select("pair_id", "lang", F.col("_tok").alias("_t"), F.posexplode("_tok").alias("pos", "word"))
     prev = F.coalesce(F.get(F.col("_t"), F.col("pos") - 1), F.lit(BOS))
     nxt = F.coalesce(F.get(F.col("_t"), F.col("pos") + 1), F.lit(EOS))
-    visible = F.lit(True) if max_words is None else (F.col("pos") < max_words)
-    words = z.select("pair_id", "lang", "_norm", "passes_used", "_done", "pos",
-                     prev.alias("prev"), "word", nxt.alias("next"), visible.alias("visible"))
-    tagged = tag_words(words, model)
-    g = tagged.groupBy("pair_id").agg(
-        F.first("lang").alias("lang"), F.first("_norm").alias("_norm"),
-        F.first("passes_used").alias("passes_used"), F.first("_done").alias("_done"),
-        F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(),
-                                           F.struct("pos", "word", "label")))).alias("_w"))
-    old = F.transform("_w", lambda x: x.getField("word"))
-    new = F.flatten(F.transform("_w", lambda x: apply_one(x.getField("word"), x.getField("label"))))
-    same = F.col("_norm") & (F.array_join(new, " ") == F.array_join(old, " "))
-    stop = F.col("_done") | same
-    return g.select(
-        "pair_id", "lang", new.alias("_tok"), F.lit(True).alias("_norm"),
-        F.when(F.col("_done"), F.col("passes_used")).otherwise(F.lit(k)).alias("passes_used"),
-        stop.alias("_done"))
+    words = z.select("pair_id", "lang", "pos", prev.alias("prev"), "word", nxt.alias("next"), F.lit(True).alias("visible"))
+    if max_words is not None:
+        words = words.where(F.col("pos") < max_words)
+    # only words with an edit are regrouped
+    found = id_labels(word_ids(words, model).where(F.col("label_id") != 0).select("pair_id", "lang", "pos", "label_id"), model.vocab)
+    found = found.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("pos", "label"))).alias("_found"))
+    x = state.join(found, "pair_id", "left")
+    new = F.when(F.col("_found").isNull(), F.col("_tok")).otherwise(_edited(F.col("_tok"), F.col("_found")))
+    same = F.col("_norm") & (F.col("_found").isNull() | (F.array_join(new, " ") == F.array_join("_tok", " ")))
+    return x.select("pair_id", "lang", new.alias("_tok"), F.lit(True).alias("_norm"), (same | F.lit(last)).alias("_done"))
 
 
 def validation_nll(labelled_val: DataFrame, model: TaggerModel, batches: DataFrame) -> DataFrame:
@@ -288,7 +319,11 @@ def validation_nll(labelled_val: DataFrame, model: TaggerModel, batches: DataFra
     mean over batches of the per-batch mean over visible words (not the token
     mean); ``batches`` maps ``pair_id -> batch``."""
     ctx = label_ids(contexts(labelled_val), model.vocab)
-    v = model.vocab.select(F.count(F.lit(1))).scalar()  # at most top_k + 2 rows
+    if "lang" in model.vocab.columns:       # a vocabulary per language
+        ctx = ctx.join(model.vocab.groupBy("lang").agg(F.count(F.lit(1)).alias("_v")), "lang", "left").fillna(0, ["_v"])
+        v = F.col("_v")
+    else:
+        v = F.lit(model.vocab.select(F.count(F.lit(1))).scalar())
     # each level is joined once: per context its total and the count of every label
     # seen there (at most the vocabulary's size), the gold label's is looked up
     x = ctx.where("visible")
@@ -302,7 +337,7 @@ def validation_nll(labelled_val: DataFrame, model: TaggerModel, batches: DataFra
     level_g = (F.when(F.col("tri_n").isNotNull(), F.col("tri_g"))
                .when(F.col("bi_n").isNotNull(), F.col("bi_g"))
                .when(F.col("uni_n").isNotNull(), F.col("uni_g")).otherwise(F.lit(0)))
-    nll = -F.log((level_g + 1) / (level_n + F.lit(v)))
+    nll = -F.log((level_g + 1) / (level_n + v))
     # Losses and batch means are summed as decimals, so the result does not depend on
     # how rows are spread over partitions; it is rounded once, at the end.
     exact = "decimal(38,12)"

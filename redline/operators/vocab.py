@@ -63,15 +63,52 @@ def label_vocab(edits_or_counts: DataFrame, top_k: int = TOP_K, materialize: boo
     return fixed.unionByName(ranked.select("label", F.col("label_id").cast("int"), "freq"))
 
 
-def label_ids(edits: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Label -> id, out-of-vocabulary -> ``$KEEP`` (0). The vocabulary is
-    bounded by ``top_k + 2`` rows, so it is broadcast."""
-    v = F.broadcast(vocab.select("label", "label_id"))
-    return edits.join(v, "label", "left").withColumn(
+def label_vocab_by(edits: DataFrame, group: str = "lang", top_k: int = TOP_K, materialize: bool = True) -> DataFrame:
+    """S6 + A4: one vocabulary per ``group`` in one job: ``group, label, label_id,
+    freq``, each with its own top-K cut and its own ids from 2.
+
+    Labels are counted by group map-side. The cut is a partial group limit
+    (each task keeps a heap of ``top_k`` labels a group) before its shuffle, so a
+    group's final rank sees at most ``top_k`` rows a task."""
+    at = F.col("pair_id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
+    counts = edits.groupBy(group, "label").agg(F.count(F.lit(1)).alias("freq"), F.min(at.cast("decimal(38,0)")).alias("_first"))
+    if materialize:
+        counts = cut_lineage(counts, "label-counts-by")
+    order = Window.partitionBy(group).orderBy(F.desc("freq"), "_first")
+    top = counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top_k)
+    rest = top.where(~F.col("label").isin(*FIXED)).withColumn("_r", F.row_number().over(order) + 1)
+    none = F.lit(0).cast("bigint")
+    fixed = counts.groupBy(group).agg(
+        *[F.coalesce(F.max(F.when(F.col("label") == x, F.col("freq"))), none).alias(f"_{i}") for i, x in enumerate(FIXED)])
+    fixed = fixed.select(group, F.inline(F.array(*[F.struct(F.lit(x).alias("label"), F.lit(i).alias("label_id"), F.col(f"_{i}").alias("freq"))
+                                                   for i, x in enumerate(FIXED)])))
+    return fixed.unionByName(rest.select(group, "label", F.col("_r").cast("int").alias("label_id"), "freq"))
+
+
+#: A vocabulary is broadcast up to so many rows (some 100 MB), joined beyond.
+MAX_BROADCAST = 1 << 20
+
+
+def _small(vocab: DataFrame, top_k: int | None) -> DataFrame:
+    """``vocab`` with a broadcast hint if its bound allows it. One that holds a group
+    column has ``top_k + 2`` rows a group, and groups have no bound: Spark's
+    own size estimate decides."""
+    grouped = "lang" in vocab.columns
+    return vocab if grouped or (top_k or 0) + 2 > MAX_BROADCAST else F.broadcast(vocab)
+
+
+def label_ids(edits: DataFrame, vocab: DataFrame, top_k: int | None = None) -> DataFrame:
+    """Label -> id, out-of-vocabulary -> ``$KEEP`` (0). A vocabulary per
+    language (with a ``lang`` column) is looked up by language. One vocabulary has
+    ``top_k + 2`` rows and is broadcast up to ``MAX_BROADCAST``."""
+    keys = ["lang", "label"] if "lang" in vocab.columns else ["label"]
+    v = _small(vocab.select(*keys, "label_id"), top_k)
+    return edits.join(v, keys, "left").withColumn(
         "label_id", F.coalesce("label_id", F.lit(0)))
 
 
-def id_labels(ids: DataFrame, vocab: DataFrame, id_col: str = "label_id") -> DataFrame:
-    """Id -> label, unknown id -> ``$KEEP``."""
-    v = F.broadcast(vocab.select(F.col("label_id").alias(id_col), "label"))
-    return ids.join(v, id_col, "left").withColumn("label", F.coalesce("label", F.lit(KEEP)))
+def id_labels(ids: DataFrame, vocab: DataFrame, id_col: str = "label_id", top_k: int | None = None) -> DataFrame:
+    """Id -> label, unknown id -> ``$KEEP``; by language for a vocabulary per language."""
+    keys = ["lang", id_col] if "lang" in vocab.columns else [id_col]
+    v = _small(vocab.withColumnRenamed("label_id", id_col).select(*keys, "label"), top_k)
+    return ids.join(v, keys, "left").withColumn("label", F.coalesce("label", F.lit(KEEP)))

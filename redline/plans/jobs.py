@@ -69,18 +69,59 @@ def evaluate_job(test: DataFrame, corrector: Callable | None = None, model: tagg
     return metrics.f05_lcs(joined, total_row=True)
 
 
-def prompt_job(pairs_ranked: DataFrame, generator: Callable, few_shot: bool = False) -> DataFrame:
-    """Prompts for the test rows, generation through ``apply_corrector`` in
-    batches (``generator() -> fn(list[str]) -> list[str]``), then the
-    prompt cut and reply cleaning; a failed generation falls back to the source."""
+def _prompts(pairs_ranked: DataFrame, few_shot: bool) -> DataFrame:
     test = pairs_ranked.where(F.col("split") == "test")
     if few_shot:
         block = prompts.example_block(split.few_shot_pick(pairs_ranked))
         msg = prompts.few_shot("source", "lang", block)
     else:
         msg = prompts.zero_shot("source")
-    x = test.select("pair_id", "lang", "source", "target", prompts.chat_wrap(msg, "lang").alias("prompt"))
-    gen = scoring.apply_corrector(x, generator, "prompt", "generated", batched=True)
+    return test.select("pair_id", "lang", "source", "target", prompts.chat_wrap(msg, "lang").alias("prompt"))
+
+
+def _replies(asked: DataFrame, generator: Callable, batch_size: int | None) -> DataFrame:
+    gen = scoring.apply_corrector(asked, generator, "prompt", "generated", batched=True, batch_size=batch_size)
+    # a failed generation gives the prompt back: nothing is left of it but the source
     return gen.select("pair_id", "lang", "source", "target",
                       prompts.clean_reply(prompts.cut_prompt("generated", "prompt"), "source").alias("prediction"),
                       "had_error")
+
+
+def prompt_job(pairs_ranked: DataFrame, generator: Callable, few_shot: bool = False,
+               batch_size: int | None = None) -> DataFrame:
+    """Prompts for the test rows, generation through ``apply_corrector`` in
+    batches (``generator() -> fn(list[str]) -> list[str]``), then the
+    prompt cut and reply cleaning; a failed generation falls back to the source."""
+    return _replies(_prompts(pairs_ranked, few_shot), generator, batch_size)
+
+
+REPLY = "pair_id long, lang string, source string, target string, prediction string, had_error boolean"
+
+
+def resumable_prompt_job(pairs_ranked: DataFrame, generator: Callable, out: str, few_shot: bool = False,
+                         batch_size: int | None = None, slices: int = 16) -> DataFrame:
+    """M6 for generators that cost more than anything else: replies are kept by
+    ``pair_id`` in ``out``, and a restart sends no kept prompt again.
+
+    Prompts go out in ``slices`` by a hash of ``pair_id``. A slice's replies are
+    appended in one write, which commits whole or not at all, and slices whose
+    pairs are all answered are not run. A restart therefore repeats at most the slice
+    at hand. Rows that failed (``had_error``) are kept too; delete them from
+    ``out`` to ask again."""
+    spark = pairs_ranked.sparkSession
+    asked = cut_lineage(_prompts(pairs_ranked, few_shot).withColumn("_slice", F.pmod(F.xxhash64("pair_id"), F.lit(slices)).cast("int")),
+                        "prompts", partition_by=("_slice",))
+    kept = _kept_replies(spark, out)
+    todo = cut_lineage(asked.join(kept.select("pair_id"), "pair_id", "left_anti"), "prompts-open", partition_by=("_slice",))
+    for s in sorted(r["_slice"] for r in todo.select("_slice").distinct().collect()):      # at most ``slices`` rows
+        part = todo.where(F.col("_slice") == s).drop("_slice")
+        _replies(part, generator, batch_size).write.mode("append").parquet(out)
+    return _kept_replies(spark, out)
+
+
+def _kept_replies(spark: SparkSession, out: str) -> DataFrame:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], REPLY)
+    return spark.read.schema(REPLY).parquet(out)

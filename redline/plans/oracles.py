@@ -496,3 +496,71 @@ ORACLES["report_rounded"] = f"""
 SELECT *, round(precision, 4) AS precision_r4, round(recall, 4) AS recall_r4, round(f05, 4) AS f05_r4,
        round(exact_match, 4) AS exact_match_r4
 FROM ({with_base(f"{IDENTITY_ALL}, {_report_lcs('ident')}")}) rep"""
+
+
+# ---------------------------------------------------------------- stores and plug points
+
+ORACLES["raw_build"] = ORACLES["corpus_clean"]
+ORACLES["csv_mixed_layouts"] = ORACLES["csv_roundtrip"].replace(
+    "SELECT * FROM x WHERE", "SELECT * REPLACE (CASE WHEN pair_id % 3 <> 2 THEN pair_id END AS pair_id) FROM x WHERE")
+
+
+def _lang_vocab(top_k: int) -> str:
+    fixed = " UNION ALL ".join(
+        f"SELECT lang, '{x}' AS label, {i} AS label_id, CAST(coalesce(sum(freq) FILTER (label = '{x}'), 0) AS BIGINT) AS freq FROM llc GROUP BY lang"
+        for i, x in enumerate(("$KEEP", "$DELETE")))
+    return f"""{_al_train.strip()},
+edits AS (SELECT pair_id, lang, unnest(range(0, len(src_tok))) AS pos, unnest(labels) AS label FROM {_al_train_last}),
+llc AS (SELECT lang, label, count(*) AS freq, min({{'p': pair_id, 'q': pos}}) AS seen FROM edits GROUP BY lang, label),
+ltop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, seen) AS r FROM llc) WHERE r <= {top_k}),
+vocab AS ({fixed} UNION ALL
+  SELECT lang, label, CAST(row_number() OVER (PARTITION BY lang ORDER BY freq DESC, seen) + 1 AS INTEGER), freq
+  FROM ltop WHERE label NOT IN ('$KEEP', '$DELETE'))"""
+
+
+ORACLES["label_vocab_by_lang"] = with_base(f"{_lang_vocab(500)} SELECT lang, label, CAST(label_id AS INTEGER) AS label_id, freq FROM vocab")
+_fit_by_lang = TAGGER_FIT[TAGGER_FIT.index("tctx AS ("):].replace("LEFT JOIN vocab v USING (label)", "LEFT JOIN vocab v USING (lang, label)")
+ORACLES["tagger_fit_by_lang"] = ORACLES["tagger_fit"].replace(TAGGER_FIT, f"{_lang_vocab(500)},\n{_fit_by_lang}")
+ORACLES["vocab_store"] = with_base(f"""{EDITS_TRAIN},
+small AS (SELECT * FROM lc ORDER BY freq DESC, first_pair, first_pos LIMIT 50),
+tiny AS (SELECT label, label_id, freq FROM vocab WHERE label_id < 2 UNION ALL
+         SELECT label, row_number() OVER (ORDER BY freq DESC, first_pair, first_pos) + 1, freq FROM small WHERE label NOT IN ('$KEEP', '$DELETE'))
+SELECT label, CAST(label_id AS INTEGER) AS label_id, freq, unnest(['built', 'stored']) AS used, 5000 AS top_k FROM vocab
+UNION ALL SELECT label, CAST(label_id AS INTEGER), freq, 'built', 50 FROM tiny""")
+ORACLES["corrector_batched"] = with_base("""x AS (SELECT 1)
+SELECT pair_id, CASE WHEN length(incorrect) % 7 = 0 THEN incorrect ELSE upper(incorrect) END AS prediction, length(incorrect) % 7 = 0 AS had_error
+FROM splitted WHERE split = 'test'""")
+_reply_steps = []
+for _i, _p in enumerate(_prefixes):
+    _reply_steps.append(f"rr{_i + 1} AS (SELECT pair_id, lang, source, CASE WHEN starts_with(lower(t), lower('{_p}')) "
+                        f"THEN {_strip(f'substr(t, {len(_p) + 1})')} ELSE t END AS t FROM rr{_i})")
+ORACLES["prompt_replies"] = with_base(f"""{RANKED},
+rr0 AS (SELECT pair_id, lang, source, 'Corrected: ' || reverse({_strip("source")}) AS t FROM rs WHERE split = 'test'),
+{", ".join(_reply_steps)}
+SELECT pair_id, lang, coalesce(nullif(t, ''), source) AS prediction, false AS had_error FROM rr5""")
+ORACLES["tagger_tag_visible"] = ORACLES["tagger_tag"].replace(
+    "SELECT w.pair_id, w.pos, coalesce(v.label, '$KEEP') AS label", "SELECT w.pair_id, w.pos, CASE WHEN w.pos < 8 THEN coalesce(v.label, '$KEEP') ELSE '$KEEP' END AS label")
+SPLIT_WORDS = f"""{EDITS_TRAIN},
+lid AS (SELECT e.pair_id, list(CAST(coalesce(v.label_id, 0) AS INTEGER) ORDER BY e.pos) AS lids,
+               list(CAST(ceil(length(e.token) / 4) AS INTEGER) ORDER BY e.pos) AS n
+        FROM edits e LEFT JOIN vocab v USING (label) GROUP BY e.pair_id),
+w0 AS (SELECT pair_id, lids, flatten(list_transform(n, lambda k, i: list_transform(range(k), lambda q: CAST(i - 1 AS INTEGER))))[1:126] AS b FROM lid),
+w1 AS (SELECT pair_id, lids, list_concat([NULL], b, [NULL], list_transform(range(126 - len(b)), lambda q: CAST(NULL AS INTEGER))) AS wids FROM w0),
+w2 AS (SELECT pair_id, wids, list_transform(wids, lambda wd, i: CASE WHEN wd IS NULL THEN -100 WHEN i > 1 AND wids[i - 1] = wd THEN -100
+                                                                ELSE coalesce(lids[wd + 1], -100) END) AS labels FROM w1)"""
+ORACLES["encode_split_words"] = with_base(f"""{SPLIT_WORDS}
+SELECT pair_id, {_ints("labels")} AS labels, {_ints("list_transform(wids, lambda x: coalesce(x, -1))")} AS word_ids FROM w2""")
+ORACLES["masked_loss"] = with_base(f"""{SPLIT_WORDS},
+nb AS (SELECT pair_id, (row_number() OVER (ORDER BY pair_id) - 1) // 16 AS batch FROM w2),
+pos AS (SELECT pair_id, unnest(labels) AS label, unnest(range(0, 128)) AS i FROM w2),
+pb AS (SELECT batch, avg((((label * 7 + i) % 64 + 64) % 64) / 8.0) AS mean, count(*) AS n
+       FROM pos JOIN nb USING (pair_id) WHERE label <> -100 GROUP BY batch)
+SELECT round(CAST(sum(CAST(mean AS DECIMAL(24, 12))) AS DOUBLE) / count(*), 9) AS loss, count(*) AS n_batches,
+       CAST(sum(n) AS BIGINT) AS n_positions FROM pb""")
+ORACLES["run_config_overrides"] = with_base(f"""
+d AS ({_dvals}),
+sk AS (SELECT event_id, unnest(['max_len', 'freeze_encoder', 'encoder']) AS key,
+              unnest([CASE WHEN user_id % 2 = 0 THEN CAST(64 + user_id % 64 AS VARCHAR) END, CAST(value > 50 AS VARCHAR), event_type]) AS sv
+       FROM events WHERE user_id % 5 <> 0)
+SELECT e.event_id, d.key, coalesce(sk.sv, d.dv) AS value FROM events e CROSS JOIN d LEFT JOIN sk ON sk.event_id = e.event_id AND sk.key = d.key
+UNION ALL SELECT event_id, key, sv FROM sk WHERE key NOT IN (SELECT key FROM d)""")

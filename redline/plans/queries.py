@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from redline.functions import prompts
 from redline.functions.text import norm_text, py_strip, seeded_hash, tokens
 from redline.operators import corpus, edits, encode, metrics, runs, scoring, split, tagger, vocab
-from redline.operators.align import lcs_length
-from redline.plans.session import checkpoint_dir, cut_lineage
+from redline.operators.align import alignment, balanced, lcs_length
+from redline.plans import jobs
+from redline.plans.session import cut_lineage, scratch_path
 from redline.sources import fixtures
 from redline.sources import pairs as pair_io
 
@@ -141,7 +142,9 @@ def train_edits(spark, sf_dir, materialize: bool = False):
 
 
 def q_align_pairs(spark, sf_dir):
-    x = labelled_corpus(spark, sf_dir)
+    """E2 on pairs dealt out by their cost (words x words)."""
+    c = clean_corpus(spark, sf_dir).select("pair_id", tokens("incorrect").alias("src_tok"), tokens("correct").alias("tgt_tok"))
+    x = balanced(c).select("pair_id", alignment("src_tok", "tgt_tok").alias("alignment"))
     return x.select("pair_id", edits.alignment_text("alignment").alias("alignment"),
                     F.size("alignment").cast("bigint").alias("n_matches"))
 
@@ -187,7 +190,10 @@ def fitted_tagger(spark, sf_dir):
 
 
 def q_tagger_fit(spark, sf_dir):
-    m = fitted_tagger(spark, sf_dir)
+    return _levels(fitted_tagger(spark, sf_dir))
+
+
+def _levels(m):
     tri = m.tri.select(F.lit("tri").alias("level"), "lang", "prev", "word", "next",
                        F.col("tri_id").alias("label_id"), F.col("tri_n").alias("n_ctx"))
     bi = m.bi.select(F.lit("bi").alias("level"), "lang", "prev", "word", F.lit(None).cast("string").alias("next"),
@@ -312,8 +318,10 @@ def q_token_vocab(spark, sf_dir):
 def q_encode_seq2seq(spark, sf_dir):
     t = _train_tok(spark, sf_dir)
     texts = t.select(F.concat("src_tok", "tgt_tok").alias("tok"))
-    v = encode.token_vocab(texts)
-    x = encode.token_ids(t, v, {"src_tok": "src_ids", "tgt_tok": "tgt_ids"})
+    v = cut_lineage(encode.token_vocab(texts), "token-vocab")
+    # words beyond the frame get no id: they are cut off before the lookup, not after it
+    seen = t.select("pair_id", *[F.slice(c, 1, encode.MAX_LEN - 2).alias(c) for c in ("src_tok", "tgt_tok")])
+    x = encode.token_ids(seen, v, {"src_tok": "src_ids", "tgt_tok": "tgt_ids"})
     src = encode.frame(F.col("src_ids"))
     tgt = encode.frame(F.col("tgt_ids"))
     tgt_in, tgt_out = encode.shift(tgt)
@@ -390,8 +398,7 @@ def q_run_config(spark, sf_dir):
 def q_csv_roundtrip(spark, sf_dir):
     """S4 then S3: write the clean corpus as CSV (split folders) into the shared
     checkpoint folder and read it back with pandas NA semantics."""
-    import uuid
-    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-roundtrip-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "csv-roundtrip")
     pair_io.write_splits(split_corpus(spark, sf_dir), path, fmt="csv")
     back = pair_io.read_pairs_csv(spark, path)
     return back.select("pair_id", "incorrect", "correct", "transformation", "lang")
@@ -412,7 +419,160 @@ def q_report_rounded(spark, sf_dir):
     return metrics.round4(metrics.f05_lcs(_identity_all(spark, sf_dir), total_row=True))
 
 
+# ---------------------------------------------------------------- stores and plug points
+
+def q_raw_build(spark, sf_dir):
+    """S1 + S2: the raw sets are written as one split folder (English) and as two
+    (multilingual), read back in one read each, and built into the clean corpus."""
+    p = pairs(spark, sf_dir)
+    root = scratch_path(spark, "raw-sets")
+    fixtures.raw_english(p).write.parquet(f"{root}/english/train")
+    multi = fixtures.raw_multilingual(p).withColumn("part", F.when(F.col("pair_id") % 4 == 0, "test").otherwise("train"))
+    multi.write.partitionBy("part").parquet(f"{root}/multilingual")
+    en = pair_io.read_raw(spark, f"{root}/english/train")
+    rest = pair_io.read_raw(spark, [f"{root}/multilingual/part=train", f"{root}/multilingual/part=test"])
+    return corpus.build_corpus(en, rest, "es")
+
+
+def q_csv_mixed_layouts(spark, sf_dir):
+    """S3 over a folder whose files have their columns in three orders, one without ``pair_id``."""
+    path = scratch_path(spark, "csv-mixed")
+    c = cut_lineage(clean_corpus(spark, sf_dir), "csv-mixed-rows")
+    layouts = (["pair_id", "incorrect", "correct", "transformation", "lang"], ["lang", "transformation", "correct", "incorrect", "pair_id"],
+               ["incorrect", "correct", "transformation", "lang"])
+    for i, names in enumerate(layouts):
+        part = c.where(F.col("pair_id") % 3 == i).select(*names, F.lit(f"layout-{i}").alias("part"))
+        pair_io.write_splits(part, path, fmt="csv", partition_by=("part",), mode="append")
+    return pair_io.read_pairs_csv(spark, path).select("pair_id", "incorrect", "correct", "transformation", "lang")
+
+
+def q_label_vocab_by_lang(spark, sf_dir):
+    """S6 + A4: a vocabulary per language in one job."""
+    return vocab.label_vocab_by(train_edits(spark, sf_dir), "lang", LANG_TOP_K)
+
+
+LANG_TOP_K = 500
+
+
+def q_tagger_fit_by_lang(spark, sf_dir):
+    """A tagger per language, each with its own label ids, in one fit."""
+    train = split_corpus(spark, sf_dir).where(F.col("split") == "train")
+    labelled = cut_lineage(edits.with_labels(train).select("pair_id", "lang", "src_tok", "labels"))
+    v = vocab.label_vocab_by(edits.edit_table(labelled), "lang", LANG_TOP_K, materialize=False)
+    return _levels(tagger.fit(labelled, v))
+
+
+def q_vocab_store(spark, sf_dir):
+    """A vocabulary is saved, reused where its parameters match, and rebuilt and
+    saved as the next version where they don't."""
+    path = scratch_path(spark, "vocab-store")
+    counts = cut_lineage(vocab.label_counts(train_edits(spark, sf_dir)), "store-counts")
+    out = None
+    for top_k in (vocab.TOP_K, vocab.TOP_K, SMALL_TOP_K):
+        stored = pair_io.load_vocab(spark, path, None, top_k)
+        used = "stored"
+        if stored is None:
+            used = "built"
+            pair_io.save_vocab(vocab.label_vocab(counts, top_k, materialize=False), path, None, top_k)
+            stored = pair_io.load_vocab(spark, path, None, top_k)
+        part = stored.withColumn("used", F.lit(used)).withColumn("top_k", F.lit(top_k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+SMALL_TOP_K = 50
+PROMPT_BATCH = 4
+
+
+def _shouting():
+    """A corrector of whole batches that fails on any batch holding a text whose
+    length divides by 7."""
+    def fn(batch):
+        if len(batch) > PROMPT_BATCH or any(len(s) % 7 == 0 for s in batch):
+            raise ValueError("a text of this length")
+        return [s.upper() for s in batch]
+    return fn
+
+
+def q_corrector_batched(spark, sf_dir):
+    """M1 in fixed batches of 4: a failing batch is repeated row by row, and only
+    the rows that fail are flagged."""
+    test = split_corpus(spark, sf_dir).where(F.col("split") == "test").select("pair_id", F.col("incorrect").alias("source"))
+    out = scoring.apply_corrector(test, _shouting, batched=True, batch_size=PROMPT_BATCH)
+    return out.select("pair_id", "prediction", "had_error")
+
+
+def _echo():
+    def fn(batch):
+        return [f"{p} Corrected: {p.split('Sentence: ')[-1].removesuffix('Corrected: [/INST]').removesuffix('Corrected:').strip()[::-1]}" for p in batch]
+    return fn
+
+
+def q_prompt_replies(spark, sf_dir):
+    """M6: prompts, a deterministic generator (the sentence backwards) and cleaned
+    replies, kept by pair; the second run finds every reply and sends no prompt."""
+    out = scratch_path(spark, "replies")
+    r = cut_lineage(ranked_noop(spark, sf_dir), "ranked")
+    jobs.resumable_prompt_job(r, _echo, out, batch_size=PROMPT_BATCH, slices=4)
+    return jobs.resumable_prompt_job(r, _echo, out, batch_size=PROMPT_BATCH, slices=4).select("pair_id", "lang", "prediction", "had_error")
+
+
+TAG_WORDS = 8
+
+
+def q_tagger_tag_visible(spark, sf_dir):
+    """Only the first words are labelled, the others keep themselves."""
+    t = tagger.tag(_test_text(spark, sf_dir), fitted_tagger(spark, sf_dir), max_words=TAG_WORDS)
+    return t.select("pair_id", F.array_join("labels", " ").alias("labels"))
+
+
+def _split_words(spark, sf_dir):
+    """Training pairs with label ids, cut into tokens of up to four characters."""
+    e = train_edits(spark, sf_dir, materialize=True)
+    v = vocab.label_vocab(vocab.label_counts(e))
+    ids = vocab.label_ids(e, v).groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("pos", "label_id", "token"))).alias("_p"))
+    n = F.transform("_p", lambda x: F.ceil(F.length(x["token"]) / 4).cast("int"))
+    return ids.select("pair_id", F.transform("_p", lambda x: x["label_id"]).alias("lids"), encode.split_word_ids(n).alias("wids"))
+
+
+def q_encode_split_words(spark, sf_dir):
+    """W7 + F15: several tokens a word; only a word's first carries its label."""
+    x = _split_words(spark, sf_dir)
+    return x.select("pair_id", _ints(encode.tag_labels(F.col("wids"), F.col("lids"))).alias("labels"),
+                    _ints(F.transform("wids", lambda w: F.coalesce(w, F.lit(-1)))).alias("word_ids"))
+
+
+def q_masked_loss(spark, sf_dir):
+    """A10: loss over label arrays masked with -100, by batches of 16 in pair order;
+    losses are derived from the label ids."""
+    x = _split_words(spark, sf_dir).select("pair_id", encode.tag_labels(F.col("wids"), F.col("lids")).alias("labels"))
+    x = x.withColumn("losses", F.transform("labels", lambda l, i: (F.pmod(l * 7 + i, F.lit(64)) / 8.0)))
+    b = split.minibatches(x.select("pair_id"), 16, shuffle=False).select("pair_id", "batch")
+    return runs.masked_array_loss(x.join(b, "pair_id"))
+
+
+def q_run_config_overrides(spark, sf_dir):
+    """Stored values that override defaults, derived from the events' columns."""
+    ev = fixtures.read_table(spark, sf_dir, "events")
+    none = F.lit(None).cast("string")
+    stored = F.create_map(F.lit("max_len"), F.when(F.col("user_id") % 2 == 0, (64 + F.col("user_id") % 64).cast("string")).otherwise(none),
+                          F.lit("freeze_encoder"), (F.col("value") > 50).cast("string"), F.lit("encoder"), F.col("event_type"))
+    stored = F.when(F.col("user_id") % 5 != 0, stored)
+    return ev.select("event_id", F.explode(runs.merged_config(stored)).alias("key", "value"))
+
+
 QUERIES = {
+    "raw_build": q_raw_build,
+    "csv_mixed_layouts": q_csv_mixed_layouts,
+    "label_vocab_by_lang": q_label_vocab_by_lang,
+    "tagger_fit_by_lang": q_tagger_fit_by_lang,
+    "vocab_store": q_vocab_store,
+    "corrector_batched": q_corrector_batched,
+    "prompt_replies": q_prompt_replies,
+    "tagger_tag_visible": q_tagger_tag_visible,
+    "encode_split_words": q_encode_split_words,
+    "masked_loss": q_masked_loss,
+    "run_config_overrides": q_run_config_overrides,
     "gec_pairs": q_gec_pairs,
     "corpus_clean": q_corpus_clean,
     "corpus_noop_filtered": q_corpus_noop_filtered,

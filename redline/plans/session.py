@@ -107,8 +107,19 @@ def cut_lineage(df: DataFrame, name: str = "table", partition_by=()) -> DataFram
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").partitionBy(*partition_by).parquet(path)
+    record_path(spark, path)
+    return spark.read.schema(df.schema).parquet(path)      # a partitioned empty table has no file to read it from
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder that ``drop_tables`` removes."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    record_path(spark, path)
+    return path
+
+
+def record_path(spark: SparkSession, path: str) -> None:
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.parquet(path)
 
 
 _WRITTEN: dict = {}
