@@ -528,7 +528,7 @@ tiny AS (SELECT label, label_id, freq FROM vocab WHERE label_id < 2 UNION ALL
 SELECT label, CAST(label_id AS INTEGER) AS label_id, freq, unnest(['built', 'stored']) AS used, 5000 AS top_k FROM vocab
 UNION ALL SELECT label, CAST(label_id AS INTEGER), freq, 'built', 50 FROM tiny""")
 ORACLES["corrector_batched"] = with_base("""x AS (SELECT 1)
-SELECT pair_id, CASE WHEN length(incorrect) % 7 = 0 THEN incorrect ELSE upper(incorrect) END AS prediction, length(incorrect) % 7 = 0 AS had_error
+SELECT pair_id, CASE WHEN length(incorrect) % 7 = 0 THEN incorrect ELSE incorrect || '!' END AS prediction, length(incorrect) % 7 = 0 AS had_error
 FROM splitted WHERE split = 'test'""")
 _reply_steps = []
 for _i, _p in enumerate(_prefixes):

@@ -484,13 +484,13 @@ SMALL_TOP_K = 50
 PROMPT_BATCH = 4
 
 
-def _shouting():
+def _exclaiming():
     """A corrector of whole batches that fails on any batch holding a text whose
     length divides by 7."""
     def fn(batch):
         if len(batch) > PROMPT_BATCH or any(len(s) % 7 == 0 for s in batch):
             raise ValueError("a text of this length")
-        return [s.upper() for s in batch]
+        return [s + "!" for s in batch]
     return fn
 
 
@@ -498,7 +498,7 @@ def q_corrector_batched(spark, sf_dir):
     """M1 in fixed batches of 4: a failing batch is repeated row by row, and only
     the rows that fail are flagged."""
     test = split_corpus(spark, sf_dir).where(F.col("split") == "test").select("pair_id", F.col("incorrect").alias("source"))
-    out = scoring.apply_corrector(test, _shouting, batched=True, batch_size=PROMPT_BATCH)
+    out = scoring.apply_corrector(test, _exclaiming, batched=True, batch_size=PROMPT_BATCH)
     return out.select("pair_id", "prediction", "had_error")
 
 
