@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,8 @@ from redline.llm.bpe import _join, _planes, _split, _values, tokenizer
 from redline.llm.common import binary_parts, bounded, id_back, id_key, longs, ranges
 
 BLOCK, END_ID = 4 << 20, 2
-RULES_PER_ROUND, MIN_COUNT = 768, 16
-UNITS = 400_000                        # units remembered by a task, checked once a block
+RULES_PER_ROUND, MIN_COUNT = 4096, 16
+WORDS = 600_000                        # words remembered by a worker, checked once a block
 FILE_SCHEMA = "shard int, block int, first_id long, n_docs int, n_tokens long, payload binary"
 
 
@@ -47,67 +47,89 @@ _MARKS = r"([^\s\p{L}\p{N}]+|\p{N})"
 WORD_END = "</w>"
 
 
+class _Table:
+    """Ids of strings, numbered as they come."""
+
+    def __init__(self):
+        self.keys = pa.array([], pa.string())
+        self.ids, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def numbers(self, strings: pa.Array, learn: Callable[[pa.Array], None]) -> np.ndarray:
+        """Numbers of distinct strings; ``learn`` adds the unknown ones, in their order."""
+        number = pc.index_in(strings, value_set=self.keys).fill_null(-1).to_numpy().astype(np.int64)
+        unknown = number < 0
+        if unknown.any():
+            number[unknown] = len(self.keys) + np.arange(int(unknown.sum()))
+            learn(strings.filter(pa.array(unknown)))
+        return number
+
+    def add(self, strings: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
+        self.keys = pa.concat_arrays([self.keys, strings])
+        self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids per string) of strings by number."""
+        size = self.size[numbers]
+        return self.ids[ranges((np.cumsum(self.size) - self.size)[numbers], size)], size
+
+
 class WordIds:
-    """Ids of texts by their units, each encoded once while it is remembered. Plain
-    texts are cut into the vocabulary's own units (words, runs of marks, digits), and new
-    units are encoded many at a time, space-joined: each ends with its one word-end id.
-    Other texts are cut at spaces, which never join words in this vocabulary."""
+    """Ids of texts by their words, each encoded once while it is remembered. Plain texts are
+    cut at blanks, and only words not yet known are cut further, into the vocabulary's own
+    units (words, runs of marks, digits); new units are encoded many at a time,
+    space-joined: each ends with its one word-end id. Other texts are cut at spaces, which
+    never join words in this vocabulary, and their words are encoded whole."""
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
         self.ends = np.zeros(first_symbol(path), bool)
         for token, i in self.tok.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith(WORD_END)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids, self.size = [], []                          # of the units, in order of ``at``
-
-    def _whole(self, units: list[str]) -> None:
-        got = [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
-        self.size.append(np.array([len(x) for x in got], np.int64))
-        self.ids.append(np.array([i for x in got for i in x], np.int32))
-
-    def _learn(self, units: list[str], single: bool) -> None:
-        for u in units:
-            self.at[u] = len(self.at)
-        step = 64 if single else 1024
-        for i in range(0, len(units), step):
-            some = units[i:i + step]
-            if not single:
-                self._whole(some)
-                continue
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some) or (len(ends) and ends[-1] != len(ids)):
-                self._whole(some)
-                continue
-            self.ids.append(ids)
-            self.size.append(np.diff(np.r_[0, ends]))
-
-    def _units(self, texts: pa.Array, plain: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(unit numbers, units per text)."""
-        if plain:
-            cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), pattern=_MARKS, replacement=r" \1 "))
-        else:
-            cut = pc.split_pattern(texts, " ")
+        self.words, self.units = _Table(), _Table()
+
+    def _whole(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)]
+        return np.array([i for x in got for i in x], np.int32), np.array([len(x) for x in got], np.int64)
+
+    def _learn_units(self, new: pa.Array) -> None:
+        units, ids, size = new.to_pylist(), [], []
+        for i in range(0, len(units), 64):
+            some = units[i:i + 64]
+            got = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+            ends = np.flatnonzero(self.ends[got]) + 1
+            if "" in some or len(ends) != len(some) or ends[-1] != len(got):
+                got, length = self._whole(some)
+            else:
+                length = np.diff(np.r_[0, ends])
+            ids.append(got)
+            size.append(length)
+        self.units.add(new, np.concatenate(ids), np.concatenate(size))
+
+    def _learn_words(self, new: pa.Array, plain: bool) -> None:
+        if not plain:
+            self.words.add(new, *self._whole(new.to_pylist()))
+            return
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(new, pattern=_MARKS, replacement=r" \1 "))
         units = cut.flatten().dictionary_encode()
-        here = units.dictionary.to_pylist()
-        known = self.at
-        self._learn([u for u in here if u and u not in known], plain)
-        if "" not in known:
-            self._learn([""], False)
-        number = np.fromiter(map(known.__getitem__, here), np.int64, len(here))
-        codes = units.indices.to_numpy().astype(np.int64)
-        return (number[codes] if len(here) else codes), np.diff(cut.offsets.to_numpy()).astype(np.int64)
+        number = self.units.numbers(units.dictionary, self._learn_units)
+        ids, size = self.units.of(number[units.indices.to_numpy().astype(np.int64)])
+        upto = np.r_[0, np.cumsum(size)][cut.offsets.to_numpy().astype(np.int64)]
+        self.words.add(new, ids, np.diff(upto))
+
+    def _numbers(self, texts: pa.Array, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers, words per text)."""
+        cut = pc.ascii_split_whitespace(pc.utf8_lower(texts)) if plain else pc.split_pattern(texts, " ")
+        words = cut.flatten().dictionary_encode()
+        number = self.words.numbers(words.dictionary, lambda new: self._learn_words(new, plain))
+        codes = words.indices.to_numpy().astype(np.int64)
+        return (number[codes] if len(number) else codes), np.diff(cut.offsets.to_numpy()).astype(np.int64)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, end id after each text; tokens per text)."""
-        if len(self.at) > UNITS:
-            self._forget()
+        if len(self.words.keys) > WORDS:
+            self.words, self.units = _Table(), _Table()
         other = pc.match_substring_regex(texts, pattern=_NOT_PLAIN)
-        plain, odd = self._units(texts.filter(pc.invert(other)), True), self._units(texts.filter(other), False)
+        plain, odd = self._numbers(texts.filter(pc.invert(other)), True), self._numbers(texts.filter(other), False)
         mask = other.to_numpy(zero_copy_only=False)
         flat = np.concatenate([plain[0], odd[0]])
         per = np.empty(len(texts), np.int64)
@@ -115,19 +137,24 @@ class WordIds:
         start = np.empty(len(texts), np.int64)
         start[~mask] = np.cumsum(plain[1]) - plain[1]
         start[mask] = len(plain[0]) + np.cumsum(odd[1]) - odd[1]
-        last = len(self.at)                                   # the end id, as a unit of its own
-        size = np.concatenate([*self.size, [1]])
-        ids = np.concatenate([*self.ids, np.array([end_id], np.int32)])
-        self.size, self.ids = [size[:-1]], [ids[:-1]]
-        order = np.full(int(per.sum()) + len(per), last, np.int64)
-        inner = np.ones(len(order), bool)
-        ends = np.cumsum(per + 1) - 1
-        inner[ends] = False
-        order[inner] = flat[ranges(start, per)]
-        first = np.cumsum(size) - size
-        length = size[order]
-        count = np.diff(np.r_[0, np.cumsum(length)[ends]])
-        return ids[ranges(first[order], length)], count
+        words, size = self.words.of(flat[ranges(start, per)])
+        # the end id goes after each text's ids
+        count = np.diff(np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(per)]]) + 1
+        ids = np.full(int(count.sum()), end_id, np.int32)
+        inner = np.ones(len(ids), bool)
+        inner[np.cumsum(count) - 1] = False
+        ids[inner] = words
+        return ids, count
+
+
+_WORD_IDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One table a Python worker: it serves all of the worker's tasks."""
+    if path not in _WORD_IDS:
+        _WORD_IDS[path] = WordIds(path)
+    return _WORD_IDS[path]
 
 
 def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -221,6 +248,10 @@ class Block:
         self.first_symbol = first_symbol
         self.start = np.r_[0, np.cumsum(self.symbols_of)]
 
+    def whole(self) -> np.ndarray:
+        """Ids of all documents, one after the other."""
+        return expand(self.s, self.left, self.right, self.first_symbol)
+
     def document(self, i: int) -> np.ndarray:
         return expand(self.s[self.start[i]:self.start[i + 1]], self.left, self.right, self.first_symbol)
 
@@ -246,7 +277,7 @@ def write(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text_col
     ordered = src.repartitionByRange("doc").sortWithinPartitions("doc", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, base, shard = WordIds(path), first_symbol(path), TaskContext.get().partitionId()
+        words, base, shard = word_ids(path), first_symbol(path), TaskContext.get().partitionId()
         for block, b in enumerate(bounded(batches, "text", BLOCK)):
             doc = longs(b.column("doc"))
             ids, count = words.encode(b.column("text"), end_id)
@@ -270,10 +301,11 @@ def read_documents(spark: SparkSession, out: str, path: str) -> DataFrame:
             for shard, number, payload in zip(*(b.column(c).to_pylist() for c in ("shard", "block", "payload")), strict=True):
                 block = Block(payload, base)
                 n = len(block.doc_ids)
-                crc, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
-                for i in range(n):
-                    ids = block.document(i).astype("<u4")
-                    crc[i], size[i] = zlib.crc32(ids.tobytes()), len(ids)
+                raw, size = block.whole().astype("<u4").tobytes(), block.tokens_of.astype(np.int64)
+                edge = (4 * np.r_[0, np.cumsum(size)]).tolist()
+                if edge[-1] != len(raw):
+                    raise ValueError(f"shard {shard}, block {number}: {edge[-1]} bytes of ids recorded, {len(raw)} decoded")
+                crc = np.array([zlib.crc32(raw[a:z]) for a, z in zip(edge[:-1], edge[1:], strict=True)], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, number, np.int32)), pa.array(block.doc_ids),
                      pa.array(np.cumsum(size) - size), pa.array(size), pa.array(crc)],
