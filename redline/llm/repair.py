@@ -35,7 +35,7 @@ from redline.llm.common import binary_parts, bounded, id_back, id_key, longs, ra
 
 BLOCK, END_ID = 4 << 20, 2
 RULES_PER_ROUND, MIN_COUNT = 4096, 16
-WORDS = 600_000                        # words remembered by a worker, checked once a block
+WORDS = 1_500_000                       # words remembered by a worker, checked once a block
 FILE_SCHEMA = "shard int, block int, first_id long, n_docs int, n_tokens long, payload binary"
 
 
@@ -47,20 +47,63 @@ _MARKS = r"([^\s\p{L}\p{N}]+|\p{N})"
 WORD_END = "</w>"
 
 
+#: A value for each byte, and an odd base with its inverse modulo 2^64.
+_BYTE = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_POWER: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's first powers, and their inverses; at least n of each."""
+    size = 1 << max(16, int(n).bit_length())
+    if not _POWER or size > max(_POWER):
+        made = []
+        for x in (_BASE, pow(_BASE, -1, 2**64)):
+            p = np.full(size, x, np.uint64)
+            p[0] = 1
+            made.append(np.multiply.accumulate(p))
+        _POWER.clear()
+        _POWER[size] = made[0], made[1]
+    return _POWER[max(_POWER)]
+
+
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """A 64-bit polynomial hash of each string, all at once."""
+    raw, off = binary_parts(strings)
+    power, inverse = _powers(len(raw) + 1)
+    upto = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * power[:len(raw)], out=upto[1:])
+    return (upto[off[1:]] - upto[off[:-1]]) * inverse[off[:-1]] + np.diff(off).astype(np.uint64)
+
+
 class _Table:
-    """Ids of strings, numbered as they come."""
+    """Ids of strings, numbered as they come. Strings are looked up by hash, in a sorted
+    array, and compared."""
 
     def __init__(self):
         self.keys = pa.array([], pa.string())
+        self.hash, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def numbers(self, strings: pa.Array, learn: Callable[[pa.Array], None]) -> np.ndarray:
         """Numbers of distinct strings; ``learn`` adds the unknown ones, in their order."""
-        number = pc.index_in(strings, value_set=self.keys).fill_null(-1).to_numpy().astype(np.int64)
-        unknown = number < 0
-        if unknown.any():
-            number[unknown] = len(self.keys) + np.arange(int(unknown.sum()))
-            learn(strings.filter(pa.array(unknown)))
+        h = string_hashes(strings)
+        order = np.argsort(h)
+        place = np.searchsorted(self.hash, h[order])
+        hit = place < len(self.hash)
+        hit[hit] = self.hash[place[hit]] == h[order][hit]
+        number = np.full(len(h), -1, np.int64)
+        number[order[hit]] = self.at[place[hit]]
+        known = np.flatnonzero(number >= 0)
+        same = pc.equal(strings.take(pa.array(known)), self.keys.take(pa.array(number[known])))
+        number[known[~same.to_numpy(zero_copy_only=False).astype(bool)]] = -1
+        new = order[number[order] < 0]
+        if len(new):
+            in_order = np.sort(new)
+            number[in_order] = len(self.keys) + np.arange(len(in_order))
+            where = np.searchsorted(self.hash, h[new])
+            self.hash, self.at = np.insert(self.hash, where, h[new]), np.insert(self.at, where, number[new])
+            learn(strings.take(pa.array(in_order)))
         return number
 
     def add(self, strings: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
@@ -237,6 +280,14 @@ def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, first_symbo
         s = out
 
 
+def expand_all(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, length: np.ndarray, first_symbol: int) -> np.ndarray:
+    """``expand`` of many symbols: each rule is expanded once, then copied."""
+    rules = expand(first_symbol + np.arange(len(left)), left, right, first_symbol).astype(np.int32)
+    table = np.concatenate([np.arange(first_symbol, dtype=np.int32), rules])
+    size = np.concatenate([np.ones(first_symbol, np.int64), length.astype(np.int64)])
+    return table[ranges((np.cumsum(size) - size)[symbols], size[symbols])]
+
+
 class Block:
     """One stored block, open for random access."""
 
@@ -250,7 +301,7 @@ class Block:
 
     def whole(self) -> np.ndarray:
         """Ids of all documents, one after the other."""
-        return expand(self.s, self.left, self.right, self.first_symbol)
+        return expand_all(self.s, self.left, self.right, self.length, self.first_symbol)
 
     def document(self, i: int) -> np.ndarray:
         return expand(self.s[self.start[i]:self.start[i + 1]], self.left, self.right, self.first_symbol)

@@ -296,9 +296,27 @@ def test_repair_grammar_random_access():
     block, at = repair.Block(payload, 100), np.r_[0, np.cumsum(count)]
     for i in range(5):
         assert (block.document(i) == ids[at[i]:at[i + 1]]).all()
+    assert (block.whole() == ids).all()
     assert (block.tokens(3, 700, 790) == ids[51 + 700:51 + 790]).all()
 
 
+def test_repair_word_table(monkeypatch):
+    """Strings are told apart although their hashes agree."""
+    import pyarrow as pa
+    words = ["", "a", "b", "ab", "ba", "aé", "éa", "a" * 70000, *(f"w{i}" for i in range(500))]
+    assert len(set(repair.string_hashes(pa.array(words)).tolist())) == len(words)
+    for weak in (False, True):
+        if weak:
+            monkeypatch.setattr(repair, "string_hashes", lambda a: np.array([len(x) % 3 for x in a.to_pylist()], np.uint64))
+        table = repair._Table()
+
+        def learn(new, table=table):
+            table.add(new, np.array([words.index(x) for x in new.to_pylist()], np.int32), np.ones(len(new), np.int64))
+        for part in (words[:9], words[4:200], words[::-1]):
+            ids, size = table.of(table.numbers(pa.array(part), learn))
+            assert ids.tolist() == [words.index(x) for x in part] and (size == 1).all()
+
+
 def test_repair_leaves_no_frequent_pair():
     rng = np.random.default_rng(5)
     words = [rng.integers(0, 90, 64) for _ in range(12)]
