@@ -141,9 +141,15 @@ MAX_BROADCAST_GROUPS = 1 << 20   # thresholds (one row a group) are broadcast up
 def below_threshold(df: DataFrame, n: int, seed: int = SEED, group: str = "lang", key: str = "pair_id",
                     bits: int = SAMPLE_BITS) -> DataFrame:
     """The rows of each group that can be among its first ``n`` in hash order, with
-    their hash ``_h``: ``n`` rows and at most one hash bucket more. The counts that
-    give the threshold are made here and now (one row a group is stored)."""
-    x = df.withColumn("_h", seeded_hash(seed, key)).withColumn("_b", F.shiftright("_h", 32 - bits).cast("int"))
+    their hash ``_h``: ``n`` rows and at most one hash bucket more.
+
+    ``df`` is read once: each task keeps its own first ``n`` rows a group (a partial
+    group limit before the shuffle), and these are stored. Their counts by group and
+    bucket give the threshold."""
+    x = df.withColumn("_h", seeded_hash(seed, key)).withColumn("_task", F.spark_partition_id())
+    own = Window.partitionBy(group, "_task").orderBy("_h", key)
+    x = x.withColumn("_rn", F.row_number().over(own)).where(F.col("_rn") <= n).drop("_rn", "_task")
+    x = cut_lineage(x, "sample-candidates").withColumn("_b", F.shiftright("_h", 32 - bits).cast("int"))
     counts = x.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     kept = counts.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).where(F.col("_before") < n)
@@ -157,11 +163,11 @@ def sample_per_group(df: DataFrame, n: int | None, seed: int = SEED,
                      group: str = "lang", key: str = "pair_id", bits: int = SAMPLE_BITS) -> DataFrame:
     """Seeded sample of at most ``n`` rows per group, without replacement.
 
-    Threshold selection: rows are counted by group and the first ``bits`` bits of
-    their hash (summed map-side, at most ``2**bits`` rows a group), the counts say in
-    which bucket a group's ``n``-th row lies, and rows beyond it are dropped
-    where they are scanned. Only what is left is ranked, so no task sees much more
-    than ``n`` rows a group, however many rows or tasks a group has.
+    Threshold selection: every task's first ``n`` rows a group are counted by group
+    and the first ``bits`` bits of their hash (summed map-side, at most ``2**bits``
+    rows a group), the counts say in which bucket a group's ``n``-th row lies, and
+    rows beyond it are dropped where they are read. Only what is left is ranked, so no task
+    sees much more than ``n`` rows a group, however many rows or tasks a group has.
     ``n=None`` keeps all rows; rows of a null group are one group.
     """
     if n is None:

@@ -77,14 +77,17 @@ class TaggerModel:
         """Per level the contexts that hold ``skew.SHARE`` of the training words or
         more (bounded), with their decisive id or null; memoised."""
         if self._heavy is None:
-            heavy = {}
+            none, every = F.lit(None).cast("string"), None
             for name, keys in LEVELS.items():
                 key = ["lang", *keys]
-                hot = heavy_keys(self.tables()[name], f"{name}_n").select(*key)
-                heavy[name] = hot.join(self.tag_tables()[name], key, "left")
-                if self.materialize:
-                    heavy[name] = cut_lineage(heavy[name], f"tagger-heavy-{name}")
-            self._heavy = heavy
+                hot = heavy_keys(self.tables()[name], f"{name}_n").select(*key).join(self.tag_tables()[name], key, "left")
+                hot = hot.select(F.lit(name).alias("level"), "lang", *[F.col(k) if k in keys else none.alias(k) for k in LEVELS["tri"]],
+                                 F.col(f"{name}_id").alias("label_id"))
+                every = hot if every is None else every.unionByName(hot)
+            if self.materialize:
+                every = cut_lineage(every, "tagger-heavy")
+            self._heavy = {name: every.where(F.col("level") == name).select("lang", *keys, F.col("label_id").alias(f"{name}_id"))
+                           for name, keys in LEVELS.items()}
         return self._heavy
 
     def partitioned(self) -> "TaggerModel":
