@@ -52,7 +52,7 @@ STAGES = [
     ("BPE encoding and decoding", bpe_encode_decode),
 ]
 
-#: The classifier and the tokenizer have no SQL form; tests compare with brute force.
+#: The classifier and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
