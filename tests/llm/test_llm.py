@@ -372,9 +372,8 @@ def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, item)], "item_id long, text string")
     k = decontaminate.budget(len(item))
     want = {i: _distance(item, decontaminate.normalise(t)) for i, t, _ in rows}
-    for block in (10, 1 << 20):
-        got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.matches(df, items, block=block).collect()}
-        assert got == {(i, j): d for i, d in want.items() if d <= k for j in (1, 4)}
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.matches(df, items).collect()}
+    assert got == {(i, j): d for i, d in want.items() if d <= k for j in (1, 4)}
     clean = decontaminate.clean(df, items)
     assert clean.columns == df.columns and {r["doc_id"] for r in clean.collect()} == {i for i, d in want.items() if d > k}
     assert decontaminate.matches(empty, items).count() == 0 and decontaminate.matches(docs, items.limit(0)).count() == 0
@@ -382,6 +381,75 @@ def test_decontamination(spark, docs, empty):
         assert decontaminate.myers(a, b)[0] == _distance(a, b)
 
 
+def _edited(rng, text, edits):
+    out = list(text)
+    for _ in range(edits):
+        at = int(rng.integers(0, len(out)))
+        kind = rng.integers(0, 3)
+        if kind == 0:
+            out[at] = "#"
+        elif kind == 1:
+            out.insert(at, "#")
+        elif len(out) > 1:
+            del out[at]
+    return "".join(out)
+
+
+def test_decontamination_short_items_have_their_whole_budget(spark):
+    """Items of 1 to 130 characters with up to k + 2 edits, against plain edit distance."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdeéñ"), rng.integers(2, 8))) for _ in range(60)]
+    sizes = [1, 2, 5, 9, 12, 19, *range(20, 84, 3), 100, 130]
+    items = [(i, " ".join(rng.choice(words, 40))[:n].strip()) for i, n in enumerate(sizes)]
+    docs = []
+    for i, text in items:
+        k = decontaminate.budget(len(text))
+        assert k == len(text) // 20
+        for edits in range(k + 3):
+            before, after = " ".join(rng.choice(words, 8)), " ".join(rng.choice(words, 8))
+            docs.append((len(docs), f"{before} ({_edited(rng, text, edits)}) {after}", i))
+    docs += [(len(docs) + j, t, -1) for j, t in enumerate([None, "", " \n ", items[3][1] + "x", "y" + items[3][1], items[-1][1]])]
+    df = spark.createDataFrame(docs, "doc_id long, text string, row long").repartition(4)
+    known = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["start"], r["end"]) for r in decontaminate.matches(df, known).collect()}
+    want = {}
+    for d, text, _ in docs:
+        norm = decontaminate.normalise(text)
+        for i, raw in items:
+            item = decontaminate.normalise(raw)
+            k = len(item) // 20
+            if k == 0:
+                if re.search(rf"(?<![^\W_]){re.escape(item)}(?![^\W_])", norm):
+                    want[d, i] = 0
+            elif (distance := _distance(item, norm)) <= k:
+                want[d, i] = distance
+    assert {key: v[0] for key, v in got.items()} == want and len(want) > len(items)
+    for (d, i), (distance, a, z) in got.items():
+        assert _distance(items[i][1], decontaminate.normalise(docs[d][1])[a:z]) == distance
+    clean = decontaminate.clean(df, known)
+    assert clean.columns == df.columns
+    assert {r["doc_id"] for r in clean.collect()} == {d for d, _, _ in docs} - {d for d, _ in want}
+
+
+def test_decontamination_grams():
+    rng = np.random.default_rng(12)
+    text = "".join(rng.choice(list("abé"), 400))
+    for size in decontaminate.SIZES:
+        h = decontaminate.grams(decontaminate._codes(text), size)
+        by = defaultdict(set)
+        for i, g in enumerate(h.tolist()):
+            by[text[i:i + size]].add(g)
+        assert len(h) == 401 - size and all(len(v) == 1 for v in by.values()) and len(set.union(*by.values())) == len(by)
+        assert len(decontaminate.grams(decontaminate._codes("ab"), size)) == max(0, 3 - size)
+
+
+def test_decontamination_plan_does_not_grow_with_the_items(spark, docs):
+    few = spark.range(3).selectExpr("id item_id", "concat('item number ', sha2(cast(id as string), 256)) text")
+    many = spark.range(3000).selectExpr("id item_id", "concat('item number ', sha2(cast(id as string), 256)) text")
+    nodes = [decontaminate.matches(docs, t)._jdf.queryExecution().analyzed().toString().count("MapInArrow") for t in (few, many)]
+    assert nodes[0] == nodes[1] <= 4
+
+
 def test_url_rules(spark):
     rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block")],
                                   "host string, path string, action string")
