@@ -7,14 +7,17 @@ queue over the similarity to the nodes' centres and visits leaves best first. Th
 of leaves is widened until the calibration queries (at most ``CALIBRATE``, measured
 against brute force over all vectors) reach ``RECALL`` of their true neighbours.
 
-Equal vectors are one entry with their ``k + 1`` smallest ids: ties go to smaller ids, so
-no other id of the group can be among a query's k nearest. A leaf of more than
+Every row takes part on its own, also where rows repeat an id: a query's own row alone is no
+candidate. Equal vectors are one entry with the ``k + 1`` rows of smallest ids: ties go to smaller ids, so
+no other row of the group can be among a query's k nearest. Vectors of different lengths have no
+cosine: each length that holds a query is indexed and searched by itself. A leaf of more than
 ``LEAF_BLOCK`` entries is split into blocks by hash, each searched on its own; a
 task holds one block and streams the queries that visit it.
 
-Defined cases: vectors that are null, empty, zero, hold a null or non-finite component, or
-differ in length from most vectors take no part; rows that repeat an id count once (smallest
-vector); a null id takes no part; extra columns are ignored; with fewer candidates
+Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component
+take no part; a query whose vector has a length of its own has no result; each row that
+repeats an id is a query and a candidate of its own (equal vectors of one id: the earlier
+row comes first); a null id takes no part; extra columns are ignored; with fewer candidates
 than k all are returned.
 """
 
@@ -37,12 +40,10 @@ CALIBRATE, RECALL = 200, 0.97
 
 
 def valid(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, v): one row per id that takes part, ``v`` in double precision."""
+    """(id, v): every row that takes part, ``v`` in double precision."""
     v = F.col(vec_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    good = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
-    one = good.groupBy("id").agg(F.min("v").alias("v"))
-    return one
+    return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -127,8 +128,13 @@ def _kmeans(rows: np.ndarray, k: int, rng, rounds: int = 8) -> list[tuple[np.nda
     return [(centre[j], rows[near == j]) for j in range(len(centre)) if (near == j).any()]
 
 
-def _top(qid: np.ndarray, q: np.ndarray, c: np.ndarray, ids: list[list[int]], keep: int) -> list[tuple[int, int, float]]:
-    """(qid, id, score) of each query's ``keep`` nearest ids among the entries."""
+def _rows_of(column: pa.Array) -> list[list[tuple[int, int]]]:
+    """The (id, row) pairs of each entry."""
+    return [[(x["id"], x["row"]) for x in own] for own in column.to_pylist()]
+
+
+def _top(qid: np.ndarray, q: np.ndarray, c: np.ndarray, ids: list[list[tuple[int, int]]], keep: int) -> list[tuple[int, int, int, float]]:
+    """(qid, id, row, score) of each query's ``keep`` nearest rows among the entries."""
     qn, cn = np.sqrt((q * q).sum(axis=1)), np.sqrt((c * c).sum(axis=1))
     out = []
     rough = (q / qn[:, None]) @ (c / cn[:, None]).T
@@ -138,14 +144,18 @@ def _top(qid: np.ndarray, q: np.ndarray, c: np.ndarray, ids: list[list[int]], ke
         some = np.flatnonzero(row >= bar)
         exact = np.einsum("ij,j->i", c[some], q[i]) / (cn[some] * qn[i])
         found = sorted((-s, x) for s, j in zip(exact.tolist(), some.tolist(), strict=True) for x in ids[j])
-        out += [(int(qid[i]), x, -s) for s, x in found[:keep]]
+        out += [(int(qid[i]), *x, -s) for s, x in found[:keep]]
     return out
 
 
 def _pairs_batch(rows: list[tuple]) -> pa.RecordBatch:
-    a, b, s, leaf = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64()), pa.array(leaf, pa.int32())],
-                                      ["qid", "id", "score", "leaf"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                      ["qid", "id", "row", "score", "leaf"])
+
+
+PAIRS = "qid long, id long, row long, score double, leaf int"
+ROWS = "array<struct<id:long,row:long>>"
 
 
 class Index:
@@ -157,17 +167,16 @@ class Index:
 
 
 def build(vectors: DataFrame, k: int = 5) -> Index | None:
-    """Index all vectors of ``valid``; None if there are none."""
-    size = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if size is None:
-        return None
-    rows = vectors.filter(F.size("v") == size["d"])
-    rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    entries = (rows.withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy("v")
-               .agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("h", F.xxhash64("v")))
+    """Index all (id, row, v), vectors of one length; ``row`` tells rows apart. None if there are none."""
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("id", "row"))
+    entries = (vectors.withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy("v")
+               .agg(F.sort_array(F.collect_list(F.struct("id", "row"))).alias("ids")).withColumn("h", F.xxhash64("v")))
     entries = cut(entries, "ann-entries")
-    most = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * size["d"])))
-    sample = entries.orderBy("h", F.col("ids")[0]).limit(most).select("v").toArrow()["v"].combine_chunks()
+    some = entries.select(F.size("v")).first()
+    if some is None:
+        return None
+    most = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * some[0])))
+    sample = entries.orderBy("h", F.col("ids")[0]["row"]).limit(most).select("v").toArrow()["v"].combine_chunks()
     tree = Tree(_unit(_matrix(sample)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +185,7 @@ def build(vectors: DataFrame, k: int = 5) -> Index | None:
                 leaf = tree.assign(_unit(_matrix(b.column("v"))))
                 yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), b.column("h"), b.column("v"), b.column("ids")],
                                                  ["leaf", "h", "v", "ids"])
-    placed = cut(entries.select("h", "v", "ids").mapInArrow(run, "leaf int, h long, v array<double>, ids array<long>"), "ann-index")
+    placed = cut(entries.select("h", "v", "ids").mapInArrow(run, f"leaf int, h long, v array<double>, ids {ROWS}"), "ann-index")
     weight = np.zeros(tree.leaves, np.int64)
     for r in placed.groupBy("leaf").count().collect():               # one row per leaf of the tree
         weight[r["leaf"]] = r["count"]
@@ -185,7 +194,7 @@ def build(vectors: DataFrame, k: int = 5) -> Index | None:
 
 def calibrate(index: Index, queries: DataFrame, k: int = 5, target: float = RECALL, most: int = CALIBRATE) -> int:
     """Leaves to visit: the fewest that hold ``target`` of the true neighbours of at
-    most ``most`` queries (qid, v)."""
+    most ``most`` queries (qid, v); ``qid`` is the query's row."""
     some = queries.orderBy(F.xxhash64("qid"), "qid").limit(most).toArrow()
     if not some.num_rows:
         return 1
@@ -194,11 +203,11 @@ def calibrate(index: Index, queries: DataFrame, k: int = 5, target: float = RECA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                ids = b.column("ids").to_pylist()
-                leaf = {x: int(n) for i, n in zip(ids, b.column("leaf").to_pylist(), strict=True) for x in i}
-                yield _pairs_batch([(a, x, s, leaf[x]) for a, x, s in _top(qid, q, _matrix(b.column("v")), ids, k + 1)])
-    true = index.entries.mapInArrow(run, "qid long, id long, score double, leaf int").filter("qid <> id")
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+                ids = _rows_of(b.column("ids"))
+                leaf = {row: int(n) for i, n in zip(ids, b.column("leaf").to_pylist(), strict=True) for _, row in i}
+                yield _pairs_batch([(*r, leaf[r[2]]) for r in _top(qid, q, _matrix(b.column("v")), ids, k + 1)])
+    true = index.entries.mapInArrow(run, PAIRS).filter("qid <> row")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id", "row")
     true = true.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("qid", "leaf").collect()
     if not true:
         return 1
@@ -209,9 +218,10 @@ def calibrate(index: Index, queries: DataFrame, k: int = 5, target: float = RECA
 
 
 def search(index: Index, queries: DataFrame, leaves: int, k: int = 5) -> DataFrame:
-    """(qid, id, score): up to k + 1 nearest ids per query vector (qid, v), found in
+    """(qid, id, row, score): up to k + 1 nearest rows per query vector (qid, v), found in
     the ``leaves`` best bins."""
     tree, weight, blocks = index.tree, index.weight, index.blocks
+    b_ids = pa.list_(pa.struct([("id", pa.int64()), ("row", pa.int64())]))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -223,9 +233,9 @@ def search(index: Index, queries: DataFrame, leaves: int, k: int = 5) -> DataFra
                 take = pa.array(take)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(leaf.astype(np.int32)), pa.array(block.astype(np.int64)), pa.array(np.ones(len(leaf), np.int8)),
-                     b.column("qid").take(take), b.column("v").take(take), pa.nulls(len(leaf), pa.list_(pa.int64()))],
+                     b.column("qid").take(take), b.column("v").take(take), pa.nulls(len(leaf), b_ids)],
                     ["leaf", "block", "kind", "qid", "v", "ids"])
-    schema = "leaf int, block long, kind byte, qid long, v array<double>, ids array<long>"
+    schema = f"leaf int, block long, kind byte, qid long, v array<double>, ids {ROWS}"
     asked = queries.select("qid", "v").mapInArrow(route, schema)
     sizes = F.array(*[F.lit(int(n)) for n in blocks]) if int(blocks.max()) > 1 else None
     block = F.pmod("h", F.element_at(sizes, F.col("leaf") + 1).cast("long")) if sizes is not None else F.lit(0).cast("long")
@@ -243,33 +253,37 @@ def search(index: Index, queries: DataFrame, leaves: int, k: int = 5) -> DataFra
                     now, c, ids = here, [], []
                 if kind[a] == 0:
                     c.append(_matrix(part.column("v")))
-                    ids += part.column("ids").to_pylist()
+                    ids += _rows_of(part.column("ids"))
                 elif c:
                     c = [np.concatenate(c)]
                     q, qid = _matrix(part.column("v")), part.column("qid").to_numpy()
                     for i in range(0, len(q), 512):
                         yield _pairs_batch([(*r, now[0]) for r in _top(qid[i:i + 512], q[i:i + 512], c[0], ids, k + 1)])
-    found = both.mapInArrow(scan, "qid long, id long, score double, leaf int")
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).select("qid", "id", "score")
+    found = both.mapInArrow(scan, PAIRS)
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id", "row")
+    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).select("qid", "id", "row", "score")
 
 
 def nearest(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
             target: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows of each row for which
-    ``is_query(id column)`` holds."""
-    vectors = cut(valid(rows, id_col, vec_col), "ann-vectors")
+    ``is_query(id column)`` holds. One index per vector length that has a query."""
+    vectors = cut(valid(rows, id_col, vec_col).withColumn("row", F.monotonically_increasing_id()), "ann-vectors")
+    lengths = vectors.filter(is_query(F.col("id"))).select(F.size("v").alias("d")).distinct().collect()   # one row per length
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in sorted(r["d"] for r in lengths):
+        out = out.unionByName(_nearest(vectors.filter(F.size("v") == d), is_query, k, target))
+    return out
+
+
+def _nearest(vectors: DataFrame, is_query, k: int, target: float) -> DataFrame:
     index = build(vectors, k)
-    schema = "query_id long, rank int, vec_id long, score double"
-    if index is None:
-        return rows.sparkSession.createDataFrame([], schema)
-    dim = index.tree.centre.shape[1]
-    asked = vectors.filter(is_query(F.col("id")) & (F.size("v") == dim))
+    asked = vectors.filter(is_query(F.col("id")))
     # equal query vectors are searched once
-    distinct = cut(asked.groupBy("v").agg(F.min("id").alias("qid")), "ann-queries")
+    distinct = cut(asked.groupBy("v").agg(F.min("row").alias("qid")), "ann-queries")
     hits = search(index, distinct, calibrate(index, distinct, k, target), k)
-    own = asked.join(distinct, "v").select(F.col("id").alias("query_id"), "qid")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (own.join(hits.withColumnRenamed("id", "vec_id"), "qid").filter("vec_id <> query_id")
+    own = asked.join(distinct, "v").select(F.col("id").alias("query_id"), F.col("row").alias("own"), "qid")
+    order = Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "row")
+    return (own.join(hits.withColumnRenamed("id", "vec_id"), "qid").filter("row <> own")
             .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

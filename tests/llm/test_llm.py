@@ -334,7 +334,7 @@ def test_ann_recall_and_edges(spark):
     v = centre[rng.integers(0, 20, 1500)] + 0.3 * rng.normal(size=(1500, 16))
     v[100:400] = v[0]                                       # a large group of equal vectors
     rows = [(i, x.tolist(), 1) for i, x in enumerate(v)] + [(2000, None, 1), (2050, [0.0] * 16, 1), (2100, [float("nan")] + [1.0] * 15, 1),
-                                                           (2150, [None] + [1.0] * 15, 1), (2200, [1.0], 1), (0, v[0].tolist(), 1)]
+                                                           (2150, [None] + [1.0] * 15, 1), (2200, [1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     got = defaultdict(list)
     for r in ann.nearest(df, lambda i: i % 50 == 0).orderBy("query_id", "rank").collect():
@@ -353,6 +353,24 @@ def test_ann_recall_and_edges(spark):
     assert ann.nearest(df.filter("vec_id in (0, 1, 2)"), lambda i: i % 50 == 0).count() == 2
 
 
+def test_ann_repeated_ids_and_lengths(spark):
+    """Each row is a query and a candidate of its own; each length is searched by itself."""
+    rng = np.random.default_rng(7)
+    rows = [(int(i), [float(x) for x in rng.normal(size=d)]) for d, n in ((8, 60), (3, 12), (1, 1)) for i in rng.integers(0, 120, n)]
+    rows += [(50, [1.0, 2.0, 3.0]), (50, [1.0, 2.0, 3.0]), (50, [2.0, 4.0, 6.0]), (100, [5.0] * 8), (100, [4.0, 5.0] * 4), (0, [1.0]), (150, [0.5, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
+    want = []
+    for i, (q, a) in enumerate(rows):
+        if q % 50 == 0:
+            near = sorted((-round(cos(a, b), 9), c) for j, (c, b) in enumerate(rows) if j != i and len(a) == len(b))
+            want += [(q, n, -s) for n, (s, _) in enumerate(near[:5], 1)]
+    got = ann.nearest(df, lambda i: i % 50 == 0, target=1.0).collect()
+    assert sorted((r["query_id"], r["rank"], round(r["score"], 9)) for r in got) == sorted(want)
+    assert sum(r["query_id"] == r["vec_id"] == 50 for r in got) >= 6      # the other rows of the id
+    assert not any(r["query_id"] == 150 for r in got)                     # no other vector of its length
+
+
 def _distance(a, b):
     """Best edit distance of ``a`` to any stretch of ``b``."""
     row = [0] * (len(b) + 1)
