@@ -6,8 +6,9 @@ boosted trees on lexical features: length, depth, digit ratio, character entropy
 parameter counts, hyphens, host labels, and the smoothed block rate of the host's suffix.
 
 The block rates by suffix and their prior are counted on all distinct labelled URLs; the
-trees are fitted on at most ``MAX_TRAIN`` of them (chosen by hash). The given tables label no URL, so the registered query labels training URLs by
-``SEED_WORDS`` in the host; the words themselves are not features.
+trees are fitted on at most ``MAX_TRAIN`` of them (chosen by hash). The given tables label no
+URL, so the registered query labels training URLs by ``SEED_WORDS`` in the host; the words
+themselves are not features.
 
 Defined cases: a URL that is null or has no ``://`` has empty host and path and fits
 no rule; a training set of one class judges all URLs alike, an empty one allows all (``fit``
@@ -43,17 +44,20 @@ def parts(urls: DataFrame, url: str = "url") -> DataFrame:
 
 
 def matched_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, rule, action): the longest fitting rule of each distinct URL. Host suffixes
-    join the rules by equality, so any number of rules works."""
+    """(url, rule, action): the longest fitting rule of each distinct URL. Host suffixes of as
+    many labels as some rule has join the rules by equality, so any number of rules works and a
+    host of any length makes only those suffixes. Of equally long rules (``net`` + ``/en/`` and
+    ``x.net`` + ``/e``) one that blocks wins, then the greatest."""
     rules = rules.select(F.col("host").alias("suffix"), F.col("path").alias("prefix"), "action").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    dots = lambda c: F.length(c) - F.length(F.replace(c, F.lit("."), F.lit("")))
+    sizes = rules.select((dots(F.col("suffix")) + 1).alias("n")).filter("n is not null").distinct().collect()   # label counts of rules
+    wanted = F.array(*[F.lit(n) for n in sorted(r["n"] for r in sizes)]).cast("array<int>")
+    most = dots(F.col("host")) + 1
+    suffixes = F.transform(F.filter(wanted, lambda n: n <= most), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     pairs = (urls.select("url", "host", "path").distinct().filter("host <> ''")
              .select("url", "path", F.explode(suffixes).alias("suffix")).join(rules, "suffix")
              .filter(F.startswith("path", "prefix")))
     rule = F.concat("suffix", "prefix")
-    # equally long rules for one URL can only be the same rule; block wins over allow
     best = F.max(F.struct(F.length(rule).alias("n"), F.when(F.col("action") == "block", 1).otherwise(0).alias("b"),
                           rule.alias("rule"), "action"))
     return pairs.groupBy("url").agg(best.alias("r")).select("url", F.col("r.rule").alias("rule"), F.col("r.action").alias("action"))
@@ -114,7 +118,11 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, trees: int = 20, depth:
     weight = F.when(F.col("label") == 1, F.lit(0.5 / drawn)).otherwise(F.lit(0.5 / (1 - drawn)))
     gbt = GBTClassifier(featuresCol="f", labelCol="label", weightCol="w", maxIter=trees, maxDepth=depth, seed=seed)
     data = VectorAssembler(inputCols=FEATURES, outputCol="f").transform(rows).withColumn("w", weight).select("f", "label", "w")
-    return UrlModel(gbt.fit(data.repartition(4).cache()), rates, prior)
+    data = data.repartition(4).cache()
+    try:
+        return UrlModel(gbt.fit(data), rates, prior)
+    finally:
+        data.unpersist()
 
 
 def judge(pages: DataFrame, rules: DataFrame, model: UrlModel, threshold: float = 0.5) -> DataFrame:
