@@ -34,7 +34,7 @@ from redline.llm.common import bounded, cut, fresh
 
 ERROR_RATE = 0.05
 SIZES = (16, 13, 10, 6, 3, 2, 1)
-BITMAP_BITS, BITS_PER_GRAM = 27, 64
+BITMAP_BITS, BITS_PER_GRAM = 27, 512
 #: positions of one document that are verified in one row
 STRETCH = 1 << 16
 BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
@@ -115,8 +115,12 @@ def grams(codes: np.ndarray, size: int) -> np.ndarray:
     return (out * np.uint64(BASE)).view(np.int64)
 
 
-def _slots(gram: np.ndarray, bits: int) -> np.ndarray:
-    return (gram.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+def _maybe(gram: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
+    """Positions of the hashes whose two slots (first and last bits) are both used."""
+    def used(slot):
+        return table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
+    some = np.flatnonzero(used((gram.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)))
+    return some[used(gram[some] & ((1 << bits) - 1)).astype(bool)]
 
 
 def item_rows(items: DataFrame) -> DataFrame:
@@ -152,10 +156,10 @@ def pieces(texts: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
 
 
 def bitmap(found: DataFrame) -> tuple[int, np.ndarray]:
-    """(bits, bytes): which hash slots the grams use; sized by their number, at most 2^BITMAP_BITS."""
+    """(bits, bytes): which hash slots the grams use, two each; sized by their number, at most 2^BITMAP_BITS."""
     count = max(1, found.count())
     bits = min(BITMAP_BITS, max(15, (count * BITS_PER_GRAM - 1).bit_length()))
-    slot = F.shiftrightunsigned("gram", 64 - bits) + 1
+    slot = F.explode(F.array(F.shiftrightunsigned("gram", 64 - bits) + 1, F.col("gram").bitwiseAND(F.lit((1 << bits) - 1)) + 1))
     held = np.zeros((1 << bits) // 8, np.uint8)
     parts = found.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("set"))
@@ -176,8 +180,7 @@ def _hits(bits: int, held, sizes: list[int]):
             for size in sizes:
                 for lo in range(0, len(codes), 1 << 20):
                     own = grams(codes[lo:lo + (1 << 20) + size - 1], size)
-                    slot = _slots(own, bits)
-                    some = np.flatnonzero(table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                    some = _maybe(own, bits, table)
                     at.append(some + lo)
                     gram.append(own[some])
             at, gram = np.concatenate(at or [np.zeros(0, np.int64)]), np.concatenate(gram or [np.zeros(0, np.int64)])
