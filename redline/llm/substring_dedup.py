@@ -47,6 +47,7 @@ from redline.llm.common import binary_parts, bounded, cut, fresh, id_back, id_ke
 
 LENGTH, GRAM = 100, 24
 BLOCK = 2 << 20                      # bytes of text per step of a task
+FIRST_BLOCK = 1 << 20                # in round 1, which holds about 110 bytes for each of them
 _RNG = np.random.default_rng(20240501)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _RNG.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,14 +112,15 @@ def _unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _blocks(batches: Iterator[pa.RecordBatch], length: int):
     """(bytes, piece starts, piece ends, doc, hash, offset in the document); long
     texts come as pieces that overlap by length - 1 bytes."""
-    for b in bounded(batches, "text", BLOCK):
+    for b in bounded(batches, "text", FIRST_BLOCK):
+        pa.default_memory_pool().release_unused()             # a reused worker may hold an earlier stage's
         data, off = binary_parts(b.column("text"))
         doc, text_hash = longs(b.column("doc")), longs(b.column("hash"))
-        if b.num_rows > 1 or len(data) <= 2 * BLOCK:
+        if b.num_rows > 1 or len(data) <= FIRST_BLOCK:
             yield data, off[:-1], off[1:], doc, text_hash, np.zeros(b.num_rows, np.int64)
             continue
-        for at in range(0, max(1, len(data) - length + 1), BLOCK):
-            piece = data[at:at + BLOCK + length - 1]
+        for at in range(0, max(1, len(data) - length + 1), FIRST_BLOCK):
+            piece = data[at:at + FIRST_BLOCK + length - 1]
             yield piece, np.array([0]), np.array([len(piece)]), doc, text_hash, np.array([at])
 
 
@@ -133,7 +135,8 @@ def _anchors(data, start, end, names: Names, length: int, gram: int):
         size *= 2
     if size < width:
         local = np.minimum(local[:len(local) - (width - size)], local[width - size:])
-    chosen = (local & np.uint64((1 << 24) - 1)).astype(np.int64)
+    chosen = (local & np.uint64((1 << 24) - 1)).view(np.int64)
+    del local
     counts = np.maximum(end - start - length + 1, 0)
     windows = ranges(start, counts)
     if not len(windows):
@@ -141,6 +144,7 @@ def _anchors(data, start, end, names: Names, length: int, gram: int):
         return z, z, z, z, np.zeros(0, np.uint64)
     piece = np.repeat(np.arange(len(start)), counts)
     pick = chosen[windows]
+    del chosen
     head = np.flatnonzero(np.r_[True, (pick[1:] != pick[:-1]) | (piece[1:] != piece[:-1])])
     tail = np.r_[head[1:], len(windows)] - 1
     return piece[head], pick[head], windows[head], windows[tail], g[pick[head]]
@@ -328,7 +332,7 @@ def _open_blocks(batches, length):
         at, flat = cells.offsets.to_numpy(), cells.values
         pack, cell = flat.field("pack").to_numpy(), flat.field("cell").to_numpy()
         packs = [(pack[x:y], cell[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
-        if b.num_rows > 1 or len(data) <= 2 * BLOCK:
+        if b.num_rows > 1 or len(data) <= BLOCK:
             yield data, off[:-1], off[1:], doc, text_hash, np.zeros(b.num_rows, np.int64), packs
             continue
         for at in range(0, max(1, len(data) - length + 1), BLOCK):
