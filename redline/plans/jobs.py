@@ -109,8 +109,7 @@ def resumable_prompt_job(pairs_ranked: DataFrame, generator: Callable, out: str,
     at hand. Rows that failed (``had_error``) are kept too; delete them from
     ``out`` to ask again."""
     spark = pairs_ranked.sparkSession
-    asked = cut_lineage(_prompts(pairs_ranked, few_shot).withColumn("_slice", F.pmod(F.xxhash64("pair_id"), F.lit(slices)).cast("int")),
-                        "prompts", partition_by=("_slice",))
+    asked = _prompts(pairs_ranked, few_shot).withColumn("_slice", F.pmod(F.xxhash64("pair_id"), F.lit(slices)).cast("int"))
     kept = _kept_replies(spark, out)
     todo = cut_lineage(asked.join(kept.select("pair_id"), "pair_id", "left_anti"), "prompts-open", partition_by=("_slice",))
     for s in sorted(r["_slice"] for r in todo.select("_slice").distinct().collect()):      # at most ``slices`` rows
