@@ -50,3 +50,10 @@ def test_best_label_of_large_and_small_counts(spark):
     rows = [("a", big - 1, 0), ("a", big, 5), ("a", big, 4), ("b", 3, 2), ("b", 3, 1), ("c", 1 << 40, (1 << 31) - 1), ("d", big - 1, 7)]
     df = spark.createDataFrame(rows, "k string, n long, label_id int").groupBy("k").agg(*tagger._best("n", "label_id"))
     assert dict(map(tuple, df.select("k", tagger._best_id()).collect())) == {"a": 4, "b": 1, "c": (1 << 31) - 1, "d": 7}
+
+
+def test_label_ids_of_arrays(spark):
+    v = spark.createDataFrame([("$KEEP", 0), ("$DELETE", 1), ("$REPLACE_a", 2)], "label string, label_id int")
+    df = spark.createDataFrame([(1, ["$DELETE", "$KEEP", "?"]), (2, []), (3, None), (4, ["$REPLACE_a", None])], "i int, labels array<string>")
+    got = df.select("i", vocab.label_id_arrays("labels", v).alias("ids")).collect()
+    assert {r.i: r.ids for r in got} == {1: [1, 0, 0], 2: [], 3: None, 4: [2, 0]}
