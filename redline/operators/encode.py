@@ -55,7 +55,7 @@ def token_ids(df: DataFrame, vocab: DataFrame, columns: dict[str, str],
     where the words lie, in Arrow; only the other words are rows of a join with the
     vocabulary. Their ids go back to their row's array by their number in it. Rows that
     repeat a ``key`` become one, their words by position. ``vocab`` (``token, token_id,
-    freq``) is read twice: give a written one. Returns ``key`` plus the output columns."""
+    freq``) is read three times: give a written one. Returns ``key`` plus the output columns."""
     names = list(columns)
     size = {c: f"_n{j}" for j, c in enumerate(names)}
     df = df.select(key, *[F.array_compact(c).alias(c) for c in names])          # a null word has no id
@@ -79,7 +79,14 @@ def _common_ids(words: Column, vocab: DataFrame) -> Column:
     """``struct<ids, rare>`` of an ``array<string>``: the id of each word that is one of
     the ``COMMON`` most frequent tokens, ``-1 - i`` for the others, which are ``rare[i]``.
     Null words are left out. The frequent tokens are read when this is called."""
-    top = vocab.orderBy(F.desc("freq")).limit(COMMON).select("token", "token_id").toArrow()
+    # by a threshold: there are few frequencies (their sum is at most that of all words), and no task sorts all tokens
+    least, n = None, 0
+    for freq, c in sorted(map(tuple, vocab.groupBy("freq").agg(F.count(F.lit(1))).collect()), reverse=True):
+        n += c
+        if n > COMMON:
+            break
+        least = freq
+    top = vocab.where(F.lit(False) if least is None else F.col("freq") >= least).select("token", "token_id").toArrow()
     known, ids = top["token"].combine_chunks().cast(pa.string()), top["token_id"].combine_chunks().cast(pa.int32())
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.StringType()))])
 
