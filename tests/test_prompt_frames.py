@@ -1,10 +1,12 @@
 """Calls of a fixed size cost one frame a batch; texts are stripped once."""
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from redline.functions import prompts
-from redline.functions.text import py_strip, rest_from, strip_prefix
+from redline.functions.text import py_strip, rest_from, strip_prefix, tokens
 from redline.operators import corpus, scoring
 
 
@@ -31,3 +33,12 @@ def test_filters_do_not_strip_again(spark):
     assert [tuple(r) for r in x.collect()] == [(1, "a b", "a c", "en")]
     plan = x._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" in plan and not any("trim(" in line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_words_of_plain_texts_need_no_expression(spark):
+    texts = ["a b", "a  b", " a b ", "a\tb", "a b", "ñ b", "ñ b  c", "", "  ", "　", "a​b", "ä\nb", None, "a\x1fb", "\x85a b ", "ab"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.w for r in df.select("i", tokens("t").alias("w")).collect()}
+    assert got == {i: None if t is None else t.split() for i, t in enumerate(texts)}
+    plan = df.select(tokens("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"ELSE split\(trim\(.*?\)\),  , -1\)", plan, re.S)        # by one blank
